@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import quality
+from flowrhythm.llm import bpe, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": quality.query,
+    "op8_bpe_transducer": bpe.query,
 }
 
 ORACLES: dict[str, str] = {}
