@@ -24,6 +24,8 @@ from flowrhythm.llm.common import fresh
 
 #: Labelled rows per class that a model is fitted on, and bytes of each that build a dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 2048
+#: Characters of a labelled text that the fit fetches; scores are of whole texts.
+FIT_CHARS = 8192
 #: Bytes of a dictionary, bytes of a block, level of compression.
 DICT_BYTES, BLOCK_BYTES, LEVEL = 65536, 512, 3
 #: A score of at least this counts as good.
@@ -96,18 +98,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0] / scale), float(w[1])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
     """A model from at most 2 * sample_rows labelled rows for each class, in the order of a hash of their key.
 
-    Rows without a label of 0 or 1, or without text, teach nothing. One half of the sample builds
-    the dictionaries and the other half, unseen by them, fits the curve. With no label at all every
-    score is 0.5; with one class only, its share.
+    labels must hold only what may be learned from. The keys are chosen from the labels alone, so only
+    the chosen texts are fetched, the first FIT_CHARS of each. A key with both labels, a null key and a
+    row without text teach nothing. One half of the sample builds the dictionaries and the other half,
+    unseen by them, fits the curve. With no label at all every score is 0.5; with one class, its share.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    each = []
+    clear = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).where("y = z").select(F.col(key).alias("k"), "y")
+    chosen = []
     for y in (0, 1):
-        found = rows.where(F.col("y") == y).orderBy("h", "t").limit(2 * sample_rows).collect()
-        each.append([r.t for r in found])
+        chosen += [(r.k, y) for r in clear.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * sample_rows).collect()]
+    if not chosen:
+        return CompressionModel(b"", b"", 0.0, 0.0)
+    keys = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", labels.schema[key].dataType), T.StructField("y", T.IntegerType())]))
+    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, FIT_CHARS).alias("t")).where(F.length("t") > 0).join(F.broadcast(keys), "k").collect()  # 4 * sample_rows keys at most
+    each: list[list[str]] = [[], []]
+    for _, t, y in sorted({(r.k, r.t, r.y) for r in rows}):
+        each[y].append(t)
     sides = [[t.encode()[:SAMPLE_BYTES] for t in x[::2]] for x in each]
     model = CompressionModel(good=_dictionary(sides[1], DICT_BYTES), bad=_dictionary(sides[0], DICT_BYTES))
     n0, n1 = len(each[0]), len(each[1])
@@ -148,15 +157,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text and label of the rows one may learn from; conflicting labels of a document teach nothing."""
-    one = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
-    return docs.select("doc_id", "text").where(~held_out()).join(one, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels that one may learn from."""
+    return labels.where(~held_out())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(training_rows(docs, labels))
+    model = fit(docs, training_labels(labels))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
