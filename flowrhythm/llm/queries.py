@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, packing, quality
+from flowrhythm.llm import bpe, fingerprints, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.query,
     "op5_quality_classifier": quality.query,
     "op8_bpe_transducer": bpe.query,
+    "op10_prefix_fingerprints": fingerprints.query,
 }
 
 ORACLES: dict[str, str] = {}
