@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, packing, quality
+from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.query,
     "op5_quality_classifier": quality.query,
+    "op7_bounded_ring": sharding.query,
     "op8_bpe_transducer": bpe.query,
     "op10_prefix_fingerprints": fingerprints.query,
 }
