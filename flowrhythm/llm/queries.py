@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding
+from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.query,
     "op5_quality_classifier": quality.query,
     "op7_bounded_ring": sharding.query,
     "op8_bpe_transducer": bpe.query,
+    "op9_ball_tree_top_k": topk.query,
     "op10_prefix_fingerprints": fingerprints.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_ball_tree_top_k": topk.SQL,
+}
