@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding, topk
+from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.query,
     "op5_quality_classifier": quality.query,
+    "op6_sentence_spans": substrings.query,
     "op7_bounded_ring": sharding.query,
     "op8_bpe_transducer": bpe.query,
     "op9_ball_tree_top_k": topk.query,
