@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, packing, quality, sharding, substrings, topk
+from flowrhythm.llm import bpe, fingerprints, packing, pii, quality, sharding, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_semi_markov_pii": pii.query,
     "op3_best_fit_packing": packing.query,
     "op5_quality_classifier": quality.query,
     "op6_sentence_spans": substrings.query,
