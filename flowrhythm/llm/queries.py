@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, topk
+from flowrhythm.llm import bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prob_minhash": near_dedup.query,
     "op2_semi_markov_pii": pii.query,
     "op3_best_fit_packing": packing.query,
+    "op4_feistel_shards": token_shards.query,
     "op5_quality_classifier": quality.query,
     "op6_sentence_spans": substrings.query,
     "op7_bounded_ring": sharding.query,
