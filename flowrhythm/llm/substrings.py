@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrhythm.llm.common import fresh
+from flowrhythm.llm.common import fresh, materialise
 
 MIN_SENTENCES, MIN_WORDS = 2, 16
 #: After closing marks and white space; after a line; before a capitalised word that follows another word.
@@ -96,6 +96,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = sentence_runs(docs, doc_id, text, min_sentences, min_words)
     place = F.struct("id", "of", "first")
     heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(~F.col("head").eqNullSafe(F.col("tail"))).select("h1", "h2", "head")
+    heads = materialise(heads, "heads")  # joined by exchanges of their own, so that a hot run can be split
     later = found.join(heads, ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
     return later.groupBy("id", "of").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # spans of one text
 
