@@ -57,10 +57,6 @@ def sld(host: Column) -> Column:
     return F.when(F.length(host) > 0, F.substring_index(h, ".", -2))
 
 
-def _number(ip: str) -> int:
-    return int(ipaddress.IPv4Address(ip))
-
-
 @F.pandas_udf(T.BooleanType())
 def _private_v6(ip: pd.Series) -> pd.Series:
     def one(x: str) -> bool:
@@ -72,17 +68,27 @@ def _private_v6(ip: pd.Series) -> pd.Series:
     return ip.map(one)
 
 
+def _private_pattern() -> str:
+    """One pattern for all private ranges: equal octets as they are, the first that differs as a choice, none after it."""
+    out = []
+    for a, b in PRIVATE_RANGES:
+        parts = []
+        for x, y in zip(a.split("."), b.split(".")):
+            if x != y:
+                if (x, y) != ("0", "255"):
+                    parts.append("(" + "|".join(map(str, range(int(x), int(y) + 1))) + ")")
+                break
+            parts.append(x)
+        out.append(r"\.".join(parts) + r"\.")
+    return "^(" + "|".join(out) + ")"
+
+
+_OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+
+
 def is_private(ip: Column, ipv6: bool = False) -> Column:
     """Whether an address is private; false for anything else, null included. IPv6 goes to the workers, and only if asked for."""
-    octets = F.split(ip, r"\.")
-    valid = ip.rlike(r"^(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(\.(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$")
-    n = F.lit(0).cast("bigint")
-    for k in range(4):
-        n = n * 256 + F.expr("1L") * F.try_element_at(octets, F.lit(k + 1)).try_cast("bigint")
-    inside = F.lit(False)
-    for a, b in PRIVATE_RANGES:
-        inside = inside | n.between(_number(a), _number(b))
-    v4 = F.coalesce(valid & inside & ~ip.isin(*PUBLIC_INSIDE), F.lit(False))
+    v4 = F.coalesce(ip.rlike(_private_pattern()) & ip.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$") & ~ip.isin(*PUBLIC_INSIDE), F.lit(False))
     if not ipv6:
         return v4
     return F.when(F.instr(ip, ":") > 0, _private_v6(ip)).otherwise(v4)

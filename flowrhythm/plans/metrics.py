@@ -137,14 +137,15 @@ def session_metrics(found: DataFrame, keys: Keys) -> DataFrame:
     some = lambda m, x: F.when(F.count_if(on(m)) > 0, x)
     two = lambda m, x: F.when(F.count_if(on(m)) >= 2, x)
     s_of = lambda m: F.when(on(m), s)
+    mean = lambda m: F.sum(F.when(on(m), F.col("last_us") - F.col("first_us"))) / F.count_if(on(m)) / float(N.MICROS)  # noqa: E731  sums of whole numbers: in any order the same
     idle = F.max(F.when(on("night"), F.col("last_us"))) - F.min(F.when(on("night"), F.col("first_us"))) - F.sum(F.when(on("night"), F.col("last_us") - F.col("first_us")))
     return found.groupBy(*keys).agg(
-        F.avg(s_of("chat")).alias("F2_MeanSocialDurSec"), n("streaming", s >= 7200).alias("F3_LongStreams"), some("chat", n("chat")).alias("C2_F3_ChatSessionCount"),
+        some("chat", mean("chat")).alias("F2_MeanSocialDurSec"), n("streaming", s >= 7200).alias("F3_LongStreams"), some("chat", n("chat")).alias("C2_F3_ChatSessionCount"),
         F.avg(F.when(on("chat"), F.col("up") / F.greatest(F.lit(1.0), s))).alias("__rate"), n("food").alias("C3_F1_FoodDeliveryHits"), some("food", n("food", (start >= 22) | (start < 6)) / n("food")).alias("C3_F2_LateNightDeliveryRatio"),
         two("food", (F.max(F.when(on("food"), whole)) - F.min(F.when(on("food"), whole))) / (n("food") - 1) / 86400.0).alias("C3_F3_MeanInterOrderDays"), n("scale").alias("C3_F6_SmartScaleUploads"),
         n("night", s <= 300).alias("C4_F5_NocturnalMicroSessionCount0106"), two("night", idle / F.lit(60.0 * N.MICROS) / (n("night") - 1)).alias("C4_F6_MeanInterAwakGapMin0106"),
         n("all", s < 30).alias("C5_F5_Sub30sSessions"), F.when((F.count_if(on("all")) >= 3) & (F.avg(s_of("all")) > 0), F.var_samp(s_of("all")) / F.avg(s_of("all"))).alias("C5_F6_SessionFano"),
-        n("all", start.between(9, 17)).alias("C6_F2_DayActiveSessionCount"), n("brief", (s < 30) & (F.col("n_in") > 0) & (F.col("n_out") > 0)).alias("__micro"), F.avg(s_of("forum")).alias("C9_F6_SelfHarmForumMeanSessLenSec"),
+        n("all", start.between(9, 17)).alias("C6_F2_DayActiveSessionCount"), n("brief", (s < 30) & (F.col("n_in") > 0) & (F.col("n_out") > 0)).alias("__micro"), some("forum", mean("forum")).alias("C9_F6_SelfHarmForumMeanSessLenSec"),
     )
 
 
@@ -175,7 +176,7 @@ def gap_metrics(rows: DataFrame, keys: Keys, night: str = "calendar") -> DataFra
     )
     onset, wake = F.col("__onset.prev_us"), F.col("__onset.us")
     return agg.select(
-        *keys, (F.col("__longest") / 3600.0).alias("LongestInactivityHours"), N.minutes_from_22(N.clock_minutes(onset)).alias("C4_F1_OnsetDelayFrom2200Min"), N.clock_minutes(onset).alias("C4_F1_OnsetLocalMin"),
+        *keys, (F.col("__longest") / 3600.0).alias("LongestInactivityHours"), N.minutes_from_22(N.clock_minutes(onset)).alias("C4_F1_OnsetDelayFrom2200Min"), (F.floor(N.clock_minutes(onset) * 60 + 1e-7) / 60).alias("C4_F1_OnsetLocalMin"),
         F.greatest(F.lit(0.0), N.clock_minutes(wake) - 240).alias("C4_F2_WakeAfter0400Min"), F.coalesce(F.greatest("__mid", "__mid0", "__mid1") / F.lit(60.0 * N.MICROS), F.lit(360.0)).alias("C6_F1_LongestMiddayIdleMin"),
         "C2_F2_MedianReplyLatencySec", "C5_F3_MedianIKS", "C5_F4_IKSStd", F.col("C5_F3_MedianIKS").alias("C8_F8_MedianIKSsec"), "C6_F6_MedianInterReqSec", "C6_F7_InterReqFano",
     )
