@@ -1,21 +1,11 @@
 from __future__ import annotations
 
-import random
-
 import pytest
+from made import prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
 
-def prose(seed: int, words: int) -> str:
-    r = random.Random(seed)
-    out = []
-    while len(out) < words:
-        s = ["".join(r.choice(("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(5, 12))]
-        out += [s[0].capitalize(), *s[1:-1], s[-1] + "."]
-    return " ".join(out[:words])
-
-
 @pytest.fixture(scope="session")
 def source():
     import public_tokenizers

@@ -3,7 +3,7 @@ from __future__ import annotations
 import tempfile
 
 import corpus_pipeline
-from conftest import prose
+from made import prose
 
 
 def test_stages(spark, make_docs):

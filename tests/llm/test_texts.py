@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from made import prose
 
 from flowrhythm.llm import fingerprints, pii, quality, sharding, substrings, topk
 
