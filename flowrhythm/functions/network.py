@@ -59,9 +59,9 @@ def sld(host: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _private_v6(ip: pd.Series) -> pd.Series:
-    def one(x: str) -> bool:
+    def one(x: str | None) -> bool:
         try:
-            return ipaddress.ip_address(x.strip()).is_private
+            return x is not None and ipaddress.ip_address(x.strip()).is_private
         except ValueError:
             return False
 
