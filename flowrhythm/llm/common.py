@@ -5,10 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
+from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a local session that has no other.
 _own: dict[str, str] = {}
 
 
@@ -32,21 +31,9 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Identity of a row: its id and a hash of its text, nulls included.
-
-    Rows that agree in both are the same document, and any result for one holds for the other.
-    """
-    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
