@@ -11,8 +11,9 @@ Equal lists of words are one class before anything else, so copies cost one sket
 Registers are cut into bands; texts that share a band meet. In a band's group no pairs
 of all members are made: members meet a few leaders, pairs whose sketches rule the
 threshold out are dropped, the others are verified on the whole texts, and verified
-links give components. A group that still spans components meets further leaders, until
-a round finds no link.
+links give components. Members of groups that still span components are then compared
+exactly, block by block: every pair of different components whose sketches are close
+is verified, unless it met as member and leader.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Pairs whose sketches agree in a smaller share than this are dropped: five standard deviations below the threshold.
 SKETCH_LEAST = 0.63
-#: Rounds of further leaders at most; they end with the first that links nothing.
-LEADER_ROUNDS = 2
+#: Members of a block in the exact comparison; a task compares two blocks.
+BLOCK = 512
 #: Rows of an id and a hash that may be broadcast, some 30 MB; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -87,7 +88,12 @@ def weighted(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 def similarity(a: str | None, b: str | None, words: int = WORDS) -> float:
     """Probability Jaccard: the sum over shared shingles of 1 / sum over all of max(a_j / a_i, b_j / b_i)."""
-    (x, u), (y, v) = weighted(a, words), weighted(b, words)
+    return alike(weighted(a, words), weighted(b, words))
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Probability Jaccard of shingles with their weights."""
+    (x, u), (y, v) = a, b
     if not len(x) or not len(y):
         return 0.0
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -213,13 +219,13 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where("r <> s").select("id", "l", "s")
 
 
-def _connect(candidates: DataFrame, found: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
-    """found with the links among the candidates that it takes to connect what they connect; its components; how many are new.
+def _connect(candidates: DataFrame, found: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """found with the links among the candidates that it takes to connect what they connect, and its components.
 
     A text that is already in the component of a leader needn't meet it. So first each text meets one
     leader, then two of each other component, and then all that are left and still apart.
     """
-    left, total = candidates, 0
+    left = candidates
     for most in (1, 2, None):
         open_ = materialise(_rooted(left, roots), "open")
         if most == 1:
@@ -231,14 +237,140 @@ def _connect(candidates: DataFrame, found: DataFrame, roots: DataFrame, texts: D
             chosen = open_.select("id", "l")
         pairs = chosen.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
         new = materialise(_verified(pairs, texts, threshold), "links")
-        if n := new.count():
-            total += n
+        if not new.isEmpty():
             found = materialise(found.unionByName(new), "links")
             roots = components(found)
         elif open_.isEmpty():
             break
         left = open_.select("id", "l").join(chosen, ["id", "l"], "left_anti")
-    return found, roots, total
+    return found, roots
+
+
+def _blocks(apart: DataFrame) -> DataFrame:
+    """(band, po, pp, qo, qp, side, id, root): the members apart (band, id, root), dealt to pairs of blocks (own, part) of their band's group.
+
+    A component of BLOCK members has blocks of its own, which needn't meet one another; the others
+    share blocks, which meet all. Both have about BLOCK members, so a task is bounded.
+    """
+    sizes = apart.groupBy("band", "root").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(-1).cast("long")))
+    sizes = materialise(sizes, "sizes")
+    parts = materialise(sizes.groupBy("band", "own").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")), "parts")
+    placed = apart.join(sizes.select("band", "root", "own"), ["band", "root"]).join(parts, ["band", "own"])
+    placed = placed.select("band", "own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "root")
+    block = parts.select("band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    p, q = block.toDF("band", "po", "pp"), block.toDF("band", "qo", "qp")
+    met = p.join(q, "band").where((F.struct("po", "pp") <= F.struct("qo", "qp")) & ((F.col("po") != F.col("qo")) | (F.col("po") < 0)))
+    sides = F.when((F.col("po") == F.col("qo")) & (F.col("pp") == F.col("qp")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.withColumn("side", F.explode(sides))
+    met = met.withColumn("own", F.when(F.col("side") == 0, F.col("po")).otherwise(F.col("qo"))).withColumn("part", F.when(F.col("side") == 0, F.col("pp")).otherwise(F.col("qp")))
+    return placed.join(materialise(met, "met"), ["band", "own", "part"]).select(*_TASK, "side", "id", "root")
+
+
+_TASK = ["band", "po", "pp", "qo", "qp"]
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task, from batches in which they follow one another."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(_TASK))], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and tuple(keys[i]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = tuple(keys[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a task's pairs of different components with close sketches that share no earlier band, the closest first."""
+    side, root = t.column("side").to_numpy(), t.column("root").to_numpy()
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+    earlier = bands[:, : np.flatnonzero(bands[0] == t.column("band")[0].as_py())[0]]
+    two = t.column("po")[0] != t.column("qo")[0] or t.column("pp")[0] != t.column("qp")[0]
+    second = np.flatnonzero(side == 1)
+    rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for i in np.flatnonzero(side == 0):
+        o = second if two else np.arange(i + 1, len(side))
+        o = o[root[o] != root[i]]
+        share = (sketch[o] == sketch[i]).mean(1) if len(o) else np.zeros(0)
+        o, share = o[share >= least], share[share >= least]
+        own = ~(earlier[o] == earlier[i]).any(1)
+        rows.append((np.full(own.sum(), i), o[own], share[own]))
+    a, b, share = (np.concatenate(c) for c in zip(*rows))
+    order = np.argsort(-share, kind="stable")
+    return a[order], b[order]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with each task's in one partition, one after another."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_TASK).sortWithinPartitions(*_TASK)
+
+
+def _exactly(members: DataFrame, found: DataFrame, roots: DataFrame, groups: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """found with the links it takes to connect all similar members of a band's group, and its components.
+
+    Of the pairs of a group all that hold a leader were tried before. Of the others each is compared
+    in the first band that it shares, in a task over two blocks, which passes over pairs that its own
+    links have connected.
+    """
+    at = members.where("id <> l1 and id <> l2 and id <> l3").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    at = materialise(at, "rooted")
+    spans = materialise(at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band"), "spans")
+    apart = materialise(at.join(spans, "band"), "apart")
+    if apart.isEmpty():
+        return found, roots
+    least = threshold + SKETCH_LEAST - THRESHOLD
+    task = "band long, po long, pp int, qo long, qp int, side int, id long, root long"
+    table = materialise(groups.join(apart.select("id").distinct(), "id", "left_semi").select("id", "sketch", "bands"), "apart_sketches")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tasks(batches):
+            if len(own := np.unique(np.concatenate(_near(t, least)))):
+                yield from t.select([*_TASK, "side", "id", "root"]).take(pa.array(own)).combine_chunks().to_batches()
+
+    near = materialise(_dealt(_blocks(apart).join(table, "id").select(*_TASK, "side", "id", "root", "sketch", "bands")).mapInArrow(close, task), "near")
+    if near.isEmpty():
+        return found, roots
+    texts = _texts_of(near.select("id"), groups, docs)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tasks(batches):
+            ids, root, text = t.column("id").to_pylist(), t.column("root").to_pylist(), t.column("text")
+            top: dict[int, int] = {}
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def of(x: int) -> int:
+                while (y := top.get(x, x)) != x:
+                    top[x] = x = top.get(y, y)
+                return x
+
+            out = []
+            for i, j in zip(*(x.tolist() for x in _near(t, least))):
+                if (x := of(root[i])) != (y := of(root[j])):
+                    for k in (i, j):
+                        if k not in held:
+                            held[k] = weighted(text[k].as_py())
+                    if alike(held[i], held[j]) >= threshold:
+                        top[x] = y
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    whole = near.join(table, "id").join(texts, "id").select(*_TASK, "side", "id", "root", "sketch", "bands", "text")
+    new = materialise(_dealt(whole).mapInArrow(verify, "a long, b long").distinct(), "links")
+    if new.isEmpty():
+        return found, roots
+    found = materialise(found.unionByName(new), "links")
+    return found, components(found)
 
 
 def links(groups: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -252,23 +384,8 @@ def links(groups: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> t
     texts = _texts_of(close.select("id").unionByName(close.select(F.col("l").alias("id"))), groups, docs)
     found = groups.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     roots = groups.select(F.col("id").alias("node"), F.col("id").alias("root")).where("false")
-    found, roots, _ = _connect(close, found, roots, texts, threshold)
-    for k in range(LEADER_ROUNDS):
-        at = materialise(members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "rooted")
-        # a band's group that spans components is led by members of its first and last component and by one more
-        more = at.groupBy("band").agg(
-            F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("id", F.struct("root", "id")).alias("x"), F.min_by("id", F.struct("root", F.xxhash64("id", F.lit(k)))).alias("y"), F.min_by("id", F.xxhash64("id", F.lit(k + 1))).alias("z")
-        )
-        more = materialise(more.where("r1 <> r2").select("band", F.array("x", "y", "z").alias("ls")), "leaders")
-        candidates = _rooted(at.join(more, "band").select("id", F.explode("ls").alias("l")).where("id <> l").distinct(), roots).select("id", "l")
-        close = materialise(_close(candidates, table, threshold), "close")
-        if close.isEmpty():
-            break
-        texts = _texts_of(close.select("id").unionByName(close.select(F.col("l").alias("id"))), groups, docs)
-        found, roots, n = _connect(close, found, roots, texts, threshold)
-        if not n:
-            break
-    return found, roots
+    found, roots = _connect(close, found, roots, texts, threshold)
+    return _exactly(members, found, roots, groups, docs, threshold)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

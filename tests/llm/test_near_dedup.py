@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from made import prose
 
+from flowrhythm.llm import near_dedup
 from flowrhythm.llm.components import components
 from flowrhythm.llm.near_dedup import classes, keep_one, shingles, similarity, sketches, weighted
 
@@ -85,6 +86,32 @@ def test_classes_against_all_pairs(make_docs):
     assert kept == {top(i) for i in range(len(texts))}
 
 
+def test_large_group_of_dissimilar_members(make_docs, monkeypatch):
+    """Near copies among hundreds of documents of one template that are not alike enough: no leader resembles them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    template, r = prose(5, 300).split(), random.Random(8)
+
+    def changed(words: list[str], n: int) -> list[str]:
+        out = list(words)
+        for k in r.sample(range(5, len(out) - 5), n):
+            out[k] = f"zz{r.randint(0, 10**9)}"
+        return out
+
+    texts = [changed(template, 6) for _ in range(260)]
+    texts += [changed(texts[7 * k + 3], 2) for k in range(30)]
+    r.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    root = [*range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert 200 < len(set(root)) < 270
+    got = {d.doc_id: d.class_id for d in classes(make_docs([*enumerate(texts)])).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = classes(odd_docs).collect()
     by = {(r.doc_id, r.of): r for r in rows}
