@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training fetches, characters of each, windows of each kind it uses, rounds.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, ROUNDS = 400, 20_000, 50, 4
-#: Tokens of an entity and of a window at most, white-space chunks of context, gain that a span must have.
+#: Tokens of an entity and of a training window at most, white-space chunks of context, gain that a span must have.
 ENTITY_TOKENS, WINDOW_TOKENS, CONTEXT, MIN_GAIN = 24, 80, 2, 2.0
 
 Span = tuple[int, int]
@@ -80,8 +80,8 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return out
 
 
-def windows(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(place, tokens) around the chunks that hold a digit or an at-sign, at most WINDOW_TOKENS each."""
+def stretches(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(place, tokens) around the chunks that hold a digit or an at-sign, of any length."""
     if not _ANY.search(text):
         return
     chunks = [m.span() for m in re.finditer(r"\S+", text)]
@@ -92,12 +92,17 @@ def windows(text: str) -> Iterator[tuple[int, list[str]]]:
         while j + 1 < len(held) and held[j + 1] - held[j] <= 2 * CONTEXT:
             j += 1
         a, b = chunks[max(0, held[i] - CONTEXT)][0], chunks[min(len(chunks) - 1, held[j] + CONTEXT)][1]
-        tokens, at = _TOKEN.findall(text[a:b]), a
+        yield a, _TOKEN.findall(text[a:b])
+        i = j + 1
+
+
+def windows(text: str) -> Iterator[tuple[int, list[str]]]:
+    """The stretches in parts of at most WINDOW_TOKENS, to train on."""
+    for at, tokens in stretches(text):
         for k in range(0, len(tokens), WINDOW_TOKENS):
             part = tokens[k : k + WINDOW_TOKENS]
             yield at, part
             at += sum(map(len, part))
-        i = j + 1
 
 
 @lru_cache(1 << 14)
@@ -134,13 +139,12 @@ def span_features(tokens: list[str], classes: list[str], i: int, j: int) -> list
     return out
 
 
-def candidates(tokens: list[str], classes: list[str]) -> list[Span]:
-    """Segments that may be an entity: of bounded length, with a digit or an at-sign, from and to a sensible token."""
+def candidates(tokens: list[str], classes: list[str], first: int = 0, end: int | None = None) -> list[Span]:
+    """Segments that may be an entity: of bounded length, with a digit or an at-sign, from and to a sensible token; those that begin from first up to end."""
     out = []
     n = len(tokens)
-    begins = [c in "9a+([@" for c in classes]
-    for i in range(n):
-        if not begins[i]:
+    for i in range(first, n if end is None else min(n, end)):
+        if classes[i] not in "9a+([@":
             continue
         marked, spaces = False, 0
         for j in range(i, min(n, i + ENTITY_TOKENS)):
@@ -213,6 +217,34 @@ class SemiMarkov:
             j = i
         return out[::-1]
 
+    def decode(self, tokens: list[str]) -> list[tuple[int, int, str, float]]:
+        """As best, for any number of tokens: the features of WINDOW_TOKENS first tokens are held at a time, the values go on."""
+        n = len(tokens)
+        classes = [_class(t) for t in tokens]
+        value, back, outside = [0.0] + [-np.inf] * n, [(-1, -1, 0.0)] * (n + 1), [0.0]
+        for at in range(0, n, WINDOW_TOKENS):
+            end = min(n, at + WINDOW_TOKENS)
+            spans = candidates(tokens, classes, at, end)
+            part = Lattice(end - at, spans, [span_features(tokens, classes, i, j) for i, j in spans], [[f"token {c}", f"token {c} {min(len(t), 6)}"] for t, c in zip(tokens[at:end], classes[at:end])])
+            s, o = self.scores(part)
+            k = 0
+            for i in range(at, end):  # nothing leads to i any more, so its value is final
+                if (v := value[i] + o[i - at]) >= value[i + 1]:
+                    value[i + 1], back[i + 1] = v, (i, -1, 0.0)
+                outside.append(outside[-1] + o[i - at])
+                while k < len(spans) and spans[k][0] == i:
+                    own = int(s[k].argmax())
+                    if (v := value[i] + s[k, own]) > value[j := spans[k][1]]:
+                        value[j], back[j] = v, (i, own, float(s[k, own]))
+                    k += 1
+        out, j = [], n
+        while j:
+            i, own, score = back[j]
+            if own >= 0:
+                out.append((i, j, KINDS[own], float(score - outside[j] + outside[i])))
+            j = i
+        return out[::-1]
+
 
 def _marginals(x: Lattice, s: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each (span, kind) and of each token outside, by sums forwards and backwards."""
@@ -324,9 +356,9 @@ def find(text: str | None, model: SemiMarkov | None = None) -> tuple[dict[str, l
         return base, base
     taken = sorted(s for spans in base.values() for s in spans)
     more: dict[str, list[Span]] = {k: [] for k in KINDS}
-    for at, tokens in windows(text):
+    for at, tokens in stretches(text):
         ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]) + at
-        for i, j, kind, gain in model.best(Lattice.of(tokens)):
+        for i, j, kind, gain in model.decode(tokens):
             a, b = int(ends[i]), int(ends[j])
             if gain >= MIN_GAIN and all(b <= x or a >= y for x, y in taken):
                 more[kind].append((a, b))

@@ -65,6 +65,18 @@ def test_best_segmentation_is_the_best_of_all(marked):
     assert np.allclose([q[i] + sum(p[k].sum() for (a, b), k in at.items() if a <= i < b) for i in range(x.n)], 1)
 
 
+def test_dense_text_is_decoded_whole(marked):
+    model = pii.fit(marked)
+    numbers = [f"({200 + k}) 555-{1000 + 7 * k}" for k in range(60)]
+    text = "\n".join(f"Ann Lee {n}" for n in numbers)
+    _, spans = pii.find(text, model)
+    assert [text[a:b] for a, b in spans["phone"]] == numbers
+    for _, tokens in pii.stretches(text):
+        want = model.best(pii.Lattice.of(tokens))
+        got = model.decode(tokens)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+
+
 def test_pii_odd_rows(odd_docs, no_docs, marked):
     model = pii.fit(marked)
     rows = pii.detect(odd_docs, model).collect()
