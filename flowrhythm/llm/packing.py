@@ -7,10 +7,10 @@ the plan out again: the r-th piece of a length goes to the r-th place that the p
 holds for this length.
 
 The search fills one sequence after another around the largest piece left. It
-enumerates fillings of the rest of the sequence that no other filling dominates
-(swapping items for larger ones that still fit), takes the least wasteful first,
-and gives up a branch once its waste exceeds what the best solution so far allows.
-Best fit decreasing gives the first of these solutions.
+tries a few good fillings of the rest of the sequence first, then all to which no
+piece left could be added, the least wasteful first, each as often as possible and
+then less often, and gives up a branch once its waste exceeds what the best solution
+so far allows. Best fit decreasing gives the first of these solutions.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from flowrhythm.llm.common import materialise
 from flowrhythm.llm.tokens import encoder, read_source
 
 CAPACITY, END = 4096, 1
-#: Nodes of the search, and fillings that a node tries.
+#: Nodes of the search, and good fillings that a node tries before all others.
 NODES, WIDTH = 12_000, 4
 
 
@@ -87,7 +87,7 @@ def _greedy(left: _Left, room: int, used: dict[int, int]) -> tuple[int, ...]:
 
 
 def completions(left: _Left, largest: int, capacity: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest piece, the least waste first, then the fewest items.
+    """A few good fillings around the largest piece, the least waste first, then the fewest items.
 
     Each begins with one of the larger lengths that fit and goes on by best fit, with the last place
     also looked up exactly among pairs. A filling is dropped if another has as many items, each at
@@ -137,11 +137,67 @@ def best_fit(count: dict[int, int], capacity: int) -> list[Fill]:
     return out
 
 
+def fillings(left: _Left, largest: int, capacity: int, spare: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings around the largest piece that waste at most `spare` and take no further piece, the least waste first.
+
+    None stands for a filling passed over because a piece could be added.
+    """
+    room = capacity - largest
+    sizes = [x for x in reversed(left.sizes) if x <= room and left.count[x] > (x == largest)]
+    most = [min(left.count[x] - (x == largest), room // x) for x in sizes]
+    reach, mask = [1], (1 << room + 1) - 1  # sums of the sizes from each on, as bits
+    for x, m in zip(reversed(sizes), reversed(most)):
+        sums = reach[-1]
+        for _ in range(m):
+            sums |= reach[-1] | (sums << x & mask)
+        reach.append(sums)
+    reach.reverse()
+    for waste in range(min(spare, room) + 1):
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room - waste, ())]
+        while stack:
+            k, r, items = stack.pop()
+            if not r:
+                used = {largest: 1}
+                for x in items:
+                    used[x] = used.get(x, 0) + 1
+                yield None if left.below(waste, used) else (largest, *items)
+                continue
+            while k < len(sizes) and sizes[k] > r:
+                k += 1
+            if k < len(sizes) and reach[k] >> r & 1:
+                for n in range(min(most[k], r // sizes[k]) + 1):
+                    if reach[k + 1] >> (r - n * sizes[k]) & 1:
+                        stack.append((k + 1, r - n * sizes[k], items + (sizes[k],) * n))
+
+
+def branches(left: _Left, capacity: int, width: int, spare: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """What a node tries: (filling, times), good fillings first, then all, then all with fewer repetitions; None as in fillings."""
+    largest = left.sizes[-1]
+
+    def most(items: tuple[int, ...]) -> int:
+        waste = capacity - sum(items)
+        return min(_take(left.count, items), spare // waste if waste else capacity * sum(left.count.values()))
+
+    tried = set()
+    for items in completions(left, largest, capacity, width):
+        tried.add(items)
+        yield items, most(items)
+    for items in fillings(left, largest, capacity, spare):
+        if items is None or items not in tried:
+            yield items and (items, most(items))
+    for items in fillings(left, largest, capacity, spare):
+        if items is None:
+            yield None
+        else:
+            for times in range(most(items) - 1, 0, -1):
+                yield items, times
+
+
 def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> tuple[list[Fill], int]:
     """Fillings that place every length, and the lower bound on their number.
 
     A filling is repeated as long as the counts allow, so the work depends on the number of lengths.
-    The search ends at the bound, which proves the best, or after so many nodes.
+    The search ends at the bound or when nothing is left to try, which prove the best, or after so many nodes.
     """
     if any(not 0 < k <= capacity for k in count):
         raise ValueError("lengths must be between 1 and the capacity")
@@ -151,7 +207,7 @@ def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, wi
     best = best_fit(count, capacity)
     fewest = sum(f.times for f in best)
     left, path, wasted, seen = _Left(dict(count)), [], [0], 0
-    todo: list[list[tuple[int, ...]]] = []
+    todo: list[Iterator[tuple[tuple[int, ...], int] | None]] = []
     while fewest > bound:
         allowed = (fewest - 1) * capacity - total  # waste of any better solution at most
         if not left.sizes:
@@ -159,13 +215,13 @@ def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, wi
             if used < fewest:
                 best, fewest = list(path), used
                 continue
-            todo.append([])
+            todo.append(iter(()))
         elif len(todo) == len(path):
             seen += 1
             if seen > nodes:
                 break
-            todo.append(completions(left, left.sizes[-1], capacity, width)[::-1])
-        while todo and not todo[-1]:  # back up
+            todo.append(branches(left, capacity, width, allowed - wasted[-1]))
+        while todo and (step := next(todo[-1], ())) == ():  # back up
             todo.pop()
             if path:
                 f = path.pop()
@@ -173,17 +229,21 @@ def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, wi
                 left.add(f.items, f.times)
         if not todo:
             break
-        items = todo[-1].pop()
-        times = _take(left.count, items)
+        if step is None:  # a filling passed over costs as much as a node
+            seen += 1
+            if seen > nodes:
+                break
+            continue
+        items, times = step
         waste = wasted[-1] + times * (capacity - sum(items))
         if times and waste <= allowed:
             left.add(items, -times)
             path.append(Fill(items, times))
             wasted.append(waste)
-        elif times and (times_ok := (allowed - wasted[-1]) // max(1, capacity - sum(items))) > 0:
-            left.add(items, -times_ok)
-            path.append(Fill(items, times_ok))
-            wasted.append(wasted[-1] + times_ok * (capacity - sum(items)))
+        else:
+            seen += 1
+            if seen > nodes:
+                break
     return best, bound
 
 

@@ -95,6 +95,13 @@ def test_packing_search(seed):
     assert sum(f.times for f in fills) == fewest(tuple(sorted(sizes, reverse=True)), ())
 
 
+def test_packing_search_tries_all_fillings():
+    sizes = [2100, 1500, 1480, 1460, 1320, 1316, 1310, 1306, 1300, 1296, 998, 998]
+    fills, bound = packing.pack(dict(Counter(sizes)), 4096)
+    assert counted(fills) == Counter(sizes) and all(sum(f.items) <= 4096 for f in fills)
+    assert sum(f.times for f in fills) == bound == 4
+
+
 def test_packing_documents(odd_docs, no_docs, source, library):
     rows = packing.pack_documents(odd_docs, source, 512).collect()
     want = Counter()
