@@ -8,12 +8,12 @@ weights, which is the plain Jaccard similarity where no shingle repeats. A shing
 process ends early, as soon as its next arrival is later than every register.
 
 Equal lists of words are one class before anything else, so copies cost one sketch.
-Registers are cut into bands; texts that share a band meet. In a band's group no pairs
-of all members are made: members meet a few leaders, pairs whose sketches rule the
-threshold out are dropped, the others are verified on the whole texts, and verified
-links give components. Members of groups that still span components are then compared
-exactly, block by block: every pair of different components whose sketches are close
-is verified, unless it met as member and leader.
+Registers are cut into bands; texts that share a band meet, in tasks of bounded size.
+A task hands on, for each member, the pair of the closest sketches, so that pairs grow
+with members and not with their square; those pairs are verified on the whole texts,
+and verified links give components. Groups that still span components are then gone
+through whole: members with a close sketch in another component come together with
+their texts, part by part, and every pair that is still apart is compared.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Pairs whose sketches agree in a smaller share than this are dropped: five standard deviations below the threshold.
 SKETCH_LEAST = 0.63
-#: Members of a block in the exact comparison; a task compares two blocks.
-BLOCK = 512
+#: Members, and shingles, of a part of a band's group, about; a task compares two parts.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Rows of an id and a hash that may be broadcast, some 30 MB; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -55,10 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Hash of a word; starts anew when it gets large."""
+    """Hash of a word; starts anew when it gets large, some 15 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
         return h
@@ -143,10 +143,10 @@ def _words_key(text: str) -> tuple[int, int]:
 
 
 def sketch_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, of, k1, k2, sketch, bands) of docs (doc_id, of, text), in one pass over the texts.
+    """(doc_id, of, k1, k2, size, sketch, bands) of docs (doc_id, of, text), in one pass over the texts.
 
-    k1 and k2 are the key of the words, sketch holds eight bits of each register, bands a hash of each
-    band. A text without words has nulls.
+    k1 and k2 are the key of the words, size counts different shingles, sketch holds eight bits of each
+    register, bands a hash of each band. A text without words has nulls.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,18 +171,10 @@ def sketch_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: i
                     for j, k in enumerate(keep):
                         keys[k], small[k], banded[k] = _words_key(texts[k]), low[j].tobytes(), h[j].view(np.int64)
                 k1, k2 = zip(*keys) if keys else ((), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(small, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "of", "k1", "k2", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([len(i) for i, _ in each], pa.int32()), pa.array(small, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "of", "k1", "k2", "size", "sketch", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "of", "text").mapInArrow(run, f"doc_id {kind}, of long, k1 long, k2 long, sketch binary, bands array<long>")
-
-
-@F.pandas_udf(T.DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(1))
+    return docs.select("doc_id", "of", "text").mapInArrow(run, f"doc_id {kind}, of long, k1 long, k2 long, size int, sketch binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -190,202 +182,210 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def _close(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (id, l) those whose sketches leave the threshold possible. Eight bits agree by chance once in 256."""
-    left, right = table.select("id", F.col("sketch").alias("x")), table.select(F.col("id").alias("l"), F.col("sketch").alias("y"))
-    return pairs.join(left, "id").join(right, "l").where(_agreement("x", "y") >= F.lit(threshold + SKETCH_LEAST - THRESHOLD)).select("id", "l")
+#: A task compares the members of one band's group, or two blocks of them.
+_TASK = ["band", "p", "q"]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct pairs (a, b) those whose whole texts reach the threshold."""
-    whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-    return whole.where(_similarity("s", "t") >= F.lit(threshold)).select("a", "b").distinct()
+def _array(column: pa.Array) -> np.ndarray:
+    """A column's rows; bytes and lists, which are of one length each, as a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(len(column), -1)
+    if pa.types.is_string(column.type):
+        return np.array([*column.to_pylist(), None], object)[:-1]
+    return column.to_numpy(zero_copy_only=False)
 
 
-def _texts_of(ids: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text) of these groups, written out; the documents are only scanned if the ids are few enough to broadcast."""
-    wanted = materialise(groups.join(ids.distinct(), "id", "left_semi").select("id", F.col("head.doc_id").alias("hd"), F.col("head.of").alias("ho")), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    own = docs.select(F.col("doc_id").alias("d"), F.col("of").alias("o"), "text")
-    return materialise(own.join(wanted, F.col("d").eqNullSafe(F.col("hd")) & (F.col("o") == F.col("ho"))).select("id", "text"), "texts")
-
-
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (id, l) of different components, with the component of l."""
-    own = pairs.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left")
-    both = own.join(roots.select(F.col("node").alias("l"), F.col("root").alias("s")), "l", "left")
-    both = both.select("id", "l", F.coalesce("r", "id").alias("r"), F.coalesce("s", "l").alias("s"))
-    return both.where("r <> s").select("id", "l", "s")
-
-
-def _connect(candidates: DataFrame, found: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """found with the links among the candidates that it takes to connect what they connect, and its components.
-
-    A text that is already in the component of a leader needn't meet it. So first each text meets one
-    leader, then two of each other component, and then all that are left and still apart.
-    """
-    left = candidates
-    for most in (1, 2, None):
-        open_ = materialise(_rooted(left, roots), "open")
-        if most == 1:
-            chosen = open_.groupBy("id").agg(F.min("l").alias("l"))
-        elif most:
-            w = Window.partitionBy("id", "s").orderBy("l")  # a text's leaders: three for each band at most
-            chosen = open_.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("id", "l")
-        else:
-            chosen = open_.select("id", "l")
-        pairs = chosen.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
-        new = materialise(_verified(pairs, texts, threshold), "links")
-        if not new.isEmpty():
-            found = materialise(found.unionByName(new), "links")
-            roots = components(found)
-        elif open_.isEmpty():
-            break
-        left = open_.select("id", "l").join(chosen, ["id", "l"], "left_anti")
-    return found, roots
-
-
-def _blocks(apart: DataFrame) -> DataFrame:
-    """(band, po, pp, qo, qp, side, id, root): the members apart (band, id, root), dealt to pairs of blocks (own, part) of their band's group.
-
-    A component of BLOCK members has blocks of its own, which needn't meet one another; the others
-    share blocks, which meet all. Both have about BLOCK members, so a task is bounded.
-    """
-    sizes = apart.groupBy("band", "root").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(-1).cast("long")))
-    sizes = materialise(sizes, "sizes")
-    parts = materialise(sizes.groupBy("band", "own").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")), "parts")
-    placed = apart.join(sizes.select("band", "root", "own"), ["band", "root"]).join(parts, ["band", "own"])
-    placed = placed.select("band", "own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "root")
-    block = parts.select("band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    p, q = block.toDF("band", "po", "pp"), block.toDF("band", "qo", "qp")
-    met = p.join(q, "band").where((F.struct("po", "pp") <= F.struct("qo", "qp")) & ((F.col("po") != F.col("qo")) | (F.col("po") < 0)))
-    sides = F.when((F.col("po") == F.col("qo")) & (F.col("pp") == F.col("qp")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    met = met.withColumn("side", F.explode(sides))
-    met = met.withColumn("own", F.when(F.col("side") == 0, F.col("po")).otherwise(F.col("qo"))).withColumn("part", F.when(F.col("side") == 0, F.col("pp")).otherwise(F.col("qp")))
-    return placed.join(materialise(met, "met"), ["band", "own", "part"]).select(*_TASK, "side", "id", "root")
-
-
-_TASK = ["band", "po", "pp", "qo", "qp"]
-
-
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each task, from batches in which they follow one another."""
-    held: list[pa.RecordBatch] = []
+def _tasks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple[int, int, int], list[np.ndarray]]]:
+    """Key and columns of each task, from batches in which its rows follow one another."""
+    held: list[list[np.ndarray]] = []
     key = None
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(_TASK))], 1)
+        cols = [_array(b.column(c)) for c in columns]
+        keys = np.stack([b.column(k).to_numpy() for k in _TASK], 1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for i, j in zip(cuts, cuts[1:]):
-            if held and tuple(keys[i]) != key:
-                yield pa.Table.from_batches(held)
+            own = tuple(keys[i].tolist())
+            if held and own != key:
+                yield key, [np.concatenate(c) for c in zip(*held)]
                 held = []
-            key = tuple(keys[i])
-            held.append(b.slice(i, j - i))
+            key = own
+            held.append([c[i:j] for c in cols])
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def _near(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of a task's pairs of different components with close sketches that share no earlier band, the closest first."""
-    side, root = t.column("side").to_numpy(), t.column("root").to_numpy()
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
-    earlier = bands[:, : np.flatnonzero(bands[0] == t.column("band")[0].as_py())[0]]
-    two = t.column("po")[0] != t.column("qo")[0] or t.column("pp")[0] != t.column("qp")[0]
-    second = np.flatnonzero(side == 1)
-    rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-    for i in np.flatnonzero(side == 0):
-        o = second if two else np.arange(i + 1, len(side))
-        o = o[root[o] != root[i]]
-        share = (sketch[o] == sketch[i]).mean(1) if len(o) else np.zeros(0)
-        o, share = o[share >= least], share[share >= least]
-        own = ~(earlier[o] == earlier[i]).any(1)
-        rows.append((np.full(own.sum(), i), o[own], share[own]))
-    a, b, share = (np.concatenate(c) for c in zip(*rows))
-    order = np.argsort(-share, kind="stable")
-    return a[order], b[order]
+        yield key, [np.concatenate(c) for c in zip(*held)]
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows with each task's in one partition, one after another."""
+    """Rows with each task's in one partition, one after another, by id."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *_TASK).sortWithinPartitions(*_TASK)
+    return rows.repartition(n, *_TASK).sortWithinPartitions(*_TASK, "id")
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """(band, p, q, part, id): the members of each band's group of two and more, in every task that needs them.
+
+    A group is cut into parts by a hash of the id, so that a part holds about BLOCK members and
+    BLOCK_SHINGLES shingles at most, and a task meets two parts, or one with itself.
+    """
+    members = groups.select(F.explode("bands").alias("band"), "id", "size")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("s")).where("n > 1")
+    parts = sizes.select("band", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"))
+    placed = members.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.select("band", "part", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return placed.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id")
 
 
-def _exactly(members: DataFrame, found: DataFrame, roots: DataFrame, groups: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """found with the links it takes to connect all similar members of a band's group, and its components.
+def _closest(placed: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b): of each member in each of its tasks the one of closest sketch, and the closest of those before it.
 
-    Of the pairs of a group all that hold a leader were tried before. Of the others each is compared
-    in the first band that it shares, in a task over two blocks, which passes over pairs that its own
-    links have connected.
+    Only pairs whose sketches leave the threshold possible are taken, at most two for each member and task,
+    and every member that has any such partner is in one.
     """
-    at = members.where("id <> l1 and id <> l2 and id <> l3").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, p, q), (part, ids, sketch) in _tasks(batches, ["part", "id", "sketch"]):
+            n, enough = len(ids), int(np.ceil(least * sketch.shape[1]))
+            best, whose = np.full(n, enough - 1), np.full(n, -1)
+            pairs = []
+            first = np.flatnonzero(part == p)
+            for i in range(n) if p == q else np.flatnonzero(part == q):
+                o = np.arange(i) if p == q else first
+                if not len(o):
+                    continue
+                same = (sketch[o] == sketch[i]).sum(1)
+                k = same.argmax()
+                if same[k] >= enough:
+                    pairs.append((i, o[k]))
+                    if same[k] > best[i]:
+                        best[i], whose[i] = same[k], o[k]
+                up = same > best[o]
+                best[o[up]], whose[o[up]] = same[up], i
+            pairs += [(i, whose[i]) for i in np.flatnonzero(whose >= 0)]
+            if pairs:
+                x, y = (ids[np.array(c)] for c in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = placed.join(groups.select("id", "sketch"), "id").select(*_TASK, "part", "id", "sketch")
+    return _dealt(rows).mapInArrow(run, "a long, b long").distinct()
+
+
+def _texts_of(ids: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of these groups, written out; the documents are only scanned if the ids are few enough to broadcast."""
+    wanted = materialise(groups.join(ids.distinct(), "id", "left_semi").select("id", F.col("head.doc_id").alias("hd"), F.col("head.of").alias("ho")), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    own = docs.select(F.col("doc_id").alias("d"), F.col("of").alias("o"), "text")
+    return materialise(own.join(wanted, F.col("d").eqNullSafe(F.col("hd")) & (F.col("o") == F.col("ho"))).select("id", "text").dropDuplicates(["id"]), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct pairs (a, b) those whose whole texts reach the threshold."""
+    whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+    return whole.where(_similarity("s", "t") >= F.lit(threshold)).select("a", "b")
+
+
+class _Exact:
+    """Exact similarities of one text to many of a task."""
+
+    def __init__(self, texts: np.ndarray) -> None:
+        self.each = [weighted(t) for t in texts]
+        self.at = np.concatenate([[0], np.cumsum([len(i) for i, _ in self.each])])
+        self.code = np.unique(np.concatenate([i for i, _ in self.each]), return_inverse=True)[1]
+        self.share = np.concatenate([n / n.sum() for _, n in self.each])
+        self.plain = np.array([n.max() == 1 for _, n in self.each])
+        self.mine = np.zeros(int(self.code.max()) + 1)
+
+    def alike(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the others that reach the threshold with text i.
+
+        Texts without repeated shingles are counted out. For others the sum of the lesser shares of
+        shared shingles bounds the similarity from above, and what it leaves is computed.
+        """
+        own = slice(self.at[i], self.at[i + 1])
+        self.mine[self.code[own]] = self.share[own]
+        n = np.diff(self.at)[others]
+        ends = np.cumsum(n)
+        rows = np.arange(ends[-1]) + np.repeat(self.at[others] - ends + n, n)
+        mine, starts = self.mine[self.code[rows]], ends - n
+        shared = np.add.reduceat((mine > 0).astype(np.int64), starts)
+        bound = np.add.reduceat(np.minimum(mine, self.share[rows]), starts)
+        self.mine[self.code[own]] = 0
+        plain = self.plain[others] & self.plain[i]
+        good = plain & (shared / (n + len(self.each[i][0]) - shared) >= threshold)
+        for k in np.flatnonzero(~plain & (bound >= threshold - 1e-9)):
+            good[k] = alike(self.each[i], self.each[others[k]]) >= threshold
+        return others[good]
+
+
+def _met(i: int, p: int, q: int, part: np.ndarray) -> np.ndarray:
+    """The rows that row i meets in its task, each pair once."""
+    if p == q:
+        return np.arange(i)
+    return np.flatnonzero(part == p) if part[i] == q else np.zeros(0, int)
+
+
+def _remaining(placed: DataFrame, roots: DataFrame, groups: DataFrame, texts: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all similar members of different components in any band's group.
+
+    A task first marks the members that have a partner in another component with a close sketch, in the
+    first band that both share. With their texts it then compares all pairs that are still apart.
+    """
+    at = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*_TASK, "part", "id", F.coalesce("root", "id").alias("root"))
     at = materialise(at, "rooted")
-    spans = materialise(at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band"), "spans")
-    apart = materialise(at.join(spans, "band"), "apart")
-    if apart.isEmpty():
-        return found, roots
-    least = threshold + SKETCH_LEAST - THRESHOLD
-    task = "band long, po long, pp int, qo long, qp int, side int, id long, root long"
-    table = materialise(groups.join(apart.select("id").distinct(), "id", "left_semi").select("id", "sketch", "bands"), "apart_sketches")
+    spans = at.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
+    apart = at.join(spans, "band").join(groups.select("id", "sketch", "bands"), "id").select(*_TASK, "part", "id", "root", "sketch", "bands")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _tasks(batches):
-            if len(own := np.unique(np.concatenate(_near(t, least)))):
-                yield from t.select([*_TASK, "side", "id", "root"]).take(pa.array(own)).combine_chunks().to_batches()
-
-    near = materialise(_dealt(_blocks(apart).join(table, "id").select(*_TASK, "side", "id", "root", "sketch", "bands")).mapInArrow(close, task), "near")
-    if near.isEmpty():
-        return found, roots
-    texts = _texts_of(near.select("id"), groups, docs)
+        for (band, p, q), (part, ids, root, sketch, bands) in _tasks(batches, ["part", "id", "root", "sketch", "bands"]):
+            enough, own = int(np.ceil(least * sketch.shape[1])), np.zeros(len(ids), bool)
+            earlier = bands[:, : np.flatnonzero(bands[0] == band)[0]]
+            for i in range(len(ids)):
+                o = _met(i, p, q, part)
+                o = o[root[o] != root[i]]
+                o = o[(sketch[o] == sketch[i]).sum(1) >= enough]
+                o = o[~(earlier[o] == earlier[i]).any(1)]
+                own[o] = True
+                own[i] |= len(o) > 0
+            if own.any():
+                k = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), band)), *(pa.array(np.full(len(k), x), pa.int32()) for x in (p, q)), pa.array(part[k]), pa.array(ids[k]), pa.array(root[k])], names=[*_TASK, "part", "id", "root"])
+
+    task = "band long, p int, q int, part int, id long, root long"
+    near = materialise(_dealt(apart).mapInArrow(close, task), "near")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _tasks(batches):
-            ids, root, text = t.column("id").to_pylist(), t.column("root").to_pylist(), t.column("text")
-            top: dict[int, int] = {}
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-            def of(x: int) -> int:
-                while (y := top.get(x, x)) != x:
-                    top[x] = x = top.get(y, y)
-                return x
-
-            out = []
-            for i, j in zip(*(x.tolist() for x in _near(t, least))):
-                if (x := of(root[i])) != (y := of(root[j])):
-                    for k in (i, j):
-                        if k not in held:
-                            held[k] = weighted(text[k].as_py())
-                    if alike(held[i], held[j]) >= threshold:
-                        top[x] = y
+        for (_, p, q), (part, ids, root, text) in _tasks(batches, ["part", "id", "root", "text"]):
+            exact, top, out = _Exact(text), root.copy(), []
+            for i in range(len(ids)):
+                o = _met(i, p, q, part)
+                o = o[top[o] != top[i]]
+                for j in exact.alike(i, o, threshold) if len(o) else ():
+                    if top[j] != top[i]:
+                        top[top == top[j]] = top[i]
                         out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    whole = near.join(table, "id").join(texts, "id").select(*_TASK, "side", "id", "root", "sketch", "bands", "text")
-    new = materialise(_dealt(whole).mapInArrow(verify, "a long, b long").distinct(), "links")
-    if new.isEmpty():
-        return found, roots
-    found = materialise(found.unionByName(new), "links")
-    return found, components(found)
+    return _dealt(near.join(texts, "id").select(*_TASK, "part", "id", "root", "text")).mapInArrow(verify, "a long, b long").distinct()
 
 
 def links(groups: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between groups of equal words (id, head, sketch, bands), enough to connect every class, and their components."""
-    table = groups.select("id", "sketch")
-    members = groups.select("id", F.explode("bands").alias("band"))
-    lead = members.groupBy("band").agg(F.min("id").alias("l1"), F.max("id").alias("l2"), F.min_by("id", F.xxhash64("id")).alias("l3")).where("l1 <> l2")
-    members = materialise(members.join(materialise(lead, "leaders"), "band"), "members")
-    pairs = members.select("id", F.explode(F.array("l1", "l2", "l3")).alias("l")).where("id <> l").distinct()
-    close = materialise(_close(pairs, table, threshold), "close")
-    texts = _texts_of(close.select("id").unionByName(close.select(F.col("l").alias("id"))), groups, docs)
-    found = groups.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    roots = groups.select(F.col("id").alias("node"), F.col("id").alias("root")).where("false")
-    found, roots = _connect(close, found, roots, texts, threshold)
-    return _exactly(members, found, roots, groups, docs, threshold)
+    """Verified links (a, b) between groups of equal words (id, head, size, sketch, bands), enough to connect every class, and their components.
+
+    The closest pairs are verified first and connect most of what belongs together; then all pairs of
+    a band's group that are still apart and whose sketches are close are compared on their texts.
+    """
+    least = threshold + SKETCH_LEAST - THRESHOLD
+    placed = materialise(_blocks(groups), "placed")
+    pairs = materialise(_closest(placed, groups, least), "pairs")
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), groups, docs)
+    found = materialise(_verified(pairs, texts, threshold), "links")
+    more = materialise(_remaining(placed, components(found), groups, texts, least, threshold), "more")
+    found = found.unionByName(more).distinct()
+    return found, components(found)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -393,11 +393,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     class_id is the least id in the class (a null one is the least); n_links counts the verified links
     kept at the text's group of equal words. Texts of equal words are of one class; a text without
-    words, null included, is a class of its own.
+    words, null included, is a class of its own. A text of fewer than five words is one shingle. Long
+    texts count whole. Of equal ids the least hash of text names the class. Repeated rows give one row,
+    an empty table none; other columns of docs play no part.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("of"), F.col(text).alias("text"))
     rows = materialise(sketch_table(docs), "sketches")
-    groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "of")).alias("head"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "of")).alias("head"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     groups = materialise(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     found, roots = links(groups, docs, threshold)
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))

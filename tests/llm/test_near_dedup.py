@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from made import prose
 
 from flowrhythm.llm import near_dedup
@@ -41,7 +42,8 @@ def test_registers_agree_as_often_as_texts_are_alike():
     assert abs(np.mean(got) - np.mean(want)) < 0.02
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [500_000, 60])
+def test_components(spark, chunk):
     r = random.Random(5)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)]
     root = {x: x for p in links for x in p}
@@ -54,7 +56,7 @@ def test_components(spark):
     for a, b in links:
         a, b = top(a), top(b)
         root[max(a, b)] = min(a, b)
-    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long"), chunk=chunk).collect()}
     assert got == {x: top(x) for p in links if p[0] != p[1] for x in p}
 
 
