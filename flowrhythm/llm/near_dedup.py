@@ -55,10 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Hash of a word; starts anew when it gets large, some 15 MB."""
+    """Hash of a word; starts anew when it gets large, some 20 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 16:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
         return h

@@ -1,9 +1,15 @@
 """Substring dedup by sliding runs of sentences.
 
-Every run of consecutive sentences is hashed: from each sentence on, the shortest
-run of at least MIN_SENTENCES sentences and MIN_WORDS words, and likewise up to each
-sentence. A run that occurs more than once keeps its first occurrence, by document
-and place; the sentences of every later one are removed.
+A text is cut after sentences and lines, and longer sentences also at points that their
+words choose: of every CUT_WORDS gaps between words at least one is a cut, the one whose
+two words have the least hash. So the cuts of a passage don't depend on what it is set
+into, but for those near its ends.
+
+Every run of consecutive sentences is hashed: from each cut on, the shortest run of at
+least MIN_WORDS words, and likewise up to the end of each sentence. A run that occurs
+more than once keeps its first occurrence, by document and place; what later ones cover
+is removed. Any passage of 2 * CUT_WORDS + MIN_WORDS + CUT_WORDS words, 50 by default,
+holds a whole run, wherever it stands.
 """
 
 from __future__ import annotations
@@ -20,80 +26,105 @@ from pyspark.sql import types as T
 
 from flowrhythm.llm.common import fresh, materialise
 
-MIN_SENTENCES, MIN_WORDS = 2, 16
-#: After closing marks and white space; after a line; before a capitalised word that follows another word.
-_BREAK = re.compile(r"[.!?][.!?\"')\]]*\s+|\n\s*|(?<=[\w,;:])[ \t]+(?=[A-ZÀ-ÖØ-ÞŒ](?:[a-zà-öø-ÿœ]|\s))")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Places of the sentences, each with the white space after it; together they are the text."""
-    ends = sorted({m.end() for m in _BREAK.finditer(text)} | {len(text)})
-    return [(a, b) for a, b in zip([0, *ends], ends) if b > a]
-
-
-def runs(words: np.ndarray, hashes: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last + 1, hash) of all runs. hashes: two 64-bit words a sentence; a run's are a polynomial of them."""
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum(words)])
-    first = np.arange(n)
-    ends = np.maximum(first + min_sentences, np.searchsorted(total, total[:-1] + min_words, "left"))
-    last = np.arange(1, n + 1)
-    starts = np.minimum(last - min_sentences, np.searchsorted(total, total[1:] - min_words, "right") - 1)
-    a = np.concatenate([first[ends <= n], starts[starts >= 0]])
-    b = np.concatenate([ends[ends <= n], last[starts >= 0]])
-    keep = np.unique(a * (n + 1) + b) if n else np.zeros(0, np.int64)
-    a, b = keep // (n + 1), keep % (n + 1)
-    base = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-    out = np.zeros((len(a), 2), np.uint64)
-    with np.errstate(over="ignore"):
-        at = a.copy()
-        while True:
-            on = at < b
-            if not on.any():
-                break
-            out[on] = (out[on] ^ (out[on] >> np.uint64(29))) * base + hashes[at[on]]
-            at[on] += 1
-        out ^= (b - a).astype(np.uint64)[:, None] * base[::-1]
-    return a, b, out
+#: Words of a run at least, gaps of which one is a cut.
+MIN_WORDS, CUT_WORDS = 20, 10
+#: Characters of texts that are hashed at once.
+SLICE = 1 << 20
+_TOKEN = re.compile(r"\n|\S+")
+_WORD = re.compile(r"\S+")
+_END = re.compile(r"[.!?][.!?\"')\]]*\Z")
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+class _Words(dict):
+    """Hash of a word in lower case, odd if it ends a sentence; 0 for the end of a line. Starts anew when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.lower().encode()) & ~1 | bool(_END.search(word)) if word != "\n" else 0
+        self[word] = h
+        return h
 
 
-def _hash(sentence: str) -> int:
-    return xxhash.xxh3_128_intdigest(" ".join(sentence.split()).lower().encode())
+_WORDS = _Words()
+
+
+def cuts(texts: list[str], cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
+    """Of the words of all texts, one after another: hash, whether one begins a sentence, whether there is a cut before it; where each text begins."""
+    each = [[0, *map(_WORDS.__getitem__, _TOKEN.findall(t))] for t in texts]
+    tokens = np.concatenate([np.array(x, np.uint64) for x in each]) if each else np.zeros(0, np.uint64)
+    word = tokens != 0
+    h = tokens[word]
+    begins = np.concatenate([[True], tokens[:-1] == 0])[word] if len(tokens) else word
+    begins[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
+    starts = np.concatenate([[0], np.cumsum(word)])[np.cumsum([0] + [len(x) for x in each])]
+    gap = np.zeros(len(h) + cut_words - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (h[:-1] * _MIX[0] ^ h[1:]) * _MIX[1]
+    gap[1 : len(h)] = mixed >> np.uint64(1) | np.uint64(1)
+    gap[: len(h)][begins] = 0
+    cut = np.zeros(len(gap), bool)
+    if len(h):
+        cut[np.arange(len(h)) + np.lib.stride_tricks.sliding_window_view(gap, cut_words).argmin(1)] = True
+    return h, begins, cut[: len(h)], starts
+
+
+def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, first word, last word + 1, two words of hash) of all runs."""
+    h, begins, cut, starts = cuts(texts, cut_words)
+    n = len(h)
+    at = np.append(np.flatnonzero(cut), n)
+    of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    # from each cut
+    a = at[:-1]
+    k = np.searchsorted(at, a + min_words)
+    b = at[np.minimum(k, len(at) - 1)]
+    good = (k < len(at)) & (b <= starts[of[a] + 1])
+    # up to each end of a sentence
+    e = np.append(np.flatnonzero(begins), n)
+    e = e[e > 0]
+    k = np.searchsorted(at, e - min_words, "right") - 1
+    s = at[np.maximum(k, 0)]
+    fit = (k >= 0) & (s >= starts[of[e - 1]]) if len(e) else np.zeros(0, bool)
+    both = np.unique(np.concatenate([a[good], s[fit]]) * (n + 1) + np.concatenate([b[good], e[fit]]))
+    a, b = both // (n + 1), both % (n + 1)
+    out = np.zeros((len(a), 2), np.uint64)
+    with np.errstate(over="ignore"):
+        i = a.copy()
+        while (on := i < b).any():
+            out[on] = (out[on] ^ (out[on] >> np.uint64(29))) * _MIX + h[i[on], None]
+            i[on] += 1
+        out = (out ^ (out >> np.uint64(31))) * _MIX[::-1] ^ (b - a).astype(np.uint64)[:, None]
+    first = starts[of[a]] if len(a) else a
+    return of[a] if len(a) else a, a - first, b - first, out[:, 0].copy(), out[:, 1].copy()
 
 
-def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, id, of, first, last): every run of every text; `of` is a hash of the text, last is exclusive."""
+def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
+    """(h1, h2, id, of, first, last): every run of every text; `of` is a hash of the text, last is exclusive; both count words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = (1 << 64) - 1
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k, x in enumerate(b.column(2)):
-                t = x.as_py() or ""
-                cut = [t[i:j] for i, j in sentences(t)]
-                if len(cut) < min_sentences:
-                    continue
-                h = [_hash(s) for s in cut]
-                pair = np.array([[v >> 64 for v in h], [v & low for v in h]], np.uint64).T
-                first, last, out = runs(np.array([len(s.split()) for s in cut]), pair, min_sentences, min_words)
-                for c, v in zip(cols, (out[:, 0].view(np.int64), out[:, 1].view(np.int64), np.full(len(first), k), first, last)):
-                    c.append(v)
-            h1, h2, k, first, last = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-            k = pa.array(k.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h1)), pa.array(np.ascontiguousarray(h2)), b.column(0).take(k), b.column(1).take(k), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h1", "h2", "id", "of", "first", "last"])
+            texts = [x or "" for x in b.column(2).to_pylist()]
+            part = np.cumsum([len(x) for x in texts]) // SLICE
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for i, j in zip([0, *ends], ends):
+                k, first, last, h1, h2 = runs(texts[i:j], min_words, cut_words)
+                k = pa.array(k + i)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(0).take(k), b.column(1).take(k), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h1", "h2", "id", "of", "first", "last"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("of"), F.col(text).alias("text"))
     return keyed.mapInArrow(run, f"h1 long, h2 long, id {kind}, of long, first int, last int")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, of, spans): for each document the runs of sentences that occurred before, as [first, last) pairs.
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
+    """(id, of, spans): for each document the runs that occurred before, as [first, last) pairs of words.
 
     First is the occurrence with the least id (a null one is the least), then hash of text, then place.
     Rows that agree in id and text are one document.
     """
-    found = sentence_runs(docs, doc_id, text, min_sentences, min_words)
+    found = materialise(sentence_runs(docs, doc_id, text, min_words, cut_words), "runs")
     place = F.struct("id", "of", "first")
     heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(~F.col("head").eqNullSafe(F.col("tail"))).select("h1", "h2", "head")
     heads = materialise(heads, "heads")  # joined by exchanges of their own, so that a hot run can be split
@@ -101,14 +132,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return later.groupBy("id", "of").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # spans of one text
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: str | None = None, min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
     """docs with repeated spans removed from the text; all rows and columns stay.
 
-    A row whose text is repeated altogether keeps an empty text; a null text stays null. With `count`,
-    a column of that name tells how many sentences were removed. Rows that repeat in id and text stay
-    and are treated alike.
+    A row whose text is repeated altogether keeps an empty text; a null text stays null, and one of
+    fewer than min_words words stays as it is. Texts of any length count whole. With `count`, a column
+    of that name, which is replaced if docs has it, tells how many words were removed. Rows that repeat
+    in id and text stay and are treated alike; an empty table stays empty.
     """
-    spans = repeated_spans(docs, doc_id, text, min_sentences, min_words)
+    spans = repeated_spans(docs, doc_id, text, min_words, cut_words)
     a, b, c = (fresh(docs, n) for n in ("span_id", "span_of", "span_list"))
     spans = spans.select(F.col("id").alias(a), F.col("of").alias(b), F.col("spans").alias(c))
     joined = docs.join(spans, F.col(doc_id).eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(b)), "left")
@@ -120,11 +152,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts, removed = [], []
             for x, s in zip(batch.column(text).to_pylist(), batch.column(c).to_pylist()):
                 if s and x:
-                    at = sentences(x)
+                    at = np.array([m.start() for m in _WORD.finditer(x)] + [len(x)])
                     gone = np.zeros(len(at), bool)
                     for p in s:
                         gone[p["first"] : p["last"]] = True
-                    x = "".join([x[i:j] for (i, j), g in zip(at, gone) if not g])
+                    edge = np.flatnonzero(np.diff(gone, prepend=False))  # where a removed stretch begins, where it ends
+                    keep = [0, *at[edge].tolist(), len(x)]
+                    x = "".join([x[i:j] for i, j in zip(keep[::2], keep[1::2])])
                     removed.append(int(gone.sum()))
                 else:
                     removed.append(0)
