@@ -1,38 +1,46 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field.
 
 The patterns give the base spans, which always stay. The random field reads the
-surroundings of digits and at-signs, cut into tokens, and scores whole segments: how
-many digits and separators of which kind a segment has, how its digits are grouped,
-whether it passes a checksum, what it begins and ends with, what stands beside it.
-Dynamic programming over segments of bounded length chooses boundaries and types
+surroundings of digits, at-signs and spelled-out ones, cut into tokens, and scores whole
+segments: how many digits and separators of which kind a segment has, how its digits are
+grouped, whether it passes a checksum, what it begins and ends with, what stands beside
+it. Dynamic programming over segments of bounded length chooses boundaries and types
 together. It is trained on a bounded sample of the corpus, with the base spans as
-labels, and on variants of it that the patterns miss (no plus before a phone number,
-"(at)" in an address, dots in a card number), so it adds what they leave.
+labels, and on variants of it that the patterns miss (no plus before a phone number, a
+spelled-out at or dot in an address, dots in a card number, brackets in an IP address),
+so it adds what they leave; dates, versions and the like in their places stay unmarked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that training fetches, characters of each, windows of each kind it uses, rounds.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, ROUNDS = 400, 20_000, 50, 4
+#: Documents of each kind that training reads, whole; windows it takes of one, windows of each kind it uses, rounds.
+SAMPLE_DOCS, DOC_WINDOWS, SAMPLE_WINDOWS, ROUNDS = 120, 6, 40, 6
 #: Tokens of an entity and of a training window at most, white-space chunks of context, gain that a span must have.
-ENTITY_TOKENS, WINDOW_TOKENS, CONTEXT, MIN_GAIN = 24, 80, 2, 2.0
+ENTITY_TOKENS, WINDOW_TOKENS, CONTEXT, MIN_GAIN = 32, 80, 2, 2.0
+#: Tokens around an entity that its variants are learned with, and how many of them each window gives.
+MARGIN, FORMS = 8, 6
 
 Span = tuple[int, int]
 
 _ANY = re.compile("[0-9@]")
+#: A spelled-out at-sign, with a word and a dot, or a spelled-out one, after it.
+_SPELLED = re.compile(r"(?i)(?<![^\W\d_])at(?![^\W\d_])[\s)\]}>]{1,3}[a-z0-9-]+(?:\.[a-z]|[\s(\[{<]{1,3}dot[\s)\]}>])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -81,11 +89,14 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 def stretches(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(place, tokens) around the chunks that hold a digit or an at-sign, of any length."""
-    if not _ANY.search(text):
+    """(place, tokens) around the chunks that hold a digit, an at-sign or a spelled-out one, of any length."""
+    spelled = [m.start() for m in _SPELLED.finditer(text)]
+    if not spelled and not _ANY.search(text):
         return
     chunks = [m.span() for m in re.finditer(r"\S+", text)]
-    held = [k for k, (a, b) in enumerate(chunks) if _ANY.search(text, a, b)]
+    held = {k for k, (a, b) in enumerate(chunks) if _ANY.search(text, a, b)}
+    firsts = [a for a, _ in chunks]
+    held = sorted(held | {bisect_right(firsts, x) - 1 for x in spelled})
     i = 0
     while i < len(held):
         j = i
@@ -110,7 +121,7 @@ def _class(token: str) -> str:
     if token.isdigit() and token.isascii():
         return "9"
     if token.isalpha():
-        return "a" if token.lower() not in ("at", "dot") else "@"
+        return {"at": "@", "dot": ":dot"}.get(token.lower(), "a")
     return "_" if token.isspace() else token
 
 
@@ -124,7 +135,7 @@ def span_features(tokens: list[str], classes: list[str], i: int, j: int) -> list
     text = "".join(tokens[i:j])
     groups = [len(t) for t, c in zip(tokens[i:j], own) if c == "9"]
     digits = "".join(t for t, c in zip(tokens[i:j], own) if c == "9")
-    marks = "".join(sorted({c for c in own if c not in "9a_"}))
+    marks = "".join(sorted({c for c in own if c not in ("9", "a", "_")}))
     out = [
         f"digits {_bucket(len(digits))}", f"groups {'-'.join(map(str, groups)) if len(groups) <= 5 else 'many'}", f"marks {marks}", f"letters {_bucket(sum(c == 'a' for c in own))}",
         f"dots {_bucket(own.count('.'))}", f"ats {own.count('@')}", f"spaces {_bucket(own.count('_'))}", f"begins {own[0]}", f"ends {own[-1]}", f"tokens {_bucket(j - i)}",
@@ -144,7 +155,7 @@ def candidates(tokens: list[str], classes: list[str], first: int = 0, end: int |
     out = []
     n = len(tokens)
     for i in range(first, n if end is None else min(n, end)):
-        if classes[i] not in "9a+([@":
+        if classes[i] not in ("9", "a", "+", "(", "["):
             continue
         marked, spaces = False, 0
         for j in range(i, min(n, i + ENTITY_TOKENS)):
@@ -153,8 +164,8 @@ def candidates(tokens: list[str], classes: list[str], first: int = 0, end: int |
                 spaces += 1
                 if "\n" in tokens[j] or spaces > 5:
                     break
-            marked = marked or c in "9@"
-            if marked and c in "9a":
+            marked = marked or c in ("9", "@")
+            if marked and c in ("9", "a"):
                 out.append((i, j + 1))
     return out
 
@@ -177,20 +188,23 @@ class Lattice:
 
 @dataclass
 class SemiMarkov:
-    """Weights of (feature, kind), and of features of tokens outside."""
+    """Weights of (feature, kind), and of features of tokens outside. A last row of zeros stands for all unknown features."""
 
     index: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, len(KINDS) + 1)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, len(KINDS) + 1)))
+
+    def ids(self, each: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the weights of all features, and where each list of them begins."""
+        get, unknown = self.index.get, len(self.index)
+        return np.array([get(f, unknown) for fs in each for f in fs], np.int64), np.cumsum([0, *map(len, each)])[:-1]
 
-    def ids(self, features: list[str]) -> list[int]:
-        return [k for f in features if (k := self.index.get(f)) is not None]
+    def summed(self, ids: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        rows, starts = ids
+        return np.add.reduceat(self.weights[rows], starts) if len(starts) else self.weights[:0]
 
     def scores(self, x: Lattice) -> tuple[np.ndarray, np.ndarray]:
         """Of each span for each kind, and of each token outside."""
-        s = np.zeros((len(x.spans), len(KINDS)))
-        for k, f in enumerate(x.features):
-            s[k] = self.weights[self.ids(f), 1:].sum(0)
-        return s, np.array([self.weights[self.ids(f), 0].sum() for f in x.single])
+        return self.summed(self.ids(x.features))[:, 1:], self.summed(self.ids(x.single))[:, 0]
 
     def best(self, x: Lattice) -> list[tuple[int, int, str, float]]:
         """The best segmentation's entities (first, last, kind, gain over leaving the tokens outside)."""
@@ -266,26 +280,27 @@ def train(examples: list[tuple[list[str], list[tuple[int, int, str]]]], rounds:
     """Weights by the gradient of the conditional likelihood, in steps that adapt to each weight. examples: tokens, entities."""
     lattices = [(Lattice.of(t), e) for t, e in examples]
     names = sorted({f for x, _ in lattices for fs in (*x.features, *x.single) for f in fs})
-    model = SemiMarkov({f: k for k, f in enumerate(names)}, np.zeros((len(names), len(KINDS) + 1)))
-    known = [([model.ids(f) for f in x.features], [model.ids(f) for f in x.single]) for x, _ in lattices]
+    model = SemiMarkov({f: k for k, f in enumerate(names)}, np.zeros((len(names) + 1, len(KINDS) + 1)))
+    known = [(model.ids(x.features), model.ids(x.single)) for x, _ in lattices]
     seen = np.full_like(model.weights, 1e-2)
     for _ in range(rounds):
         for (x, entities), (of_span, of_token) in zip(lattices, known):
-            s, o = model.scores(x)
+            s, o = model.summed(of_span)[:, 1:], model.summed(of_token)[:, 0]
             p, q = _marginals(x, s, o)
-            g = -1e-3 * model.weights
             at = {span: k for k, span in enumerate(x.spans)}
-            covered = np.zeros(x.n, bool)
+            outside = np.ones(x.n)
+            more = -p
             for i, j, kind in entities:
                 if (k := at.get((i, j))) is not None:
-                    g[of_span[k], 1 + KINDS.index(kind)] += 1
-                    covered[i:j] = True
-            for k in np.flatnonzero(p.max(1) > 1e-4) if len(p) else ():
-                g[of_span[k], 1:] -= p[k]
-            for k in range(x.n):
-                g[of_token[k], 0] += (not covered[k]) - q[k]
-            seen += g * g
-            model.weights += 0.5 * g / np.sqrt(seen)
+                    more[k, KINDS.index(kind)] += 1
+                    outside[i:j] = 0
+            rows = np.unique(np.concatenate([of_span[0], of_token[0]]))
+            g = -1e-3 * model.weights[rows]
+            for (ids, starts), own, cols in ((of_span, more, slice(1, None)), (of_token, (outside - q)[:, None], slice(0, 1))):
+                each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+                np.add.at(g[:, cols], np.searchsorted(rows, ids), own[each])
+            seen[rows] += g * g
+            model.weights[rows] += 0.5 * g / np.sqrt(seen[rows])
     return model
 
 
@@ -304,47 +319,126 @@ def _labelled(tokens: list[str], at: int, base: dict[str, list[Span]]) -> list[t
     return sorted(out)
 
 
-def _variants(tokens: list[str], entities: list[tuple[int, int, str]]) -> Iterator[tuple[list[str], list[tuple[int, int, str]]]]:
-    """The window with its first entity written as the patterns don't expect it."""
+def _cropped(tokens: list[str], entities: list[tuple[int, int, str]], i: int, j: int) -> tuple[list[str], list[tuple[int, int, str]]]:
+    """The tokens around those from i to j, without a part of any other entity."""
+    a, b = max(0, i - MARGIN), min(len(tokens), j + MARGIN)
+    for x, y, _ in entities:
+        if x < a < y:
+            a = y
+        if x < b < y:
+            b = x
+    return tokens[a:b], [(x - a, y - a, k) for x, y, k in entities if x >= a and y <= b]
+
+
+def _joined(parts: list[str], *marks: list[str]) -> list[str]:
+    """Parts with marks between, the last of them again and again."""
+    out = [parts[0]]
+    for k, p in enumerate(parts[1:]):
+        out += [*marks[min(k, len(marks) - 1)], p]
+    return out
+
+
+def _forms(own: list[str], kind: str) -> list[list[str]]:
+    """Other ways to write an entity."""
+    if kind == "phone":
+        digits = "".join(t for t in own if t.isdigit())
+        out = [own[1:]]
+        if len(digits) >= 11:
+            country, rest = digits[:-10], [digits[-10:-7], digits[-7:-4], digits[-4:]]
+            bracketed = ["(", rest[0], ")"]
+            out += [_joined(rest, [m]) for m in "-. "] + [[*bracketed, " ", *_joined(rest[1:], ["-"])], [*bracketed, *_joined(rest[1:], ["-"])]]
+            out += [_joined([country, *rest], ["-"]), ["00" + country, " ", *_joined(rest, [" "])]]
+        return out
+    if kind == "email":
+        local, domain = "".join(own).split("@")
+        plain = [_TOKEN.findall(f"{x}@{y}") for x in (re.sub("[._-]?[0-9]+", "", local) or "me", re.sub("[0-9]+", "lee", local)) for y in (domain, re.sub("(?<=[A-Za-z])[0-9]+", "", domain))]
+        forms = [("( at )", "."), ("_ at _", "."), ("[ at ]", "."), ("_ at _", "_ dot _"), ("( at )", "( dot )"), ("[ at ]", "[ dot ]"), ("_ ( at ) _", ".")]
+        out = []
+        for own, (a, d) in itertools.product([own, *plain], forms):
+            a, d = ([" " if x == "_" else x for x in m.split(" ")] for m in (a, d))
+            out.append([y for k, t in enumerate(own) for y in (a if t == "@" else d if t == "." and k > own.index("@") else [t])])
+        return out
+    if kind == "card":
+        digits = "".join(t for t in own if t.isdigit())
+        four = [digits[k : k + 4] for k in range(0, len(digits), 4)]
+        return [_joined(four, ["."]), _joined(four, [" ", "-", " "]), _joined(four, ["/"])]
+    four = [t for t in own if t.isdigit()]
+    return [_joined(four, ["[", ".", "]"]), _joined(four, ["."], ["."], ["[", ".", "]"])]
+
+
+def _others(r: random.Random) -> list[list[str]]:
+    """What has digits, dots or a word like "at" and is no entity."""
+    n = lambda a, b: str(r.randint(a, b))
+    two = lambda b: f"{r.randint(1, b):02d}"
+    return [
+        [n(1900, 2100), "-", two(12), "-", two(28)], [two(28), ".", two(12), ".", n(1900, 2100)], [two(12), "/", two(28), "/", n(1900, 2100)], [two(23), ":", two(59), ":", two(59)], [n(1, 9), ".", n(0, 20), ".", n(0, 20)], [n(1900, 2000), "-", n(2001, 2100)],
+        [n(1, 999), ",", n(100, 999), ",", n(100, 999)], [n(0, 999), ".", n(0, 99)], ["978", "-", n(1, 9), "-", n(10, 99), "-", n(100000, 999999), "-", n(0, 9)], [n(10**4, 10**9)], [n(10**11, 10**14)], ["seen", " ", "at", " ", "noon"], ["look", " ", "at", " ", "this", ".", "then"], ["at", " ", n(1, 24)],
+    ]
+
+
+def _variants(tokens: list[str], entities: list[tuple[int, int, str]], seed: int) -> Iterator[tuple[list[str], list[tuple[int, int, str]]]]:
+    """What surrounds the window's first entity, with other forms of it, and with what is none."""
     if not entities:
         return
+    tokens, entities = _cropped(tokens, entities, *entities[0][:2])
     i, j, kind = entities[0]
-    own = tokens[i:j]
-    others = []
-    if kind == "phone":
-        others = [own[1:]] + ([own[3:]] if len(own) > 3 and own[2] == " " else [])
-    elif kind == "email":
-        others = [[y for t in own for y in ((["(", "at", ")"] if form else [" ", "at", " "]) if t == "@" else [t])] for form in (0, 1)]
-    elif kind == "card":
-        digits = "".join(t for t in own if t.isdigit())
-        others = [[y for k in range(0, len(digits), 4) for y in ((["."] if k else []) + [digits[k : k + 4]])]]
-    for o in others:
-        shift = len(o) - len(own)
-        yield tokens[:i] + o + tokens[j:], [(i, i + len(o), kind), *((a + shift, b + shift, k) for a, b, k in entities[1:])]
+    r = random.Random(seed)
+    forms, others = _forms(tokens[i:j], kind), _others(r)
+    for own, marked in [*((x, True) for x in r.sample(forms, min(FORMS, len(forms)))), *((x, False) for x in r.sample(others, FORMS // 2))]:
+        shift = len(own) - (j - i)
+        yield tokens[:i] + own + tokens[j:], [(i, i + len(own), kind)] * marked + [(a + shift, b + shift, k) for a, b, k in entities[1:]]
+
+
+#: Whether a text may hold a kind, as Spark tests it; the rest of a pattern's conditions are tested where windows are made.
+_MAY = {"email": "@[A-Za-z0-9-]+\\.", "ip": "[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]", "card": "[0-9]([ -]?[0-9]){15}", "phone": "\\+[0-9]", "none": "[0-9]"}
+
+
+def _whole(base: dict[str, list[Span]], at: int, end: int) -> bool:
+    """Whether no base span is cut by the ends of a window."""
+    return all(b <= at or a >= end or (a >= at and b <= end) for spans in base.values() for a, b in spans)
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SemiMarkov:
-    """A model from at most SAMPLE_DOCS documents with a digit or an at-sign, in the order of a hash of their ids.
+    """A model from at most SAMPLE_DOCS texts that may hold each kind and as many with other digits, in the order of a hash.
 
-    From these, at most SAMPLE_WINDOWS windows of each kind and twice as many without an entity are
-    used. Without any such document the model is empty and adds nothing.
+    Each is read whole, where it lies; at most DOC_WINDOWS of its windows of each kind, in the order of a
+    hash, come to the driver. Of all these at most SAMPLE_WINDOWS of each kind and twice as many without an
+    entity are used. Without any such text the model is empty and adds nothing. Null and empty texts teach
+    nothing, texts that repeat teach once, and ids play no part.
     """
-    marked = docs.where(F.col(text).rlike("[0-9@]"))
-    ids = [r[0] for r in marked.where(F.col(doc_id).isNotNull()).select(doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE_DOCS).collect()]
+    named = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("t"))
+    kinds = F.filter(F.array(*(F.when(F.col("t").rlike(p), F.lit(k)) for k, p in _MAY.items())), lambda x: x.isNotNull())
+    w = Window.partitionBy("kind").orderBy("k")  # cut to SAMPLE_DOCS before the shuffle
+    flagged = named.select("k", F.explode(kinds).alias("kind")).groupBy("kind", "k").agg(F.lit(1).alias("x"))
+    ids = sorted({r.k for r in flagged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE_DOCS).select("k").collect()})
     if not ids:
         return SemiMarkov()
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], T.StructType([T.StructField("k", docs.schema[doc_id].dataType)]))
-    rows = docs.select(F.col(doc_id).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(chosen), "k").limit(4 * SAMPLE_DOCS).collect()  # SAMPLE_DOCS keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(0).to_pylist():
+                base, of = base_spans(t), {}
+                for at, tokens in windows(t):
+                    if _whole(base, at, at + sum(map(len, tokens))):
+                        entities = _labelled(tokens, at, base)
+                        said = json.dumps([tokens, entities])
+                        for k in {k for *_, k in entities} or {None}:
+                            of.setdefault(k, set()).add((hashlib.md5(said.encode()).hexdigest(), said))
+                out += sorted({x for found in of.values() for x in sorted(found)[:DOC_WINDOWS]})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 2, names=["h", "said"])
+
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "k long")
+    found = named.join(F.broadcast(chosen), "k").select("t").mapInArrow(run, "h string, said string").distinct().collect()  # windows of a bounded number of texts
     examples, taken = [], dict.fromkeys((*KINDS, None), 0)
-    for _, t in sorted({(r.k, r.t) for r in rows if r.t}, key=lambda x: (hashlib.md5(str(x[0]).encode()).digest(), x[1])):
-        base = base_spans(t)
-        for at, tokens in windows(t):
-            entities = _labelled(tokens, at, base)
-            kinds = {k for *_, k in entities} or {None}
-            if min(taken[k] / (2 if k is None else 1) for k in kinds) < SAMPLE_WINDOWS:
-                for k in kinds:
-                    taken[k] += 1
-                examples += [(tokens, entities), *_variants(tokens, entities)]
+    for h, said in sorted(map(tuple, found)):
+        tokens, entities = json.loads(said)
+        entities = [tuple(e) for e in entities]
+        own = {k for *_, k in entities} or {None}
+        if min(taken[k] / (2 if k is None else 1) for k in own) < SAMPLE_WINDOWS:
+            for k in own:
+                taken[k] += 1
+            examples += [(tokens, entities), *_variants(tokens, entities, int(h[:8], 16))]
     return train(examples)
 
 
@@ -382,7 +476,12 @@ def mask(text: str | None, spans: dict[str, list[Span]]) -> str | None:
 
 
 def detect(docs: DataFrame, model: SemiMarkov, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans as text. Repeated rows stay."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans as text.
+
+    A null or empty text has none: zeros and the digest of nothing. Texts are read whole, whatever their
+    length. Of base spans of two kinds that overlap both stay. Repeated rows stay; an empty table gives
+    none; other columns of docs play no part.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +499,7 @@ def detect(docs: DataFrame, model: SemiMarkov, doc_id: str = "doc_id", text: str
 
 
 def mask_documents(docs: DataFrame, model: SemiMarkov, text: str = "text") -> DataFrame:
-    """docs with all spans masked in the text; rows and columns stay, a null text stays null."""
+    """docs with all spans masked in the text; rows and columns, whatever their names, stay, and so does a null or empty text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
