@@ -10,22 +10,22 @@ probability.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrhythm.llm.common import fresh
+from flowrhythm.llm.common import fresh, materialise
 
-#: Labelled rows per class that a model is fitted on, and bytes of each that build a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 2048
-#: Characters of a labelled text that the fit fetches; scores are of whole texts.
-FIT_CHARS = 8192
+#: Half the labelled rows per class that a model is fitted on, and blocks of each, from anywhere in it, that build a dictionary.
+SAMPLE_ROWS, SAMPLE_BLOCKS = 1500, 4
 #: Bytes of a dictionary, bytes of a block, level of compression.
 DICT_BYTES, BLOCK_BYTES, LEVEL = 65536, 512, 3
 #: A score of at least this counts as good.
@@ -47,6 +47,10 @@ class CompressionModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_pair": None}
 
+    @property
+    def learned(self) -> bool:
+        return bool(self.good and self.bad)
+
     def difference(self, text: str | None) -> float:
         """Size with the bad dictionary less size with the good one, per byte; 0 for no text."""
         if self._pair is None:
@@ -102,9 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     """A model from at most 2 * sample_rows labelled rows for each class, in the order of a hash of their key.
 
     labels must hold only what may be learned from. The keys are chosen from the labels alone, so only
-    the chosen texts are fetched, the first FIT_CHARS of each. A key with both labels, a null key and a
-    row without text teach nothing. One half of the sample builds the dictionaries and the other half,
-    unseen by them, fits the curve. With no label at all every score is 0.5; with one class, its share.
+    the chosen texts are read, whole, in Spark's tasks; blocks of one half of them come to the driver and
+    build the dictionaries, and numbers of the other half, unseen by these, fit the curve. A key with
+    both labels, a null key and a row without text teach nothing; of rows with equal keys the text of the
+    least hash does. With no label at all every score is 0.5; with one class, its share.
     """
     clear = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).where("y = z").select(F.col(key).alias("k"), "y")
     chosen = []
@@ -113,21 +118,42 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     if not chosen:
         return CompressionModel(b"", b"", 0.0, 0.0)
     keys = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", labels.schema[key].dataType), T.StructField("y", T.IntegerType())]))
-    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, FIT_CHARS).alias("t")).where(F.length("t") > 0).join(F.broadcast(keys), "k").collect()  # 4 * sample_rows keys at most
-    each: list[list[str]] = [[], []]
-    for _, t, y in sorted({(r.k, r.t, r.y) for r in rows}):
-        each[y].append(t)
-    sides = [[t.encode()[:SAMPLE_BYTES] for t in x[::2]] for x in each]
-    model = CompressionModel(good=_dictionary(sides[1], DICT_BYTES), bad=_dictionary(sides[0], DICT_BYTES))
-    n0, n1 = len(each[0]), len(each[1])
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0).join(F.broadcast(keys), "k")  # 4 * sample_rows keys at most
+    sample = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("y", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "t")
+    sample = materialise(sample, "sample")
+    counts = {y: n for y, n in sample.groupBy("y").agg(F.count("*")).collect()}
+    n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
         return CompressionModel(b"", b"", 0.0, 0.0 if not (n0 or n1) else math.log((n1 + 0.5) / (n0 + 0.5)))
-    held = [(t, y) for y in (0, 1) for t in (each[y][1::2] or each[y])]
-    x = np.array([model.difference(t) for t, _ in held])
-    model.slope, model.bias = _logistic(x, np.array([y for _, y in held], float))
+    sides: list[list[bytes]] = [[], []]
+    for _, y, block in sorted(map(tuple, sample.where("half = 0").mapInArrow(_some_blocks, "h long, y int, block binary").collect())):
+        sides[y].append(block)
+    model = CompressionModel(good=_dictionary(sides[1], DICT_BYTES), bad=_dictionary(sides[0], DICT_BYTES))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([held.value.difference(t.as_py()) for t in b.column(2)], pa.float64())], names=["y", "half", "x"])
+
+    points = sorted(map(tuple, sample.mapInArrow(differences, "y int, half int, x double").collect()))  # a number for each row of the sample
+    each = [[p for p in points if p[0] == y] for y in (0, 1)]
+    used = [p for own in each for p in ([q for q in own if q[1]] or own)]
+    model.slope, model.bias = _logistic(np.array([x for *_, x in used]), np.array([y for y, *_ in used], float))
     return model
 
 
+def _some_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, y, block): of each text at most SAMPLE_BLOCKS of its blocks, in the order of a hash h of place and text."""
+    for b in batches:
+        out = []
+        for y, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            raw = t.encode()
+            seed = zlib.crc32(raw)
+            places = sorted((xxhash.xxh3_64_intdigest(i.to_bytes(8, "little"), seed) >> 1, i) for i in range(0, len(raw), BLOCK_BYTES))
+            out += [(h, y, raw[i : i + BLOCK_BYTES]) for h, i in places[:SAMPLE_BLOCKS]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*out)] or [()] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["h", "y", "block"])
+
+
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", output: str = "score") -> DataFrame:
     """All rows and columns of docs, and the probability that a text is good.
 
@@ -147,7 +173,13 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", output:
 
 
 def reject_low_quality(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with the columns they had."""
+    """The rows of docs whose score reaches the threshold, with the columns they had.
+
+    A model that has not learned both classes rejects nothing. Null and empty texts have the score of no
+    difference; repeated rows go or stay together; an empty table stays empty.
+    """
+    if not model.learned:
+        return docs
     name = fresh(docs, "quality_score")
     return score(docs, model, output=name).where(F.col(name) >= threshold).drop(name)
 

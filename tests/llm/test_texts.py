@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from made import prose
 
 from flowrhythm.llm import fingerprints, pii, quality, sharding, substrings, topk
@@ -123,11 +124,20 @@ def test_quality_on_held_out_rows(make_docs, spark, odd_docs, no_docs):
     model = quality.fit(docs, quality.training_labels(labels))
     got = quality.score(docs, model).where(quality.held_out()).collect()
     assert len(got) > 30 and sum((r.score >= 0.7) == (r.doc_id % 2 == 1) for r in got) >= 0.95 * len(got)
+    pair = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) for d in (model.bad, model.good)]
+    for r in quality.score(docs, model).collect():  # by definition
+        raw = r.text.encode()
+        bad, good = (sum(len(c.compress(raw[i : i + 512])) for i in range(0, len(raw), 512)) for c in pair)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * (bad - good) / len(raw) + model.bias)))) < 1e-9
     kept = quality.reject_low_quality(odd_docs, model)
     assert kept.columns == odd_docs.columns
     assert all(0 <= r.score <= 1 for r in quality.score(odd_docs, model).collect())
     none = quality.fit(no_docs, labels.limit(0))
     assert {r.score for r in quality.score(odd_docs, none).collect()} == {0.5} and quality.score(no_docs, none).count() == 0
+    assert quality.reject_low_quality(odd_docs, none).count() == 12
+    late = make_docs([(k, "x " * 5000 + t) for k, t in rows])  # what tells them apart comes after 10,000 characters
+    got = quality.score(late, quality.fit(late, quality.training_labels(labels))).where(quality.held_out()).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 0.95 * len(got)
 
 
 def cuts_by_definition(words: list[str], lines: set[int]) -> tuple[set[int], set[int]]:
