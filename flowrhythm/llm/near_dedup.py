@@ -39,6 +39,8 @@ BANDS, ROWS = 28, 5
 SKETCH_LEAST = 0.63
 #: Members, and shingles, of a part of a band's group, about; a task compares two parts.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Characters of a word whose hash is kept at most.
+LONG = 256
 #: Rows of an id and a hash that may be broadcast, some 30 MB; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -60,7 +62,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 1 << 17:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
+        h = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= LONG:
+            self[word] = h
         return h
 
 

@@ -28,8 +28,8 @@ from flowrhythm.llm.common import fresh, materialise
 
 #: Words of a run at least, gaps of which one is a cut.
 MIN_WORDS, CUT_WORDS = 20, 10
-#: Characters of texts that are hashed at once.
-SLICE = 1 << 20
+#: Characters of texts that are hashed at once, of a word whose hash is kept at most.
+SLICE, LONG = 1 << 20, 256
 _TOKEN = re.compile(r"\n|\S+")
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?][.!?\"')\]]*\Z")
@@ -43,7 +43,8 @@ class _Words(dict):
         if len(self) >= 1 << 17:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word.lower().encode()) & ~1 | bool(_END.search(word)) if word != "\n" else 0
-        self[word] = h
+        if len(word) <= LONG:
+            self[word] = h
         return h
 
 

@@ -16,8 +16,10 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Entries a cache holds before it starts anew.
-CACHE = 1 << 19
+#: Entries a cache holds before it starts anew, some 25 MB.
+CACHE = 1 << 17
+#: Characters of a chunk that is kept at most.
+LONG = 256
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -71,7 +73,9 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[chunk] = out = self.make(chunk)
+        out = self.make(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = out
         return out
 
 
