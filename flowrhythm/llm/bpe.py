@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from flowrhythm.llm.common import bounded
 from flowrhythm.llm.tokens import Encoder, Spec, _Chunks, byte_chars, encoder, read_source
 
 _NEVER = 1 << 30
@@ -164,7 +165,7 @@ def round_trip(docs: DataFrame, source: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, source: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +192,7 @@ def digests(docs: DataFrame, source: str, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

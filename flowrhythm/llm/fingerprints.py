@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrhythm.llm.common import bounded
+
 #: Primes below 2^31 and the bases of the polynomials: fixed values.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -139,7 +141,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             h = [PrefixHashes(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.n for x in h], pa.int64()), pa.array([x.fingerprint() for x in h], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_chars long, fingerprint string")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
 def _ranges(docs: DataFrame, key: Column, parts: int) -> list[int]:
@@ -207,7 +209,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return with_next(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return bounded(with_next(docs, doc_id, text)).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrhythm.llm.common import fresh, materialise
+from flowrhythm.llm.common import bounded, fresh, materialise
 from flowrhythm.llm.components import components
 
 #: Words of a shingle; the least similarity of near duplicates.
@@ -39,8 +40,8 @@ BANDS, ROWS = 28, 5
 SKETCH_LEAST = 0.63
 #: Members, and shingles, of a part of a band's group, about; a task compares two parts.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Characters of a word whose hash is kept at most.
-LONG = 256
+#: Bytes of texts that are sketched at once, characters of a word whose hash is kept at most.
+SLICE, LONG = 1 << 20, 256
 #: Rows of an id and a hash that may be broadcast, some 30 MB; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -156,8 +157,10 @@ def sketch_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bands * rows
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            part = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy()) // SLICE
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
+            for at, end in zip([0, *ends], ends):
+                b = whole.slice(at, end - at)
                 texts = b.column(2).to_pylist()
                 each = [weighted(x, words) for x in texts]
                 keep = [k for k, (i, _) in enumerate(each) if len(i)]
@@ -178,7 +181,7 @@ def sketch_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([len(i) for i, _ in each], pa.int32()), pa.array(small, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "of", "k1", "k2", "size", "sketch", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "of", "text").mapInArrow(run, f"doc_id {kind}, of long, k1 long, k2 long, size int, sketch binary, bands array<long>")
+    return bounded(docs.select("doc_id", "of", "text")).mapInArrow(run, f"doc_id {kind}, of long, k1 long, k2 long, size int, sketch binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())

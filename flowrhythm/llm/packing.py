@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowrhythm.llm.common import materialise
+from flowrhythm.llm.common import bounded, materialise
 from flowrhythm.llm.tokens import encoder, read_source
 
 CAPACITY, END = 4096, 1
@@ -285,7 +285,7 @@ def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = EN
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def pack_documents(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,13 +21,16 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrhythm.llm.common import bounded, materialise
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of each kind that training reads, whole; windows it takes of one, windows of each kind it uses, rounds.
 SAMPLE_DOCS, DOC_WINDOWS, SAMPLE_WINDOWS, ROUNDS = 120, 6, 40, 6
@@ -408,11 +411,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SemiMark
     """
     named = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("t"))
     kinds = F.filter(F.array(*(F.when(F.col("t").rlike(p), F.lit(k)) for k, p in _MAY.items())), lambda x: x.isNotNull())
-    w = Window.partitionBy("kind").orderBy("k")  # cut to SAMPLE_DOCS before the shuffle
-    flagged = named.select("k", F.explode(kinds).alias("kind")).groupBy("kind", "k").agg(F.lit(1).alias("x"))
-    ids = sorted({r.k for r in flagged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE_DOCS).select("k").collect()})
-    if not ids:
+    flagged = materialise(named.select("k", kinds.alias("kinds")).where(F.size("kinds") > 0), "flagged").select("k", F.explode("kinds").alias("kind"))
+    # hashes are spread evenly, so the least SAMPLE_DOCS of n lie below a bound that some 4 * SAMPLE_DOCS do
+    below = {r.kind: min((1 << 64) - 1, (4 * SAMPLE_DOCS << 64) // max(1, r.n)) - (1 << 63) for r in flagged.groupBy("kind").agg(F.approx_count_distinct("k").alias("n")).collect()}
+    if not below:
         return SemiMarkov()
+    least = reduce(or_, ((F.col("kind") == kind) & (F.col("k") <= bound) for kind, bound in below.items()))
+    rows = flagged.where(least).distinct().collect()
+    ids = sorted({k for kind in below for k in sorted(r.k for r in rows if r.kind == kind)[:SAMPLE_DOCS]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -495,7 +501,7 @@ def detect(docs: DataFrame, model: SemiMarkov, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_documents(docs: DataFrame, model: SemiMarkov, text: str = "text") -> DataFrame:
@@ -507,7 +513,7 @@ def mask_documents(docs: DataFrame, model: SemiMarkov, text: str = "text") -> Da
             texts = [mask(t, find(t, held.value)[1]) if t else t for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else b.column(n) for n in b.schema.names], names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

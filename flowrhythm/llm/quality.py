@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrhythm.llm.common import fresh, materialise
+from flowrhythm.llm.common import bounded, fresh, materialise
 
 #: Half the labelled rows per class that a model is fitted on, and blocks of each, from anywhere in it, that build a dictionary.
 SAMPLE_ROWS, SAMPLE_BLOCKS = 1500, 4
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", output:
             s = pa.array([m.score(t.as_py()) for t in b.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, output])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
 
 
 def reject_low_quality(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:

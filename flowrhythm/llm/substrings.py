@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrhythm.llm.common import fresh, materialise
+from flowrhythm.llm.common import bounded, fresh, materialise
 
 #: Words of a run at least, gaps of which one is a cut.
 MIN_WORDS, CUT_WORDS = 20, 10
@@ -116,7 +116,7 @@ def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("of"), F.col(text).alias("text"))
-    return keyed.mapInArrow(run, f"h1 long, h2 long, id {kind}, of long, first int, last int")
+    return bounded(keyed).mapInArrow(run, f"h1 long, h2 long, id {kind}, of long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             cols = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(removed, pa.int32())] if count else []), names=[f.name for f in out])
 
-    return joined.select(*names, c).mapInArrow(run, T.StructType(out))
+    return bounded(joined.select(*names, c)).mapInArrow(run, T.StructType(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

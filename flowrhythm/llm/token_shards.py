@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowrhythm.llm.common import materialise, shared_dir
+from flowrhythm.llm.common import bounded, materialise, shared_dir
 from flowrhythm.llm.tokens import Spec, encoder, read_source
 
 #: Ids of a sequence, bytes of an id, bytes of a shard at most, rounds of the network.
@@ -117,7 +117,7 @@ def sequences(docs: DataFrame, source: str, length: int = LENGTH, end: int | Non
             yield from rows(final=True)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"task int, place long, first_doc {kind}, n_docs int, n_ids int, ids binary")
+    return bounded(docs.select(doc_id, text)).mapInArrow(run, f"task int, place long, first_doc {kind}, n_docs int, n_ids int, ids binary")
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
