@@ -6,7 +6,7 @@ two words have the least hash. So the cuts of a passage don't depend on what it
 into, but for those near its ends.
 
 Every run of consecutive sentences is hashed: from each cut on, the shortest run of at
-least MIN_WORDS words, and likewise up to the end of each sentence. A run that occurs
+least MIN_WORDS words, and likewise up to the end of each line and text. A run that occurs
 more than once keeps its first occurrence, by document and place; what later ones cover
 is removed. Any passage of 2 * CUT_WORDS + MIN_WORDS + CUT_WORDS words, 50 by default,
 holds a whole run, wherever it stands.
@@ -52,12 +52,13 @@ _WORDS = _Words()
 
 
 def cuts(texts: list[str], cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
-    """Of the words of all texts, one after another: hash, whether one begins a sentence, whether there is a cut before it; where each text begins."""
+    """Of the words of all texts, one after another: hash, whether one begins a line, whether there is a cut before it; where each text begins."""
     each = [[0, *map(_WORDS.__getitem__, _TOKEN.findall(t))] for t in texts]
     tokens = np.concatenate([np.array(x, np.uint64) for x in each]) if each else np.zeros(0, np.uint64)
     word = tokens != 0
     h = tokens[word]
-    begins = np.concatenate([[True], tokens[:-1] == 0])[word] if len(tokens) else word
+    lines = np.concatenate([[True], tokens[:-1] == 0])[word] if len(tokens) else word
+    begins = lines.copy()
     begins[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
     starts = np.concatenate([[0], np.cumsum(word)])[np.cumsum([0] + [len(x) for x in each])]
     gap = np.zeros(len(h) + cut_words - 1, np.uint64)
@@ -68,12 +69,12 @@ def cuts(texts: list[str], cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]
     cut = np.zeros(len(gap), bool)
     if len(h):
         cut[np.arange(len(h)) + np.lib.stride_tricks.sliding_window_view(gap, cut_words).argmin(1)] = True
-    return h, begins, cut[: len(h)], starts
+    return h, lines, cut[: len(h)], starts
 
 
 def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
     """(text, first word, last word + 1, two words of hash) of all runs."""
-    h, begins, cut, starts = cuts(texts, cut_words)
+    h, lines, cut, starts = cuts(texts, cut_words)
     n = len(h)
     at = np.append(np.flatnonzero(cut), n)
     of = np.repeat(np.arange(len(texts)), np.diff(starts))
@@ -82,8 +83,8 @@ def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORD
     k = np.searchsorted(at, a + min_words)
     b = at[np.minimum(k, len(at) - 1)]
     good = (k < len(at)) & (b <= starts[of[a] + 1])
-    # up to each end of a sentence
-    e = np.append(np.flatnonzero(begins), n)
+    # up to each end of a line
+    e = np.append(np.flatnonzero(lines), n)
     e = e[e > 0]
     k = np.searchsorted(at, e - min_words, "right") - 1
     s = at[np.maximum(k, 0)]
@@ -125,9 +126,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     First is the occurrence with the least id (a null one is the least), then hash of text, then place.
     Rows that agree in id and text are one document.
     """
-    found = materialise(sentence_runs(docs, doc_id, text, min_words, cut_words), "runs")
+    found = sentence_runs(docs, doc_id, text, min_words, cut_words)
+    # few runs repeat: half a hash counts them, and only what it leaves is written and ordered
+    repeated = materialise(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "repeated")
+    found = materialise(found.join(repeated, "h1").select("h1", "h2", "id", "of", "first", "last"), "runs")
     place = F.struct("id", "of", "first")
-    heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(~F.col("head").eqNullSafe(F.col("tail"))).select("h1", "h2", "head")
+    heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "head")
     heads = materialise(heads, "heads")  # joined by exchanges of their own, so that a hot run can be split
     later = found.join(heads, ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
     return later.groupBy("id", "of").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # spans of one text

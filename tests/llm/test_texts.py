@@ -164,7 +164,7 @@ def removed_by_brute(texts: list[tuple]) -> list[list[str]]:
         all_words.append(words)
         ends = sorted(cut | {len(words)})
         spans = {(a, min(e for e in ends if e - a >= 20)) for a in cut if len(words) - a >= 20}
-        spans |= {(max(a for a in cut if e - a >= 20), e) for e in begins | {len(words)} if e >= 20}
+        spans |= {(max(a for a in cut if e - a >= 20), e) for e in lines | {len(words)} if e >= 20}
         for i, j in sorted(spans):
             if seen.setdefault(tuple(w.lower() for w in words[i:j]), (k, i)) != (k, i):
                 gone[k].update(range(i, j))
