@@ -23,19 +23,19 @@ def delta_from_median(daily: DataFrame, column: str, entity: Keys, day: str = "D
 def _history(daily: DataFrame, column: str, entity: Keys, day: str, n: int, include_current: bool) -> DataFrame:
     """daily with __h: count, mean, deviation and angular sums of the last n values before each row.
 
-    Statistics are taken over the rows that have a value, once without and once with the row itself. A row
-    with a value takes the former; one without takes the latter from the latest row before it.
+    Values are numbered along the days; a row without one has the number of the latest before it. A frame
+    over these numbers is then the last n values, in one pass over the rows as they are.
     """
-    by = Window.partitionBy(*(entity or (F.lit(0),))).orderBy(day)
+    by = Window.partitionBy(*(entity or (F.lit(0),)))
     angle = F.col(column) * (2 * math.pi / 1440)
 
     def stats(w: WindowSpec) -> Column:
         return F.struct(F.count(column).over(w).alias("n"), F.avg(column).over(w).alias("avg"), F.stddev_samp(column).over(w).alias("sd"), F.sum(F.cos(angle)).over(w).alias("cos"), F.sum(F.sin(angle)).over(w).alias("sin"))
 
-    through, before = by.rowsBetween(-(n - 1), 0), by.rowsBetween(-n, -1)
-    valued = daily.where(F.col(column).isNotNull()).select(*entity, day, stats(through if include_current else before).alias("__own"), stats(through).alias("__through"))
-    earlier = F.last("__through", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return daily.join(valued, [*entity, day], "left").withColumn("__h", F.coalesce("__own", earlier)).drop("__own", "__through")
+    rows = daily.withColumn("__no", F.count(column).over(by.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = by.orderBy("__no")
+    through, before = stats(numbered.rangeBetween(-(n - 1), 0)), stats(numbered.rangeBetween(-n, -1))
+    return rows.withColumn("__h", through if include_current else F.when(F.col(column).isNull(), through).otherwise(before)).drop("__no")
 
 
 def absolute_z(daily: DataFrame, column: str, entity: Keys, day: str = "Date", n: int = 30, least: int = 7, include_current: bool = False, output: str = "abs_z") -> DataFrame:

@@ -10,13 +10,18 @@ from flowrhythm.operators.enrich import enrich
 from flowrhythm.operators.score import GATE, group_scores, overall, presence
 from flowrhythm.operators.status import CATALOG, catalog, melt, with_status
 from flowrhythm.plans import metrics as M
+from flowrhythm.sources.scratch import written
 
 METRICS = [m for ms in CATALOG.values() for m in ms]
 
 
 def daily_table(packets: DataFrame, keys: tuple[str, ...] = ("Date",), scope: tuple[str, ...] | None = None, night: str = "calendar") -> DataFrame:
-    """All metrics by key, history included. packets have short names; scope is where a DNS answer holds."""
-    return with_history(M.daily(enrich(packets, scope or keys), keys, night), tuple(k for k in keys if k != "Date"))
+    """All metrics by key, history included. packets have short names; scope is where a DNS answer holds.
+
+    The enriched rows are written once to the shared folder, since six branches read them.
+    """
+    rows = written(enrich(packets, scope or keys).select(*dict.fromkeys(("Date", *keys, *M.COLUMNS))), "enriched")
+    return with_history(M.daily(rows, keys, night), tuple(k for k in keys if k != "Date"))
 
 
 def statuses(daily: DataFrame, keys: tuple[str, ...] = ("Date",), overrides: DataFrame | None = None) -> DataFrame:

@@ -21,6 +21,11 @@ from flowrhythm.operators.sessions import masked, seconds, sessions
 
 Keys = tuple[str, ...]
 INF = float("inf")
+#: What the builders read of enriched rows.
+COLUMNS = (
+    "us", "tie", "src", "dst", "dport", "qname", "ans_name", "url", "http_path", "path", "flow_sec", "present", "ResolvedHost", "SLD", "outbound", "inbound", "hour", "minute", "bytes",
+    "social", "food", "diet", "scale", "mental_health", "crisis", "productivity", "cloud", "chat", "streaming", "dhcp", "forum",
+)
 
 
 def _if(condition: Column, x: Column | int | float = 1) -> Column:

@@ -207,6 +207,11 @@ SCORES = f"sc AS (SELECT entity, day, " + ", ".join(f"least(greatest({' + '.join
 GATED = "gt AS (SELECT *, " + ", ".join(f"sum(CASE WHEN L_{c} >= 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 2 AS present_{c}" for c in ("C1", "C2")) + " FROM sc), fl AS (SELECT entity, day, present_C1, present_C2, CAST(present_C1 AS INTEGER) + CAST(present_C2 AS INTEGER) AS n_present, present_C2 AS flag FROM gt)"
 
 
+DELTA = f"""{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS rn FROM d), h AS (SELECT a.entity, a.day, quantile_cont(b.m2, 0.5) AS med FROM n a JOIN n b ON a.entity = b.entity AND b.rn BETWEEN a.rn - 28 AND a.rn - 1 GROUP BY ALL)
+SELECT d.entity, d.day, round(m2 - med, 6) AS delta FROM d LEFT JOIN h ON d.entity = h.entity AND d.day = h.day"""
+FILES = "fs AS (SELECT \"Date\", \"Dataset\" || '|' || CAST(sum(length) AS VARCHAR) || '|' || CAST(max(us) // 1000000 AS VARCHAR) AS x FROM pk GROUP BY \"Date\", \"Dataset\"), fp AS (SELECT \"Date\", md5(string_agg(x, '|' ORDER BY x)) AS \"Fingerprint\" FROM fs GROUP BY \"Date\")"
+
+
 def _history(column: str, n: int, body: str, output: str) -> str:
     """The last n values before a day, found by comparing days."""
     return f"""h AS (SELECT a.entity, a.day, b.{column} AS v, row_number() OVER (PARTITION BY a.entity, a.day ORDER BY b.day DESC) AS rn FROM d a JOIN d b ON a.entity = b.entity AND b.day < a.day AND b.{column} IS NOT NULL
@@ -244,8 +249,7 @@ SELECT "Dataset", "Date", min(us) AS first_us, max(us) AS last_us, count(*) AS p
 SELECT CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL AND a.name <> b.name THEN a.name || '/' || b.name ELSE coalesce(a.name, b.name, '') END AS "User", count(*) AS packets FROM pk LEFT JOIN us a ON pk.src = a.ip LEFT JOIN us b ON pk.dst = b.ip GROUP BY ALL""",
         "touching_addresses": f'{PACKETS}, b AS ({BOTH}), c AS (SELECT ip FROM b GROUP BY ip HAVING count(*) >= 100) SELECT "Date", count(*) AS packets FROM pk WHERE src IN (SELECT ip FROM c) OR dst IN (SELECT ip FROM c) GROUP BY "Date"',
         "preview_rows": f'{PACKETS} SELECT tie, "Date", src, dst, protocol, length FROM pk ORDER BY us, tie LIMIT 100',
-        "delta_from_median": f"""{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS rn FROM d), h AS (SELECT a.entity, a.day, quantile_cont(b.m2, 0.5) AS med FROM n a JOIN n b ON a.entity = b.entity AND b.rn BETWEEN a.rn - 28 AND a.rn - 1 GROUP BY ALL)
-SELECT d.entity, d.day, round(m2 - med, 6) AS delta FROM d LEFT JOIN h ON d.entity = h.entity AND d.day = h.day""",
+        "delta_from_median": DELTA,
         "absolute_z": f"{DAILY}, {_history('m3', 30, 'count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd', 'CASE WHEN n >= 7 AND sd > 0 THEN round(abs((m3 - m) / sd), 6) END AS abs_z')}",
         "circular_spread": f"WITH d AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN m2 * 37 % 1440 END AS clock FROM ({DAILY_SQL})), {_history('clock', 14, _circular('v') + ' AS sd', 'round(sd, 6) AS spread')}",
         "metric_status": f"{DAILY}, {LONG} SELECT entity, day, metric, round(value, 6) AS value, {_status(True)} AS status FROM lg",
@@ -274,5 +278,19 @@ SELECT z."Dataset", z.WeekStart, CAST(i AS INTEGER) AS minute_of_week, coalesce(
         "chat_session_list": f"{_rows()}, {_sessions()} SELECT \"Date\", a AS first_us, b AS last_us, round(s, 6) AS seconds FROM w WHERE mask = 'chat' ORDER BY a, \"Date\" LIMIT 20",
         "diet_bursts": f'{_rows(True)} SELECT "Date", SLD, us // 600000000 AS bin, count(*) AS n FROM r WHERE diet GROUP BY ALL HAVING count(*) >= 3',
         "cloud_providers": f'{_rows()} SELECT "Date", SLD, CAST(sum(bytes) AS BIGINT) AS up_bytes FROM r WHERE cloud AND outbound GROUP BY ALL',
+        "normalised_packets": f"""{PACKETS} SELECT "Date", CAST(us // 3600000000 % 24 AS INTEGER) AS "Hour", protocol AS "Protocol", CASE WHEN protocol = 'TCP' THEN 'S' END AS flags, is_dns AS "IsDNS", qname AS "DNS_QNAME", CASE WHEN qname IS NOT NULL THEN 1 END AS "DNS_QTYPE",
+  ans_name AS "DNS_ANS_NAME", replace(ans_ips, ', ', ',') AS "DNS_ANS_IPS", count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL""",
+        "packets_in_range": f"""{PACKETS}, t AS (SELECT *, CASE WHEN tie % 3 <> 0 THEN us ELSE us // 3600000000 * 3600000000 END AS own FROM pk WHERE us >= epoch_us(TIMESTAMP '2024-01-05 06:00:00') AND us < epoch_us(TIMESTAMP '2024-01-16 00:00:00') AND "Dataset" IN ('lab_03', 'onu_capture_home_1'))
+SELECT "Dataset", "Date", CAST(own // 3600000000 % 24 AS INTEGER) AS "Hour", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM t GROUP BY ALL""",
+        "slots_from_names": f"{PACKETS} SELECT CASE WHEN tie % 10 <> 0 THEN us // 60000000 * 60000000 END AS slot_us, count(*) AS files FROM pk GROUP BY ALL",
+        "day_fingerprints": f"{PACKETS}, {FILES} SELECT * FROM fp",
+        "days_to_rebuild": f"{PACKETS}, {FILES} SELECT \"Date\" FROM fp WHERE \"Date\" < DATE '2024-01-04' OR day(\"Date\") % 7 = 0",
+        "ingest_report": f'{PACKETS} SELECT "Dataset", count(DISTINCT us // 300000000) AS slots, count(*) AS rows, min(us) AS first_us, max(us) AS last_us FROM pk GROUP BY "Dataset"',
+        "history_metrics": f"""WITH z AS ({DAILY}, {_history('m3', 30, 'count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd', 'CASE WHEN n >= 7 AND sd > 0 THEN round(abs((m3 - m) / sd), 6) END AS z')}),
+c AS (WITH d AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN m2 * 37 % 1440 END AS clock FROM ({DAILY_SQL})), {_history('clock', 14, _circular('v') + ' AS sd', 'round(sd, 6) AS spread')}), m AS ({DELTA})
+SELECT entity, day, spread AS C4_F3_OnsetVar14dMin, z AS C4_F4_SleepDurationZAbs30d, delta AS C6_F9_ActivationDelayVsBase28d FROM z JOIN c USING (entity, day) JOIN m USING (entity, day)""",
+        "value_references": f"SELECT d.entity, d.day, m1 AS today, CAST(2.5 AS DOUBLE) AS constant, CAST(7 AS DOUBLE) AS aux, round(m2, 6) AS column, delta, CAST(NULL AS DOUBLE) AS unknown FROM ({DAILY_SQL}) d JOIN ({DELTA}) m ON d.entity = m.entity AND d.day = m.day",
+        "cached_or_computed": f"{DAILY} SELECT entity, day, round(coalesce(CASE WHEN day(day) > 10 THEN m3 END, m4 / m1), 6) AS m3 FROM d",
+        "membership_distribution": f"{DAILY}, mu AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({mu} AS DOUBLE) AS value FROM d" for m, (_, _, mu) in MU.items()) + ") SELECT metric, count(value) AS n, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS greatest FROM mu GROUP BY metric",
         "streamed_slot_counts": f'{PACKETS}, s AS (SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL) SELECT * FROM s WHERE slot_us + 300000000 <= (SELECT max(slot_us) FROM s) - 600000000',
     }

@@ -19,6 +19,9 @@ from flowrhythm.operators.series import minute_measures, minutes
 from flowrhythm.operators.sessions import seconds, sessions
 from flowrhythm.plans import daily as D
 from flowrhythm.plans import metrics as M
+from flowrhythm.plans.registry import with_precedence, with_value
+from flowrhythm.sources import packets as S
+from flowrhythm.sources.scratch import shared_folder
 from flowrhythm.sources.views import daily_view, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,13 +362,9 @@ def cloud_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of closed slots as a stream gives them, from the packet view written out and read as a stream."""
-    import tempfile
-    import uuid
-
     from flowrhythm.streaming.slots import write_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     p = packets(spark, sf_dir).select("Timestamp", "Dataset", "length")
     p.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(p.schema).parquet(f"{folder}/in")
@@ -373,5 +372,89 @@ def streamed_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("Dataset", N.micros("slot_start").alias("slot_us"), "packets", "bytes")
 
 
+@query
+def normalised_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded records, made of the packet view, as packet rows; counted by what normalisation gives."""
+    dotted = lambda c: F.concat(F.col(c), F.lit("."))
+    answers = F.when(F.col("ans_name").isNotNull(), F.transform(F.split("ans_ips", ", "), lambda x: F.struct(F.concat(F.col("ans_name"), F.lit(".")).alias("name"), x.alias("rdata")))).otherwise(F.array().cast("array<struct<name:string,rdata:string>>"))
+    decoded = packets(spark, sf_dir).select(
+        F.col("Timestamp").alias("ts"), F.col("src").alias("ip_src"), F.col("dst").alias("ip_dst"), (F.col("protocol") == "TCP").alias("has_tcp"), (F.col("protocol") == "UDP").alias("has_udp"), "sport", "dport", F.lit("S").alias("flags"), "length",
+        F.col("is_dns").alias("has_dns"), F.when(F.col("qname").isNotNull(), 0).otherwise(1).alias("dns_qr"), dotted("qname").alias("qname"), F.lit(1).alias("qtype"), answers.alias("answers"),
+    )
+    rows = S.normalise(decoded)
+    return rows.groupBy("Date", "Hour", "Protocol", F.col("TCP Flags").alias("flags"), "IsDNS", "DNS_QNAME", "DNS_QTYPE", "DNS_ANS_NAME", "DNS_ANS_IPS").agg(F.count("*").alias("n"), F.sum("Length").alias("bytes"))
+
+
+@query
+def packets_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by dataset and day, a third of the rows without a time of their own, and read back for eleven days of two datasets."""
+    path = shared_folder(spark, "slots")
+    p = packets(spark, sf_dir).select("Timestamp", "Dataset", "Date", F.hour("Timestamp").alias("Hour"), "tie", "length")
+    S.write_slots(p.withColumn("kept", F.when(F.col("tie") % 3 != 0, F.col("Timestamp"))).where("Timestamp is not null"), path)
+    spark_rows = S.read_range(spark, path, "2024-01-05 06:00:00", "2024-01-16", ["lab_03", "onu_capture_home_1"]).drop("Timestamp").withColumnRenamed("kept", "Timestamp")
+    return S.with_time(spark_rows).groupBy("Dataset", "Date", "Hour").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
+@query
+def slots_from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("Dataset", F.lit("__"), F.date_format("Timestamp", "yyyyMMdd_HHmm"), F.when(F.col("tie") % 10 == 0, F.lit(".tmp")).otherwise(F.lit(".parquet")))
+    return packets(spark, sf_dir).select(S.slot_of_file(name).alias("slot")).groupBy(N.micros("slot").alias("slot_us")).agg(F.count("*").alias("files"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets(spark, sf_dir).groupBy("Date", F.col("Dataset").alias("name")).agg(F.sum("length").alias("size"), F.floor(F.max("us") / 1000000).alias("mtime"))
+
+
+@query
+def day_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.fingerprints(_files(spark, sf_dir))
+
+
+@query
+def days_to_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a cache that lacks the first days and has another fingerprint for every seventh."""
+    current = S.fingerprints(_files(spark, sf_dir))
+    cached = current.where("Date >= DATE'2024-01-04'").withColumn("Fingerprint", F.when(F.dayofmonth("Date") % 7 == 0, F.lit("old")).otherwise(F.col("Fingerprint")))
+    return S.stale_days(current, cached).select("Date")
+
+
+@query
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowrhythm.streaming import slots
+
+    found = slots.ingest_report(slots.slot_counts(packets(spark, sf_dir)))
+    return found.select("Dataset", "slots", "rows", N.micros("first").alias("first_us"), N.micros("last").alias("last_us"))
+
+
+@query
+def history_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three measures that look at earlier days, as columns of one frame."""
+    d = daily_view(spark, sf_dir).withColumns({"C4_F1_OnsetLocalMin": F.when(F.col("m3").isNotNull(), F.pmod(F.col("m2") * 37, F.lit(1440.0))), "LongestInactivityHours": F.col("m3"), "C6_F8_FirstActivityMin": F.col("m2")})
+    return rounded(baseline.with_history(d, ("entity",), "day").select("entity", "day", "C4_F3_OnsetVar14dMin", "C4_F4_SleepDurationZAbs30d", "C6_F9_ActivationDelayVsBase28d"))
+
+
+@query
+def value_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily_view(spark, sf_dir).withColumnRenamed("m2", "C6_F8_FirstActivityMin")
+    said = {"today": "TODAY:m1", "constant": "CONST:2.5", "aux": "AUX:limit", "column": "FUNC:FirstActivityMin", "delta": "FUNC:DELTA_FROM_MEDIAN(window=28)", "unknown": "FUNC:Nothing"}
+    for name, reference in said.items():
+        d = with_value(d, reference, name, ("entity",), "day", {"limit": 7.0})
+    return rounded(d.select("entity", "day", *said))
+
+
+@query
+def cached_or_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m3 of a cache, where it has any, else the share of returns."""
+    d = daily_view(spark, sf_dir)
+    computed = d.select("entity", "day", (F.col("m4") / F.col("m1")).alias("m3"))
+    return rounded(with_precedence(computed, d.select("entity", "day", "m3").where(F.dayofmonth("day") > 10), ("entity", "day")))
+
+
+@query
+def membership_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score.contributions(daily_view(spark, sf_dir), _spec(spark), ("entity", "day"))
+    return rounded(overview.distribution(found.select("entity", "day", "metric", F.col("mu").alias("value"))))
+
+
 def all_queries() -> dict[str, Any]:
     return dict(QUERIES)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from flowrhythm.operators.baseline import absolute_z, circular_spread, delta_from_median
 
-#: Measures that are columns of the daily frame.
+#: Measures that are columns of the daily frame: fixed values.
 COLUMNS = {
     "ChatSessionCount": "C2_F3_ChatSessionCount", "MedianReplyLatencySec": "C2_F2_MedianReplyLatencySec", "MeanUpstreamRateBps": "C2_F4_MeanUpstreamRateBps", "PassiveActiveByteRatio": "C2_F5_PassiveActiveByteRatio",
     "FoodDeliveryHitsDay": "C3_F1_FoodDeliveryHits", "LateNightDeliveryRatio": "C3_F2_LateNightDeliveryRatio", "MeanInterOrderDaysDay": "C3_F3_MeanInterOrderDays", "DietSiteVisitsDay": "C3_F4_DietSiteVisits",
@@ -94,3 +94,14 @@ def with_value(daily: DataFrame, reference: str, output: str, entity: tuple[str,
         elif name in BUILDERS and given.get("col", "C6_F8_FirstActivityMin") in daily.columns:
             return BUILDERS[name](daily, entity, day, output, **given)
     return daily.withColumn(output, value)
+
+
+def with_precedence(computed: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("Date",), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """computed, where the cached table's value of the same keys goes before the computed one, if it has any.
+
+    columns: those to look up, by default all that both have. Keys that only the cached table has are left out.
+    """
+    shared = [c for c in (columns or computed.columns) if c in cached.columns and c in computed.columns and c not in keys]
+    before = cached.select(*keys, *(F.col(c).alias(f"__cached_{c}") for c in shared)).dropDuplicates([*keys])
+    out = computed.join(before, [*keys], "left")
+    return out.withColumns({c: F.coalesce(f"__cached_{c}", c) for c in shared}).drop(*(f"__cached_{c}" for c in shared))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +72,7 @@ def slot(ts: str = "Timestamp", minutes: int = SLOT_MINUTES) -> Column:
 def write_slots(packets: DataFrame, path: str, mode: str = "append") -> None:
     """Packets by dataset and day, a slot being a column; files are written per task, not per slot."""
     rows = packets.withColumn("slot_start", slot())
-    rows.repartition("Dataset", "Date").sortWithinPartitions("Dataset", "Date", "Timestamp").write.mode(mode).partitionBy("Dataset", "Date").parquet(path)
+    rows.repartition("Dataset", "Date", F.hour("slot_start")).sortWithinPartitions("Dataset", "Date", "Timestamp").write.mode(mode).partitionBy("Dataset", "Date").parquet(path)
 
 
 def slot_of_file(name: Column) -> Column:
@@ -92,13 +95,15 @@ def read_range(spark: SparkSession, path: str, start: str, stop: str, datasets:
     rows = reader.parquet(path)
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")
     rows = rows.where(F.col("Date").between(F.to_date(first), F.to_date(last)))
+    if rows.schema["Timestamp"].dataType.typeName().startswith("timestamp") if "Timestamp" in rows.columns else False:
+        rows = rows.where(F.col("Timestamp").isNull() | ((F.col("Timestamp") >= first) & (F.col("Timestamp") < last)))  # as the files have it, so that row groups are passed over
     if datasets is not None:
         rows = rows.where(F.col("Dataset").isin(*datasets) if datasets else F.lit(False))
     return with_time(rows).where((F.col("Timestamp") >= first) & (F.col("Timestamp") < last))
 
 
 def read_day(spark: SparkSession, path: str, day: str, datasets: list[str] | None = None) -> DataFrame:
-    return read_range(spark, path, day, str(spark.range(1).select(F.date_add(F.lit(day).cast("date"), 1)).first()[0]), datasets)
+    return read_range(spark, path, day, str(date.fromisoformat(day) + timedelta(days=1)), datasets)
 
 
 def selection_key(datasets: list[str]) -> str:
@@ -144,6 +149,18 @@ def rebuilt(cached: DataFrame, fresh: DataFrame, current: DataFrame, keys: tuple
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def rebuild_daily(path: str, current: DataFrame, cached: DataFrame | None, build: Callable[[DataFrame], DataFrame], day: str = "Date") -> None:
+    """Write the daily table below path, partitioned by day, where it is missing or out of date; other days' files stay.
+
+    current: (Date, Fingerprint) of the days there are. cached: the table at path, None if there is none yet.
+    build gives the rows of the days it is handed, which get their fingerprints. A day that is built again
+    replaces its partition alone.
+    """
+    stale = current if cached is None else stale_days(current, cached, (day,))
+    fresh = build(stale.select(day)).drop("Fingerprint").join(stale, day)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

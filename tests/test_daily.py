@@ -191,3 +191,47 @@ def test_catalog_names(spark):
     assert [tuple(r) for r in box] == [("m", 5, 0.0, 1.0, 2.0, 3.0, 4.0)]
 
 
+
+
+def test_rebuild_writes_only_stale_days(spark):
+    """New and changed days are built and replace their partitions; the others keep their files."""
+    import glob
+    import tempfile
+
+    from flowrhythm.sources.packets import rebuild_daily
+
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/daily"
+    built = []
+
+    def build(days):
+        built.append(sorted(str(r.Date) for r in days.collect()))
+        return days.selectExpr("Date", f"CAST({len(built)} AS DOUBLE) AS x")
+
+    days = lambda *rows: spark.createDataFrame(rows, "Date string, Fingerprint string").selectExpr("CAST(Date AS DATE) AS Date", "Fingerprint")
+    rebuild_daily(path, days(("2024-01-01", "a"), ("2024-01-02", "b")), None, build)
+    kept = glob.glob(f"{path}/Date=2024-01-01/*.parquet")
+    rebuild_daily(path, days(("2024-01-01", "a"), ("2024-01-02", "c"), ("2024-01-03", "d")), spark.read.parquet(path), build)
+    assert built == [["2024-01-01", "2024-01-02"], ["2024-01-02", "2024-01-03"]]
+    assert sorted((str(r.Date), r.x, r.Fingerprint) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 1.0, "a"), ("2024-01-02", 2.0, "c"), ("2024-01-03", 2.0, "d")]
+    assert glob.glob(f"{path}/Date=2024-01-01/*.parquet") == kept
+
+
+def test_unreadable_files_are_passed_over(spark):
+    import tempfile
+
+    from flowrhythm.sources.packets import read_range, write_slots
+
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/packets"
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 10:00:00' AS Timestamp, DATE'2024-01-01' AS Date, 10 AS Hour, 'a' AS Dataset, CAST(5 AS BIGINT) AS Length")
+    write_slots(rows, path)
+    with open(f"{path}/Dataset=a/Date=2024-01-01/broken.parquet", "wb") as f:
+        f.write(b"PAR1 no parquet at all PAR1")
+    assert read_range(spark, path, "2024-01-01", "2024-01-02").count() == 1
+
+
+def test_cached_values_go_first(spark):
+    from flowrhythm.plans.registry import with_precedence
+
+    computed = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 4.0), (3, 5.0, None)], "Date int, a double, b double")
+    cached = spark.createDataFrame([(1, 9.0, "x"), (2, 8.0, "x"), (3, None, "x"), (4, 7.0, "x")], "Date int, a double, b_other string")
+    assert sorted(map(tuple, with_precedence(computed, cached).collect())) == [(1, 9.0, 2.0), (2, 8.0, 4.0), (3, 5.0, None)]
