@@ -136,12 +136,14 @@ def _put(path: str, parts: Iterator[bytes]) -> None:
 
 
 def materialise_order(docs: DataFrame, source: str, folder: str, key: int = 42, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the shards below folder and return a row for each sequence, in lazily written shards.
+    """Write the shards below folder, and then return a row for each sequence.
 
     Columns: slot, shard, row (in the shard), first_doc, n_docs, n_ids, ids_crc32 (of the ids without
     padding). Files: shard-NNNNN.bin, records of length ids of 16 bits, padded by the end id, and
-    order.json with what a reader needs. A null text counts as empty, and an empty one is its end id. An
-    empty table gives no shard. Shards are written as the rows are computed; writing one again is safe.
+    order.json, once all shards are there, with what a reader needs. A null text counts as empty, and an
+    empty one is its end id. Long texts go on through as many sequences as they take; repeated rows count
+    each; other columns play no part. An empty table gives no shard. A task that runs again writes its
+    shards again, whole.
     """
     spark = docs.sparkSession
     end = max(Spec(source).special.values(), default=0)
@@ -163,7 +165,7 @@ def materialise_order(docs: DataFrame, source: str, folder: str, key: int = 42,
     names = ["first_doc", "n_docs", "n_ids", "ids"]
     kind = docs.schema[doc_id].dataType.simpleString()
     placed = rows.join(F.broadcast(bases), "task").mapInArrow(slot, f"shard int, slot long, first_doc {kind}, n_docs int, n_ids int, ids binary")
-    ranged = placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
+    ranged = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "slot")  # whole shards, neighbours together
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pad = zstandard.ZstdDecompressor(), np.array([end], np.uint16).tobytes()
@@ -183,8 +185,9 @@ def materialise_order(docs: DataFrame, source: str, folder: str, key: int = 42,
         if parts:
             _put(f"{folder}/shard-{at:05d}.bin", iter(parts))
 
+    out = materialise(ranged.mapInArrow(write, f"slot long, shard int, row long, first_doc {kind}, n_docs int, n_ids int, ids_crc32 long"), "order")
     _put(f"{folder}/order.json", iter([json.dumps({"sequences": total, "length": length, "width": WIDTH, "per_shard": per, "shards": shards, "key": key, "end": end}).encode()]))
-    return ranged.mapInArrow(write, f"slot long, shard int, row long, first_doc {kind}, n_docs int, n_ids int, ids_crc32 long")
+    return out
 
 
 def read_order(folder: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
