@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from flowrhythm.llm.common import bounded
-from flowrhythm.llm.tokens import Encoder, Spec, _Chunks, byte_chars, encoder, read_source
+from flowrhythm.llm.tokens import WORD_CACHE, Encoder, Spec, _Chunks, byte_chars, encoder, read_source
 
 _NEVER = 1 << 30
 #: Characters of a text taken up at once; a cut is made at white space.
@@ -60,7 +60,7 @@ class Transducer(Encoder):
         self.length = {i: len(t.removesuffix(s.suffix) if s.suffix and t != s.suffix else t) for t, i in s.vocab.items()}
         self.lookahead = sufficient_lookahead(rows, self.length)
         self.window = 2 * (self.lookahead + max(self.length.values()))
-        self._words = _Chunks(self.word)
+        self._words = _Chunks(self.word, WORD_CACHE)
         self._chunks = _Chunks(self._chunk)
 
     def _merge(self, symbols: list[int]) -> list[int]:

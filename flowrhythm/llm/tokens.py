@@ -16,8 +16,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Entries a cache holds before it starts anew, some 25 MB.
-CACHE = 1 << 17
+#: Entries that the caches of words and of chunks hold before they start anew, some 65 MB in all.
+WORD_CACHE, CACHE = 1 << 16, 1 << 18
 #: Characters of a chunk that is kept at most.
 LONG = 256
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
@@ -66,12 +66,12 @@ def normal(text: str) -> str:
 
 
 class _Chunks(dict):
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int = CACHE) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         out = self.make(chunk)
         if len(chunk) <= LONG:
@@ -85,7 +85,7 @@ class Encoder:
     def __init__(self, source: str) -> None:
         self.spec = Spec(source)
         self._library = Tokenizer.from_str(source)
-        self._words = _Chunks(self.word)
+        self._words = _Chunks(self.word, WORD_CACHE)
         self._chunks = _Chunks(self._chunk)
 
     def word(self, word: str) -> bytes:
