@@ -25,13 +25,34 @@ SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8192, 128, 8192
 #: Sums of products below this are exact in doubles.
 EXACT = float(1 << 53)
 SCALE = 256.0
+#: Components beyond this have no squares that a double holds; the largest double; the least and the largest long.
+WILD, HUGE, LEAST, MOST = 1e150, float(np.finfo(float).max), -(1 << 63), (1 << 63) - 1
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Components times SCALE, rounded down; those that a double can't hold are cut to the largest one."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(SCALE * v), -HUGE, HUGE)
+
+
+def whole(v: np.ndarray) -> list[int]:
+    """Components times SCALE, rounded down, without error."""
+    return [int(x) * int(SCALE) if abs(x) >= EXACT else math.floor(SCALE * x) for x in v.tolist()]
 
 
 class BallTree:
-    """Balls over rows of x; leaves hold LEAF_ROWS rows, or more that are all alike."""
+    """Balls over the scaled rows of v; leaves hold LEAF_ROWS rows, or more that are all alike.
+
+    Rows with a component beyond WILD, whose distances can't be told, are in a leaf of their own.
+    """
 
-    def __init__(self, x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
-        self.x = x
+    def __init__(self, v: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
+        self.v, self.x = v, scaled(v)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._build(self.x, leaf_rows)
+
+    def _build(self, x: np.ndarray, leaf_rows: int) -> None:
+        wild = np.abs(x).max(1, initial=0) > WILD
         self.center: list[np.ndarray] = []
         self.radius: list[float] = []
         self.children: list[tuple[int, int] | None] = []
@@ -51,7 +72,11 @@ class BallTree:
                 pair = list(self.children[parent] or (k, k))
                 pair[side] = k
                 self.children[parent] = (pair[0], pair[1])
-            if len(rows) > leaf_rows and self.radius[k] > 0:
+            if wild[rows].any():
+                if not wild[rows].all():
+                    self.rows[k] = None
+                    todo += [(rows[~wild[rows]], k, 0), (rows[wild[rows]], k, 1)]
+            elif len(rows) > leaf_rows and self.radius[k] > 0:
                 a = own[far.argmax()]
                 b = own[((own - a) ** 2).sum(1).argmax()]
                 near = own @ (b - a) > (b @ b - a @ a) / 2
@@ -64,22 +89,33 @@ class BallTree:
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the products of each query with each ball, with room for rounding."""
-        norm = np.sqrt((q**2).sum(1))[:, None]
-        reach = norm * (self.radii + np.sqrt((self.centers**2).sum(1)))[None, :]
-        return q @ self.centers.T + norm * self.radii[None, :] + 1e-9 * reach + 1e-6
-
-
-def products(x: np.ndarray, q: np.ndarray) -> list[int] | np.ndarray:
-    """Exact integer inner products of the rows of x with q."""
-    if np.abs(x).max(initial=0) * np.abs(q).sum() < EXACT:
-        return (x @ q).astype(np.int64)
-    exact = [int(v) for v in q]
-    return [max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * b for a, b in zip(row, exact)))) for row in x]
-
-
-def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((q**2).sum(1))[:, None]
+            reach = norm * (self.radii + np.sqrt((self.centers**2).sum(1)))[None, :]
+            out = q @ self.centers.T + norm * self.radii[None, :] + 1e-9 * reach + 1e-6
+        return np.maximum(np.where(np.isnan(out), np.inf, out), LEAST)
+
+    def products(self, rows: np.ndarray, q: np.ndarray, raw: np.ndarray) -> list[int] | np.ndarray:
+        """Exact integer inner products of these rows with a query, q being its scaled form; beyond the range of a long they are cut to it."""
+        x = self.x[rows]
+        with np.errstate(over="ignore", invalid="ignore"):
+            plain = np.abs(x).max(initial=0) * np.abs(q).sum() < EXACT
+        if plain:
+            return (x @ q).astype(np.int64)
+        own = whole(raw)
+        return [max(LEAST, min(MOST, sum(a * b for a, b in zip(whole(row), own)))) for row in self.v[rows]]
+
+
+def not_above(score: int) -> float:
+    """The largest double that is not above a score."""
+    near = float(score)
+    return near if int(near) <= score else float(np.nextafter(near, -np.inf))
+
+
+def search(tree: BallTree, ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each query its (score, id) of at least its floor, the best k; its own id is left out."""
     out = []
+    q = scaled(v)
     bound = tree.bounds(q) if len(tree.radii) else np.zeros((len(q), 0))
     for n, (vector, own) in enumerate(zip(q, q_ids)):
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the best k is on top
@@ -95,7 +131,7 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
                         heapq.heappush(balls, (-bound[n, c], c))
                 continue
             rows = tree.rows[ball]
-            scores = products(tree.x[rows], vector)
+            scores = tree.products(rows, vector, v[n])
             if isinstance(scores, np.ndarray):
                 keep = np.flatnonzero(scores >= kth)
                 found = zip(scores[keep].tolist(), ids[rows[keep]].tolist())
@@ -121,15 +157,16 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    """Components times SCALE, rounded down."""
-    return np.floor(SCALE * np.stack(column.to_numpy())) if len(column) and len(column.iloc[0]) else np.zeros((len(column), 0))
+    """Vectors of one length as rows."""
+    return np.stack(column.to_numpy()).astype(float) if len(column) and len(column.iloc[0]) else np.zeros((len(column), 0))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best of all other rows.
 
     Ties go to the smaller id. Rows are compared with those of as many components. A row with a null id
-    or vector, or with a null or non-finite component, takes no part. Rows of equal id are told apart
+    or vector, or with a null or non-finite component, takes no part. Scores beyond the range of a long
+    are its ends, and ties there. Other columns play no part; an empty table gives no rows. Rows of equal id are told apart
     by nothing, so a query leaves out every row of its own id, and is asked once for each of its rows.
     """
     rows = materialise(usable(vectors, vec_id, vector).withColumn("dim", F.size("v")), "vectors")
@@ -142,7 +179,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
             x, ids = _matrix(pdf["v"]), pdf["vec_id"].to_numpy()
             at = np.flatnonzero(ids % every == 0)
             found = search(BallTree(x), ids, x[at], ids[at], k, np.full(len(at), -np.inf))
-            return pd.DataFrame({"vec_id": ids[at], "v": pdf["v"].to_numpy()[at], "dim": pdf["dim"].to_numpy()[at], "kth": [float(min(b)[0]) if len(b) == k else -np.inf for b in found]})
+            return pd.DataFrame({"vec_id": ids[at], "v": pdf["v"].to_numpy()[at], "dim": pdf["dim"].to_numpy()[at], "kth": [not_above(min(b)[0]) if len(b) == k else -np.inf for b in found]})
 
         queries = rows.groupBy("dim", "shard").applyInPandas(own, "vec_id long, v array<double>, dim int, kth double")
     else:
