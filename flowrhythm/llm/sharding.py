@@ -7,22 +7,23 @@ next, so little else moves.
 
 All keys of a cell meet the shards in the same order. What each shard takes from each
 cell therefore follows from the number of rows per cell, a table of fixed size, and rows
-are dealt by their rank in the cell. Ranks are counted in salted parts of a cell, so a
-key that holds a third of all rows is still dealt by many tasks.
+are dealt by their rank in the cell. Ranks are counted in salted parts of a cell, of about
+PART_ROWS rows each, so a key that holds a third of all rows is still dealt by many tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowrhythm.llm.common import materialise
+from flowrhythm.llm.common import fresh, materialise
 
-#: Cells of the ring, points of a shard on it, salted parts of a cell.
-CELLS, POINTS, SALTS = 4096, 64, 16
+#: Cells of the ring, points of a shard on it, rows of a salted part of a cell, about.
+CELLS, POINTS, PART_ROWS = 4096, 64, 1 << 18
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
@@ -71,32 +72,38 @@ def cell_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
 
 
-def assign(keyed: DataFrame, key: str, shards: int, slack: float = 0.0, points: int = POINTS) -> DataFrame:
+def assign(keyed: DataFrame, key: str, shards: int, slack: float = 0.0, points: int = POINTS, part_rows: int = PART_ROWS) -> DataFrame:
     """keyed with two more columns, shard and slot; slots of a shard are gapless from 0.
 
     keyed must be a written table, whose rows keep their places when a task is repeated. Rows with
     equal keys share a cell; which of them is dealt first is settled by their place in the table.
-    A null key is a key like any other. Columns shard and slot that keyed has are replaced.
+    A null key is a key like any other. Columns shard and slot that keyed has are replaced, all others
+    stay. An empty table stays empty.
     """
     spark = keyed.sparkSession
-    keyed = keyed.drop("shard", "slot")
-    cols = keyed.columns
-    rows = keyed.withColumns({"__cell": cell_of(F.col(key)), "__place": F.monotonically_increasing_id()}).withColumn("__salt", F.pmod(F.xxhash64("__place"), F.lit(SALTS)).cast("int"))
-    parts = rows.groupBy("__cell", "__salt").agg(F.count("*").alias("n"))  # CELLS * SALTS rows at most
-    w = Window.partitionBy("__cell").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select("__cell", "__salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
-    counts = {r["__cell"]: r["n"] for r in parts.groupBy("__cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
+    cell, place, part, parts, rank, before, first, end, at = (fresh(keyed, n) for n in ("cell", "place", "part", "parts", "rank", "before", "first", "end", "at"))
+    rows = keyed.withColumns({cell: cell_of(F.col(key)), place: F.monotonically_increasing_id()}).drop("shard", "slot")
+    cols = rows.drop(cell, place).columns
+
+    def table(fields: str, data: list[tuple]) -> DataFrame:
+        names = [f.split(":")[0] for f in fields.split(",")]
+        said = json.dumps([dict(zip(names, r)) for r in data])
+        return spark.range(1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{fields}>>")))
+
+    counts = {r[cell]: r["n"] for r in rows.groupBy(cell).agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     runs = deal(counts, bounds(sum(counts.values()), shards, slack), points)
-    kind = "array<struct<__cell:int,__first:long,shard:int,__slot:long>>"
-    said = json.dumps([dict(zip(("__cell", "__first", "shard", "__slot"), r)) for r in runs])
-    dealt = spark.range(1).select(F.inline(F.from_json(F.lit(said), kind)))
-    ends = Window.partitionBy("__cell").orderBy("__first")
-    dealt = dealt.withColumn("__end", F.coalesce(F.lead("__first").over(ends), F.lit((1 << 63) - 1)))
-    local = Window.partitionBy("__cell", "__salt").orderBy("__place")
-    ranked = rows.withColumn("__n", F.row_number().over(local) - 1).join(before, ["__cell", "__salt"]).withColumn("__rank", F.col("__n") + F.col("__before"))
+    cut = table(f"{cell}:int,{parts}:long", [(c, math.ceil(n / part_rows)) for c, n in counts.items()])
+    rows = rows.join(F.broadcast(cut), cell).withColumn(part, F.pmod(F.xxhash64(place), F.col(parts)))
+    sizes = rows.groupBy(cell, part).agg(F.count("*").alias(rank))  # a row for each part
+    w = Window.partitionBy(cell).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(cell, part, F.coalesce(F.sum(rank).over(w), F.lit(0)).alias(before))
     # CELLS * shards runs at most
-    out = ranked.join(F.broadcast(dealt), "__cell").where("__rank >= __first and __rank < __end")
-    return out.select(*cols, "shard", (F.col("__slot") + F.col("__rank") - F.col("__first")).alias("slot"))
+    dealt = table(f"{cell}:int,{first}:long,shard:int,{at}:long", runs)
+    dealt = dealt.withColumn(end, F.coalesce(F.lead(first).over(Window.partitionBy(cell).orderBy(first)), F.lit((1 << 63) - 1)))
+    local = Window.partitionBy(cell, part).orderBy(place)
+    ranked = rows.withColumn(rank, F.row_number().over(local) - 1).join(starts, [cell, part]).withColumn(rank, F.col(rank) + F.col(before))
+    out = ranked.join(F.broadcast(dealt), cell).where((F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end)))
+    return out.select(*cols, "shard", (F.col(at) + F.col(rank) - F.col(first)).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, slack: float = 0.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
