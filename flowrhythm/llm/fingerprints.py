@@ -13,6 +13,7 @@ on the fingerprints alone.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,40 +145,50 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def _ranges(docs: DataFrame, key: Column, parts: int) -> list[int]:
-    """Upper ends of ranges of about equally many rows."""
+def _ranges(docs: DataFrame, key: Column, parts: int) -> tuple[list[int], list[int]]:
+    """Upper ends of ranges of about equally many rows, and into how many each is cut further.
+
+    A key that is found more than once among the ends holds a range of its own, cut as often as it was found.
+    """
     at = [i / parts for i in range(1, parts)]
-    found = docs.select(F.percentile_approx(key, F.array(*map(F.lit, at)), 20_000)).first()[0] if at else []
-    return sorted(set(found or []))
+    found = Counter((docs.select(F.percentile_approx(key, F.array(*map(F.lit, at)), 20_000)).first()[0] if at else []) or [])
+    hot = {k for k, n in found.items() if n > 1}
+    ends = sorted({*found, *(k - 1 for k in hot if k > NO_ID)})
+    return ends, [found[k] if k in hot else 1 for k in ends] + [1]
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """Rows (range, key, seam, doc_id, text), partitioned by range and sorted down the ids.
+    """Rows (range, key, mark, seam, doc_id, text), partitioned by range and sorted down the ids.
 
     Ranges are of about equal size. To each range one more row is added (seam true): the row that
     follows its last one, so a task sees the next document of each of its own. What follows the last
-    row of all is the first. Rows of one id are ordered by their text; those without id come last.
+    row of all is the first. Rows of one id are ordered by a hash of their text (mark), which also cuts
+    an id of very many rows into ranges; only rows that agree in id and text stay together. Those without
+    an id, or whose id is no integer, come last.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    key = F.coalesce(F.col(doc_id).try_cast("long"), F.lit(NO_ID))
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = np.array(_ranges(docs, key, parts), np.int64)
+    ends, cuts = (np.array(x, np.int64) for x in _ranges(docs, key, parts))
+    base = np.cumsum(cuts) - cuts
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ends, k.to_numpy(np.int64), "left").astype(np.int32))
-
-    rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("range", range_of("key"))
-    tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max("key").alias("top")).collect()}  # a row for each range
-    own = rows.select("range", "key", F.lit(False).alias("seam"), "doc_id", "text")
+    def range_of(k: pd.Series, m: pd.Series) -> pd.Series:
+        r = np.searchsorted(ends, k.to_numpy(np.int64), "left")
+        return pd.Series((base[r] + ((m.to_numpy(np.int64) >> 32) * cuts[r] >> 31)).astype(np.int32))
+
+    mark = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1)
+    rows = docs.select(key.alias("key"), mark.alias("mark"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("range", range_of("key", "mark"))
+    tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max(F.struct("key", "mark")).alias("top")).collect()}  # a row for each range
+    own = rows.select("range", "key", "mark", F.lit(False).alias("seam"), "doc_id", "text")
     if tops:
         order = sorted(tops)
-        below = [(tops[order[i - 1]], r) for i, r in enumerate(order)]  # below the lowest: the first of all
-        seams = spark.createDataFrame(below, "key long, range int")
-        wanted = sorted({k for k, _ in below})
-        found = rows.drop("range").where(key.isin(wanted) if len(wanted) <= 1000 else F.lit(True)).join(F.broadcast(seams), "key")
-        own = own.unionByName(found.groupBy("range", "key").agg(F.min_by(F.struct("doc_id", "text"), F.coalesce("text", F.lit(""))).alias("x")).select("range", "key", F.lit(True).alias("seam"), "x.doc_id", "x.text"))
-    return own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "seam", F.col("key").desc(), F.coalesce("text", F.lit("")))
+        below = [(*tops[order[i - 1]], r) for i, r in enumerate(order)]  # below the lowest: the first of all
+        seams = spark.createDataFrame(below, "key long, mark long, range int")
+        wanted = sorted({k for k, _, _ in below})
+        found = rows.drop("range").where(key.isin(wanted) if len(wanted) <= 1000 else F.lit(True)).join(F.broadcast(seams), ["key", "mark"])
+        own = own.unionByName(found.groupBy("range", "key", "mark").agg(F.min_by(F.struct("doc_id", "text"), F.coalesce("text", F.lit(""))).alias("x")).select("range", "key", "mark", F.lit(True).alias("seam"), "x.doc_id", "x.text"))
+    return own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "seam", F.col("key").desc(), F.col("mark").desc(), F.coalesce("text", F.lit("")))
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +197,8 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     The edit replaces the last third of the code points (rounded down) by as many from the beginning of
     the next document, or all that it has. Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. A null text counts as empty, and its edit is empty; a
-    row alone is its own next one. Repeated rows stay, and each is followed by its repetition.
+    row alone is its own next one. Repeated rows stay, and each is followed by its repetition. Long texts
+    count whole; other columns play no part; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
