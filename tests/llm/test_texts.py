@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os.path
 import random
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -212,6 +217,29 @@ def test_bounded_ring(odd_docs, no_docs, make_docs):
     assert sharding.shard_documents(no_docs, 8).count() == 0
 
 
+def test_ring_against_a_walk(make_docs):
+    """Row by row from the row's cell clockwise to the first shard with room; a key of a third of all rows in several parts."""
+    texts = [(1 if k % 3 == 0 else k, f"t{k % 5}é" if k % 7 else None) for k in range(3001)]
+    docs = make_docs(texts)
+    cell = lambda k: xxhash.xxh64(k.to_bytes(8, "little"), seed=42).intdigest()
+    cell_of = {k: (cell(k) - (1 << 64) if cell(k) >> 63 else cell(k)) % sharding.CELLS for k, _ in texts}
+    points = sorted((int(h[:8], 16) % sharding.CELLS, h, s) for s in range(8) for k in range(sharding.POINTS) for h in [hashlib.sha256(f"{s}:{k}".encode()).hexdigest()])
+    room, want = sharding.bounds(3001, 8), Counter()
+    for c in sorted(cell_of[k] for k, _ in texts):
+        i = bisect_left(points, (c,))
+        while not room[points[i % len(points)][2]]:
+            i += 1
+        room[points[i % len(points)][2]] -= 1
+        want[c, points[i % len(points)][2]] += 1
+    keyed = sharding.materialise(docs.selectExpr("doc_id", "text", "7 AS cell", "8 AS rank", "9 AS __cell", "10 AS slot"))
+    rows = sharding.assign(keyed, "doc_id", 8, part_rows=64).collect()
+    assert Counter((cell_of[r.doc_id], r.shard) for r in rows) == want
+    assert all((r.cell, r["rank"], r["__cell"]) == (7, 8, 9) for r in rows)
+    assert all(sorted(r.slot for r in rows if r.shard == s) == [*range(375 + (s == 0))] for s in range(8))
+    raw = lambda t: (t or "").encode()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard_documents(docs).collect()) == Counter((i, len(raw(t)) + 1, zlib.crc32(raw(t))) for i, t in texts)
+
+
 def test_ring_moves_little(make_docs):
     docs = make_docs([(k, "") for k in range(8000)])
     a, b = sharding.shard_documents(docs, 8, 0.25), sharding.shard_documents(docs, 9, 0.25)
@@ -223,16 +251,19 @@ def test_ring_moves_little(make_docs):
 def test_top_k_against_all(spark):
     r = np.random.default_rng(1)
     rows = [(k, [float(v) for v in r.normal(size=8)]) for k in range(700)] + [(900 + k, [0.5] * 8) for k in range(300)] + [(2000, None), (2050, [1.0, float("nan")] + [0.0] * 6), (2100, [None] + [0.0] * 7), (None, [1.0] * 8), (2150, [2.0, 1.0]), (2151, [1.0, 1.0])]
+    rows += [(3000, [1e308] * 8), (3001, [-1e308, 1e308] + [0.0] * 6), (3050, [1.7e308] + [0.0] * 7), (3051, [1e17, -3e16] + [2.5] * 6), (3100, [3.0] * 7 + [-1e17])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(frame, shard_rows=128, block_rows=5).collect())
-    good = [(i, [int(np.floor(256 * v)) for v in e]) for i, e in rows if i is not None and e and all(v is not None and np.isfinite(v) for v in e)]
+    good = [(i, [math.floor(Fraction(v) * 256) for v in e]) for i, e in rows if i is not None and e and all(v is not None and np.isfinite(v) for v in e)]
     want = []
     for q, e in good:
         if q % 50 == 0:
-            each = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q and len(f) == len(e))[:5]
+            each = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(e, f)))), i) for i, f in good if i != q and len(f) == len(e))[:5]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(each, 1)]
     assert got == sorted(want)
     assert topk.top_k(frame.limit(0)).count() == 0
+    few = topk.top_k(frame.where("vec_id > 2200").selectExpr("vec_id", "embedding", "1 AS rank", "2 AS v", "3 AS dim", "4 AS shard")).collect()
+    assert {r.query_id for r in few} == {3000, 3050, 3100} and all(r["rank"] <= 4 for r in few)
 
 
 def test_prefix_hashes():
@@ -263,8 +294,31 @@ def test_edited_texts(make_docs, odd_docs, no_docs):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256((t[: len(t) - k] + y[:k]).encode()).hexdigest())
         assert r.edited_fingerprint == fingerprints.PrefixHashes(t[: len(t) - k] + y[:k]).fingerprint()
+        for other, near in ((t[: len(t) - k] + y[:k], r.near_edited), (y, r.near_next)):
+            most = max(len(t), len(other))
+            if t == other:
+                assert near == 1
+            else:
+                shared = sum(len(os.path.commonprefix(p)) for p in ((t, other), (t[::-1], other[::-1])))
+                assert 0 <= min(shared, most - 1, len(t), len(other)) / most - near <= 1 / 16
     rows = fingerprints.compare_edited(odd_docs).collect()
     assert len(rows) == 12 and len({r.fingerprint for r in rows if r.n_chars == 0}) == 1
     assert fingerprints.compare_edited(no_docs).count() == 0 and fingerprints.fingerprints(odd_docs).count() == 12
     one = fingerprints.compare_edited(make_docs([(5, "alone here")])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"alone healo").hexdigest() or one[0].near_next == 1
+
+
+def test_edited_texts_of_a_hot_id(spark, make_docs):
+    """An id of a third of the rows and as many rows without one: cut into ranges, and in order."""
+    texts = [((7, None, k)[k % 3], prose(k, 30)) for k in range(600)] + [(7, "twice here")] * 2
+    docs = make_docs(texts)
+    mark = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() >> 1
+    down = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), -mark(x[1])))
+    want = Counter()
+    for (i, t), (_, y) in zip(down, down[1:] + down[:1]):
+        k = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - k] + y[:k]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.compare_edited(docs).collect()) == want
+    assert max(r["count"] for r in fingerprints.with_next(docs).groupBy("range").count().collect()) < 80
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert fingerprints.compare_edited(named).count() == 602
