@@ -9,8 +9,9 @@ holds for this length.
 The search fills one sequence after another around the largest piece left. It
 tries a few good fillings of the rest of the sequence first, then all to which no
 piece left could be added, the least wasteful first, each as often as possible and
-then less often, and gives up a branch once its waste exceeds what the best solution
-so far allows. Best fit decreasing gives the first of these solutions.
+then less often, and gives up a branch once its waste, with the waste that what is left
+can't do without, exceeds what the best solution so far allows. Best fit decreasing
+gives the first of these solutions.
 """
 
 from __future__ import annotations
@@ -178,14 +179,18 @@ def branches(left: _Left, capacity: int, width: int, spare: int) -> Iterator[tup
         waste = capacity - sum(items)
         return min(_take(left.count, items), spare // waste if waste else capacity * sum(left.count.values()))
 
-    tried = set()
+    tried, again = set(), False
     for items in completions(left, largest, capacity, width):
         tried.add(items)
-        yield items, most(items)
+        if times := most(items):
+            again |= times > 1
+            yield items, times
     for items in fillings(left, largest, capacity, spare):
         if items is None or items not in tried:
-            yield items and (items, most(items))
-    for items in fillings(left, largest, capacity, spare):
+            times = most(items) if items else 0
+            again |= times > 1
+            yield items and (items, times)
+    for items in fillings(left, largest, capacity, spare) if again else ():
         if items is None:
             yield None
         else:
@@ -193,22 +198,62 @@ def branches(left: _Left, capacity: int, width: int, spare: int) -> Iterator[tup
                 yield items, times
 
 
+def least_waste(left: _Left, capacity: int) -> int:
+    """Waste of any packing of what is left, at least.
+
+    A sequence with a piece in it can't be filled beyond the largest sum of pieces that its room takes. Pieces
+    of more than half the capacity never share one, so theirs add up; of the others, the worst one counts.
+    """
+    room = capacity - left.sizes[0]
+    sums, mask = 1, (1 << room + 1) - 1  # reachable sums, as bits
+    for x in left.sizes:
+        n, k = min(left.count[x], room // x), 1
+        while n > 0:
+            sums |= sums << min(k, n) * x & mask
+            n, k = n - k, 2 * k
+    worst = apart = 0
+    for x in left.sizes:
+        r = capacity - x
+        waste = r + 1 - (sums & (1 << r + 1) - 1).bit_length()
+        worst = max(worst, waste)
+        if 2 * x > capacity:
+            apart += waste * left.count[x]
+    return max(worst, apart)
+
+
+def least_sequences(count: dict[int, int], capacity: int) -> int:
+    """A lower bound on the number of sequences.
+
+    For each k up to half the capacity: pieces above capacity - k stand alone, other large ones lie apart, and
+    the rest of at least k goes into their room and new sequences.
+    """
+    sizes = np.array(sorted(count), np.int64)
+    n = np.array([count[x] for x in sizes.tolist()], np.int64)
+    bound = -(-int((sizes * n).sum()) // capacity)
+    for k in {0, *(x for x in sizes.tolist() if 2 * x <= capacity)}:
+        alone, large = sizes > capacity - k, 2 * sizes > capacity
+        apart, rest = large & ~alone, ~large & (sizes >= k)
+        over = int((sizes * n)[rest | apart].sum()) - capacity * int(n[apart].sum())
+        bound = max(bound, int(n[large].sum()) + max(0, -(-over // capacity)))
+    return bound
+
+
 def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> tuple[list[Fill], int]:
     """Fillings that place every length, and the lower bound on their number.
 
     A filling is repeated as long as the counts allow, so the work depends on the number of lengths.
     The search ends at the bound or when nothing is left to try, which prove the best, or after so many nodes.
+    Nodes test their least waste from the first step back on: the first way down seldom needs it.
     """
     if any(not 0 < k <= capacity for k in count):
         raise ValueError("lengths must be between 1 and the capacity")
     total = sum(k * v for k, v in count.items())
-    large = sum(v for k, v in count.items() if 2 * k > capacity)
-    bound = max(-(-total // capacity), large)
+    bound = least_sequences(count, capacity)
     best = best_fit(count, capacity)
     fewest = sum(f.times for f in best)
-    left, path, wasted, seen = _Left(dict(count)), [], [0], 0
+    left, path, wasted, seen, back = _Left(dict(count)), [], [0], 0, False
     todo: list[Iterator[tuple[tuple[int, ...], int] | None]] = []
-    while fewest > bound:
+    while fewest > bound and seen <= nodes:
         allowed = (fewest - 1) * capacity - total  # waste of any better solution at most
         if not left.sizes:
             used = sum(f.times for f in path)
@@ -218,11 +263,11 @@ def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, wi
             todo.append(iter(()))
         elif len(todo) == len(path):
             seen += 1
-            if seen > nodes:
-                break
-            todo.append(branches(left, capacity, width, allowed - wasted[-1]))
+            spare = allowed - wasted[-1]
+            todo.append(iter(()) if back and least_waste(left, capacity) > spare else branches(left, capacity, width, spare))
         while todo and (step := next(todo[-1], ())) == ():  # back up
             todo.pop()
+            back = True
             if path:
                 f = path.pop()
                 wasted.pop()
@@ -231,19 +276,15 @@ def pack(count: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, wi
             break
         if step is None:  # a filling passed over costs as much as a node
             seen += 1
-            if seen > nodes:
-                break
             continue
         items, times = step
         waste = wasted[-1] + times * (capacity - sum(items))
-        if times and waste <= allowed:
+        if waste <= allowed:
             left.add(items, -times)
             path.append(Fill(items, times))
             wasted.append(waste)
         else:
             seen += 1
-            if seen > nodes:
-                break
     return best, bound
 
 

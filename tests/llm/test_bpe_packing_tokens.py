@@ -102,6 +102,24 @@ def test_packing_search_tries_all_fillings():
     assert sum(f.times for f in fills) == bound == 4
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_bounds_hold(seed):
+    """No bound passes the best result, and pieces that can't be joined are counted as what they waste."""
+    r = random.Random(seed)
+    sizes = Counter(r.randint(15, 60) for _ in range(10))
+    fills, bound = packing.pack(dict(sizes), 60)
+    used = sum(f.times for f in fills)
+    assert bound == packing.least_sequences(dict(sizes), 60) <= used
+    assert packing.least_waste(packing._Left(dict(sizes)), 60) <= used * 60 - sum(k * v for k, v in sizes.items())
+
+
+def test_packing_bounds():
+    assert packing.least_sequences({31: 3, 40: 2, 25: 4}, 60) == 6  # 25 fits beside no 40, so one of the four needs a sequence of its own
+    assert packing.least_sequences({}, 60) == 0
+    assert packing.least_waste(packing._Left({40: 2, 15: 1}), 60) == 10  # 15 may stand beside either 40
+    assert packing.least_waste(packing._Left({30: 3}), 60) == 0
+
+
 def test_packing_documents(odd_docs, no_docs, source, library):
     rows = packing.pack_documents(odd_docs, source, 512).collect()
     want = Counter()
