@@ -293,4 +293,5 @@ SELECT entity, day, spread AS C4_F3_OnsetVar14dMin, z AS C4_F4_SleepDurationZAbs
         "cached_or_computed": f"{DAILY} SELECT entity, day, round(coalesce(CASE WHEN day(day) > 10 THEN m3 END, m4 / m1), 6) AS m3 FROM d",
         "membership_distribution": f"{DAILY}, mu AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({mu} AS DOUBLE) AS value FROM d" for m, (_, _, mu) in MU.items()) + ") SELECT metric, count(value) AS n, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS greatest FROM mu GROUP BY metric",
         "streamed_slot_counts": f'{PACKETS}, s AS (SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL) SELECT * FROM s WHERE slot_us + 300000000 <= (SELECT max(slot_us) FROM s) - 600000000',
+        "ingested_slot_counts": f'{PACKETS} SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL',
     }

@@ -359,9 +359,8 @@ def cloud_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.cloud_providers(rows_of(spark, sf_dir), KEY)
 
 
-@query
-def streamed_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of closed slots as a stream gives them, from the packet view written out and read as a stream."""
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The packet view written out, and the counts of a stream that reads it."""
     from flowrhythm.streaming.slots import write_counts
 
     folder = shared_folder(spark, "stream")
@@ -369,7 +368,26 @@ def streamed_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(p.schema).parquet(f"{folder}/in")
     write_counts(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("Dataset", N.micros("slot_start").alias("slot_us"), "packets", "bytes")
+    return spark.read.schema(p.schema).parquet(f"{folder}/in"), spark.read.parquet(f"{folder}/out")
+
+
+def _slots(counts: DataFrame) -> DataFrame:
+    return counts.select("Dataset", N.micros("slot_start").alias("slot_us"), "packets", "bytes")
+
+
+@query
+def streamed_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of closed slots as a stream gives them."""
+    return _slots(_streamed(spark, sf_dir)[1])
+
+
+@query
+def ingested_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all slots once a stream has ended: the closed ones as it gives them, the open ones from its packets."""
+    from flowrhythm.streaming.slots import with_open_slots
+
+    packets_in, counts = _streamed(spark, sf_dir)
+    return _slots(with_open_slots(counts, packets_in))
 
 
 @query

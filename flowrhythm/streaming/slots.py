@@ -2,6 +2,7 @@
 
 A slot is counted once the watermark, ten minutes behind the newest slot, has passed
 its end. Rows that come later are left out of the counts; the packet sink keeps them.
+Slots that are still open when a run ends are counted from the packet sink.
 """
 
 from __future__ import annotations
@@ -32,6 +33,20 @@ def write_counts(packets: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return slot_counts(packets).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def with_open_slots(counts: DataFrame, packets: DataFrame) -> DataFrame:
+    """The counts of a finished run and, from its packets, those of the slots after the last one that it closed.
+
+    The watermark holds for all datasets, so no later slot has been counted. Only days and row groups from there on
+    are read. Without any counts all packets are counted. Nothing is written: the next run closes these slots itself.
+    """
+    last = counts.agg(F.max(F.col("slot_start") + F.expr("INTERVAL 5 MINUTES")).cast("string")).first()[0]
+    if last is not None:
+        packets = packets.where(F.col("Timestamp") >= F.lit(last).cast("timestamp_ntz"))
+        if "Date" in packets.columns:
+            packets = packets.where(F.col("Date") >= F.to_date(F.lit(last)))
+    return counts.unionByName(slot_counts(packets))
+
+
 def watch_addresses(packets: DataFrame, catalog: str, checkpoint: str) -> StreamingQuery:
     """Addresses that the catalog (a Parquet folder of ip) lacks are added to it, batch by batch; a repeated batch adds nothing."""
 

@@ -181,6 +181,11 @@ def test_streaming_slots(spark):
     assert whole == {0: 4, 300: 1, 600: 1, 3000: 2, 6000: 1}
     report = slots.ingest_report(spark.read.parquet(f"{folder}/counts")).first()
     assert (report.slots, report.rows) == (4, 7)
+    counted, sink = spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/packets")
+    flushed = slots.with_open_slots(counted, sink)
+    assert {(r.slot_start - t0).seconds: r.packets for r in flushed.collect()} == {0: 3, 300: 1, 600: 1, 3000: 2, 6000: 1}
+    assert slots.ingest_report(flushed).first().rows == 8
+    assert slots.with_open_slots(counted.where("false"), sink).groupBy().sum("packets").first()[0] == 9
 
 
 def test_catalog_names(spark):
