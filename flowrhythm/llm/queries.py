@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with their SQL."""
+"""The registered queries of the operators and of the pipeline, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
+from flowrhythm.llm import bpe, centroids, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prob_minhash": near_dedup.query,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_transducer": bpe.query,
     "op9_ball_tree_top_k": topk.query,
     "op10_prefix_fingerprints": fingerprints.query,
+    "op12_incremental_centroids": centroids.query,
 }
 
 ORACLES: dict[str, str] = {
     "op9_ball_tree_top_k": topk.SQL,
+    "op12_incremental_centroids": centroids.SQL,
 }
