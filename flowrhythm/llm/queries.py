@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, centroids, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
+from flowrhythm.llm import bpe, centroids, collocations, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prob_minhash": near_dedup.query,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ball_tree_top_k": topk.query,
     "op10_prefix_fingerprints": fingerprints.query,
     "op12_incremental_centroids": centroids.query,
+    "op13_prefix_free_phrases": collocations.query,
 }
 
 ORACLES: dict[str, str] = {
     "op9_ball_tree_top_k": topk.SQL,
     "op12_incremental_centroids": centroids.SQL,
+    "op13_prefix_free_phrases": collocations.SQL,
 }
