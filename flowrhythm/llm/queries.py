@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrhythm.llm import bpe, centroids, collocations, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk
+from flowrhythm.llm import bpe, centroids, collocations, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, token_shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prob_minhash": near_dedup.query,
@@ -19,12 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_transducer": bpe.query,
     "op9_ball_tree_top_k": topk.query,
     "op10_prefix_fingerprints": fingerprints.query,
+    "op11_warc_segments": warc.query,
     "op12_incremental_centroids": centroids.query,
     "op13_prefix_free_phrases": collocations.query,
 }
 
 ORACLES: dict[str, str] = {
     "op9_ball_tree_top_k": topk.SQL,
+    "op11_warc_segments": warc.SQL,
     "op12_incremental_centroids": centroids.SQL,
     "op13_prefix_free_phrases": collocations.SQL,
 }
