@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowrhythm.llm.common import bounded, materialise
+from flowrhythm.llm.filters import Filter, bloom
 
 MIN_COUNT, COVER, SCALE, TOP, MAX_WORDS = 30, 80, 2_000_000, 2000, 4
 #: Of so many windows one begins a chunk, on average.
 PERIOD = 16
 #: Phrases that a task gathers before it adds up equal ones.
 HELD = 1 << 20
-#: Bits of a filter, at least and at most; bits for each of its entries within that.
-LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 26, 16
 #: Rows that one task ranks, about, besides the best of each part.
 RANKED = 200_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,29 +113,6 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period:
     return bounded(rows).mapInArrow(run, "lang string, chunk string, body int, n long").groupBy("lang", "chunk", "body").agg(F.sum("n").alias("n"))
 
 
-class Filter:
-    """A Bloom filter of a power of two bits, two of them for each hash."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at in (h & self.mask, (h >> np.uint64(32)) & self.mask):
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-
-def bloom(frequent: DataFrame) -> Filter:
-    """The filter of a table's hashes h. Its size follows their number up to MOST_BITS; beyond, it tells less but never loses one."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, frequent.count() * BITS_EACH)))))
-    at = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)))
-    words = frequent.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toPandas()  # MOST_BITS / 64 rows at most
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return Filter(out.view(np.uint64))
-
-
 class _Sums:
     """Sums of weights by two hashes, in slices of HELD."""
 

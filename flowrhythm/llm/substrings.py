@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowrhythm.llm.common import bounded, fresh, materialise
+from flowrhythm.llm.filters import may_have
 
 #: Words of a run at least, gaps of which one is a cut.
 MIN_WORDS, CUT_WORDS = 20, 10
@@ -126,10 +127,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     First is the occurrence with the least id (a null one is the least), then hash of text, then place.
     Rows that agree in id and text are one document.
     """
-    found = sentence_runs(docs, doc_id, text, min_words, cut_words)
-    # few runs repeat: half a hash counts them, and only what it leaves is written and ordered
-    repeated = materialise(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "repeated")
-    found = materialise(found.join(repeated, "h1").select("h1", "h2", "id", "of", "first", "last"), "runs")
+    found = materialise(sentence_runs(docs, doc_id, text, min_words, cut_words), "runs")  # texts are hashed once
+    # few runs repeat: half a hash counts them, and only what may repeat is shuffled and ordered
+    repeated = materialise(found.groupBy(F.col("h1").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    found = materialise(may_have(found, "h1", repeated), "found")
     place = F.struct("id", "of", "first")
     heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "head")
     heads = materialise(heads, "heads")  # joined by exchanges of their own, so that a hot run can be split

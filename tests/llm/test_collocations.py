@@ -10,6 +10,7 @@ import numpy as np
 from made import prose
 
 from flowrhythm.llm import collocations as C
+from flowrhythm.llm import filters
 
 
 def plain(rows, top, least, cover=80):
@@ -66,8 +67,8 @@ def test_parts_are_ranked_apart(spark, monkeypatch):
 
 
 def test_small_filters_and_slices_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(C, "MOST_BITS", 1 << 7)
-    monkeypatch.setattr(C, "LEAST_BITS", 1 << 7)
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 7)
+    monkeypatch.setattr(filters, "LEAST_BITS", 1 << 7)
     monkeypatch.setattr(C, "HELD", 100)
     rows = made(5)
     assert sorted(map(tuple, C.collocations(docs_of(spark, rows), top=50, least=4).collect())) == plain(rows, 50, 4)
