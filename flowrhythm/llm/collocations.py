@@ -17,7 +17,6 @@ filters leave out nothing that counts, and the last sums are by the phrases them
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +35,17 @@ PERIOD = 16
 HELD = 1 << 20
 #: Rows that one task ranks, about, besides the best of each part.
 RANKED = 200_000
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_MARK = re.compile(r"[.,;:!?\x0A-\x0D]+")
-_BLANK = re.compile(r"[\x20\x09]+")
+#: Bytes of texts that are parsed at once, phrases that a task spells out before it hands them on.
+SLICE, SPELLED = 4 << 20, 1 << 18
+#: Lower case for A-Z, a line end for each mark and line end, a space for a tab; other bytes of UTF-8 stay.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 class _Hashes(dict):
     """Hash of a word; starts anew when it gets large."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 1 << 17:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
@@ -57,7 +57,7 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def hashes(words: list[str]) -> np.ndarray:
+def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -70,47 +70,49 @@ def joined(h: np.ndarray, n: int, mix: int = 0) -> np.ndarray:
         return (out ^ (out >> np.uint64(32))) * _MIX[2]
 
 
-def pieces(text: str) -> Iterator[list[str]]:
-    """The pieces of a text as lists of words."""
-    for p in _MARK.split(text.translate(_UPPER)):
-        words = _BLANK.split(p)
-        if not words[0]:
-            del words[0]
-        if words and not words[-1]:
-            del words[-1]
-        if words:
-            yield words
-
-
-def chunks(texts: list[str], period: int = PERIOD, overlap: int = MAX_WORDS - 1) -> Iterator[tuple[int, str, int]]:
-    """(text, words joined by spaces, words of its body) of the chunks of all texts' pieces."""
-    for k, text in enumerate(texts):
-        for words in pieces(text):
-            at = [0]
-            if len(words) > overlap + 1:
-                at += (np.flatnonzero(joined(hashes(words), overlap)[1:] % np.uint64(period) == 0) + 1).tolist()
-            for i, j in zip(at, [*at[1:], len(words)]):
-                yield k, " ".join(words[i : j + overlap]), j - i
+def chunks(texts: list[bytes], period: int = PERIOD, overlap: int = MAX_WORDS - 1) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of the chunks of all texts' pieces: its text's number, its words, each with a space after it, and how many are its body."""
+    words: list[bytes] = []
+    lens: list[int] = []
+    until = [0]
+    for text in texts:
+        for piece in text.translate(_PLAIN).split(b"\n"):
+            if own := piece.split():
+                words += own
+                lens.append(len(own))
+        until.append(len(lens))
+    n = len(words)
+    ends = np.cumsum(np.array(lens, np.int64))
+    piece = np.repeat(np.arange(len(lens)), lens)
+    begins = np.zeros(n, bool)
+    begins[ends - np.array(lens, np.int64)] = True
+    window = joined(hashes(words), overlap) % np.uint64(period) == 0
+    begins[: len(window)] |= window & (np.arange(len(window)) + overlap <= ends[piece[: len(window)]])
+    at = np.flatnonzero(begins)
+    after = np.append(at[1:], n)
+    last = after >= ends[piece[at]] if n else after > n
+    stop = np.where(last, ends[piece[at]], after + overlap) if n else at
+    # all words one after another, and where each begins
+    whole = b" ".join([*words, b""])
+    place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+    cut = [whole[i:j] for i, j in zip(place[at].tolist(), place[stop].tolist())]
+    return np.searchsorted(np.array(until), piece[at], "right") - 1 if n else at, cut, after - at
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period: int = PERIOD) -> DataFrame:
-    """(lang, chunk, body, n): the different chunks of each language and how often each is parsed."""
+    """(lang, chunk, body, n): the different chunks of each language and how often each is parsed; chunks are UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = b.column(0)
-            seen: dict[tuple[str, int, int], int] = {}  # of one batch, whose bytes are bounded
-            codes = langs.dictionary_encode()
-            code = codes.indices.to_pylist()
-            for k, chunk, body in chunks([x or "" for x in b.column(1).to_pylist()], period):
-                key = (chunk, body, code[k])
-                seen[key] = seen.get(key, 0) + 1
-            if seen:
-                chunk, body, of = zip(*seen)
-                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(of)), pa.array(chunk), pa.array(body, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "chunk", "body", "n"])
+            texts = [x or b"" for x in b.column(1).to_pylist()]
+            part = np.cumsum([len(x) for x in texts]) // SLICE
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for i, j in zip([0, *ends], ends):
+                of, chunk, body = chunks(texts[i:j], period)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + i)), pa.array(chunk, pa.binary()), pa.array(body.astype(np.int32))], names=["lang", "chunk", "body"])
 
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return bounded(rows).mapInArrow(run, "lang string, chunk string, body int, n long").groupBy("lang", "chunk", "body").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
+    return bounded(rows).mapInArrow(run, "lang string, chunk binary, body int").groupBy("lang", "chunk", "body").agg(F.count("*").alias("n"))
 
 
 class _Sums:
@@ -137,11 +139,18 @@ class _Sums:
         return order[begins], np.add.reduceat(cols[-1][order], begins), cols
 
 
-def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None, second: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """(words, where it begins, hash, second hash, weight, all words) of the phrases that begin in bodies of a batch of the dictionary."""
-    each = [c.split(" ") for c in batch.column("chunk").to_pylist()]
-    lens = np.array([len(x) for x in each])
-    words = [w for x in each for w in x]
+def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """All words of a batch of the dictionary, one after another, and how many each chunk has."""
+    chunk = batch.column("chunk")
+    whole = chunk.buffers()[2].to_pybytes() if len(chunk) else b""
+    at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+    whole = whole[at[0] : at[-1]]
+    spaces = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+    return whole.split(), np.diff(np.searchsorted(spaces, at - at[0]))
+
+
+def _phrases(batch: pa.RecordBatch, words: list[bytes], lens: np.ndarray, sizes: tuple[int, ...], pairs: Filter | None, second: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, where it begins, hash, second hash, weight) of the phrases that begin in bodies of a batch of the dictionary."""
     h = hashes(words)
     codes = batch.column("lang").dictionary_encode()
     salt = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in codes.dictionary.to_pylist()], np.uint64)[codes.indices.to_numpy()]
@@ -166,7 +175,7 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
         at = np.flatnonzero(good)
         if len(at):
             first = joined(h, n)[at] ^ salted[n][at]
-            yield n, at, first, joined(h, n, 1)[at] ^ salted[n][at] if second else first, weight[at], words
+            yield n, at, first, joined(h, n, 1)[at] ^ salted[n][at] if second else first, weight[at]
 
 
 def frequent_hashes(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT) -> DataFrame:
@@ -181,7 +190,7 @@ def frequent_hashes(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter |
             return pa.RecordBatch.from_arrays([pa.array((cols[0][at] if cols else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for b in batches:
-            for _, _, h, h2, weight, _ in _phrases(b, sizes, held.value, False):
+            for _, _, h, h2, weight in _phrases(b, *_words(b), sizes, held.value, False):
                 if sums.add(h, h2, weight):
                     yield rows()
         yield rows()
@@ -197,23 +206,34 @@ def phrase_counts(chunked: DataFrame, found: Filter, pairs: Filter, least: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, pairs = held.value
+        counts: dict[tuple[str, bytes, int], int] = {}
+
+        def rows() -> pa.RecordBatch:
+            lang, phrase, size = zip(*counts)
+            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()), pa.array(size, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "words", "a"])
+
         for b in batches:
-            langs = b.column("lang")
-            sums, texts, base = _Sums(), [], 0
-            of = np.repeat(np.arange(len(b)), [c.count(" ") + 1 for c in b.column("chunk").to_pylist()])
-            for n, at, h, h2, weight, texts in _phrases(b, sizes, pairs, True):
+            words, lens = _words(b)
+            of = np.repeat(np.arange(len(b)), lens)
+            sums = _Sums()
+            for n, at, h, h2, weight in _phrases(b, words, lens, sizes, pairs, True):
                 good = found.has(h)
                 if good.any():
                     sums.add(h[good], h2[good], at[good], np.full(int(good.sum()), n), weight[good])
-            at, total, cols = sums.take()
-            if len(at):
-                place, size = cols[2][at].tolist(), cols[3][at].tolist()
-                phrase = [" ".join(texts[i : i + n]) for i, n in zip(place, size)]
-                out = [langs.take(pa.array(of[cols[2][at]])), pa.array(phrase), pa.array(cols[3][at].astype(np.int32)), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(out, names=["lang", "phrase", "words", "a"])
-
-    spelled = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
-    return spelled.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+            first, total, cols = sums.take()
+            if len(first):
+                langs = b.column("lang").take(pa.array(of[cols[2][first]])).to_pylist()
+                for lang, i, n, a in zip(langs, cols[2][first].tolist(), cols[3][first].tolist(), total.tolist()):
+                    key = (lang, b" ".join(words[i : i + n]), n)
+                    counts[key] = counts.get(key, 0) + a
+                if len(counts) >= SPELLED:
+                    yield rows()
+                    counts.clear()
+        if counts:
+            yield rows()
+
+    spelled = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "lang string, phrase binary, words int, a long")
+    return spelled.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def count_phrases(chunked: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
