@@ -42,23 +42,34 @@ _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcd
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-class _Hashes(dict):
-    """Hash of a word; starts anew when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+#: A value for each byte, and an odd factor with its inverse modulo 2^64.
+_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(factor: int, n: int) -> np.ndarray:
+    """Powers of a factor from 0 to n, modulo 2^64."""
+    own = _powers.get(factor)
+    if own is None or len(own) <= n:
+        own = np.full(max(n + 1, SLICE + (1 << 16)), factor, np.uint64)
+        own[0] = 1
+        _powers[factor] = own = np.cumprod(own, dtype=np.uint64)
+    return own
+
+
+def words_of(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin in bytes that have one space after each word, with the end of all; a hash of each, from prefix sums of its bytes."""
+    place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
+    n = len(whole)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[whole] * _power(_FACTOR, n)[:n], out=sums[1:])
+        h = (sums[place[1:]] - sums[place[:-1]]) * _power(pow(_FACTOR, -1, 1 << 64), n)[place[:-1]]
+        h = (h ^ (h >> np.uint64(31))) * _MIX[1]
+    for i in np.flatnonzero(np.diff(place) > 64).tolist():  # sums of long words are no good hashes
+        h[i] = xxhash.xxh3_64_intdigest(whole[place[i] : place[i + 1]].tobytes())
+    return place, h
 
 
 def joined(h: np.ndarray, n: int, mix: int = 0) -> np.ndarray:
@@ -72,31 +83,32 @@ def joined(h: np.ndarray, n: int, mix: int = 0) -> np.ndarray:
 
 def chunks(texts: list[bytes], period: int = PERIOD, overlap: int = MAX_WORDS - 1) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Of the chunks of all texts' pieces: its text's number, its words, each with a space after it, and how many are its body."""
-    words: list[bytes] = []
-    lens: list[int] = []
-    until = [0]
-    for text in texts:
-        for piece in text.translate(_PLAIN).split(b"\n"):
-            if own := piece.split():
-                words += own
-                lens.append(len(own))
-        until.append(len(lens))
-    n = len(words)
-    ends = np.cumsum(np.array(lens, np.int64))
-    piece = np.repeat(np.arange(len(lens)), lens)
-    begins = np.zeros(n, bool)
-    begins[ends - np.array(lens, np.int64)] = True
-    window = joined(hashes(words), overlap) % np.uint64(period) == 0
-    begins[: len(window)] |= window & (np.arange(len(window)) + overlap <= ends[piece[: len(window)]])
+    raw = np.frombuffer(b"\n".join([*texts, b""]).translate(_PLAIN), np.uint8)
+    gap = (raw == 32) | (raw == 10)
+    first = ~gap
+    first[1:] &= gap[:-1]  # of a word
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]  # its bytes and one after it
+    whole = raw[keep]
+    whole[whole == 10] = 32
+    place, h = words_of(whole)
+    n = len(h)
+    line = np.cumsum(raw == 10)[first]
+    begins = np.ones(n, bool)
+    begins[1:] = line[1:] != line[:-1]
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], n)  # of pieces
+    piece = np.cumsum(begins) - 1
+    window = joined(h, overlap) % np.uint64(period) == 0
+    begins[: len(window)] |= window & (np.arange(len(window)) + overlap <= ends[piece[: len(window)]] if n else False)
     at = np.flatnonzero(begins)
-    after = np.append(at[1:], n)
-    last = after >= ends[piece[at]] if n else after > n
-    stop = np.where(last, ends[piece[at]], after + overlap) if n else at
-    # all words one after another, and where each begins
-    whole = b" ".join([*words, b""])
-    place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+    after = np.append(at[1:], n)[: len(at)]
+    end = ends[piece[at]] if n else at
+    stop = np.where(after >= end, end, after + overlap)
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), np.flatnonzero(first)[at], "right")
+    whole = whole.tobytes()
     cut = [whole[i:j] for i, j in zip(place[at].tolist(), place[stop].tolist())]
-    return np.searchsorted(np.array(until), piece[at], "right") - 1 if n else at, cut, after - at
+    return of, cut, after - at
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period: int = PERIOD) -> DataFrame:
@@ -139,25 +151,26 @@ class _Sums:
         return order[begins], np.add.reduceat(cols[-1][order], begins), cols
 
 
-def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    """All words of a batch of the dictionary, one after another, and how many each chunk has."""
+def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of a batch of the dictionary, one after another, and where each begins and the last ends."""
     chunk = batch.column("chunk")
-    whole = chunk.buffers()[2].to_pybytes() if len(chunk) else b""
-    at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
-    whole = whole[at[0] : at[-1]]
-    spaces = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
-    return whole.split(), np.diff(np.searchsorted(spaces, at - at[0]))
+    if not len(chunk):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+    return np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _phrases(batch: pa.RecordBatch, words: list[bytes], lens: np.ndarray, sizes: tuple[int, ...], pairs: Filter | None, second: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, where it begins, hash, second hash, weight) of the phrases that begin in bodies of a batch of the dictionary."""
-    h = hashes(words)
+def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None, second: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, number of its first word, hash, second hash, weight) of the phrases that begin in bodies of a batch of the dictionary."""
+    whole, chunk_at = _bytes(batch)
+    place, h = words_of(whole)
+    lens = np.diff(np.searchsorted(place, chunk_at))
     codes = batch.column("lang").dictionary_encode()
     salt = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in codes.dictionary.to_pylist()], np.uint64)[codes.indices.to_numpy()]
     ends = np.cumsum(lens)
     of = np.repeat(np.arange(len(lens)), lens)
-    place = np.arange(len(words)) - (ends - lens)[of]
-    begins, left = place < batch.column("body").to_numpy()[of], lens[of] - place
+    number = np.arange(len(h)) - (ends - lens)[of]
+    begins, left = number < batch.column("body").to_numpy()[of], lens[of] - number
     weight = batch.column("n").to_numpy()[of]
     with np.errstate(over="ignore"):
         salted = {n: salt[of] * np.uint64(2 * n + 1) for n in sizes + ((2,) if pairs else ())}
@@ -190,7 +203,7 @@ def frequent_hashes(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter |
             return pa.RecordBatch.from_arrays([pa.array((cols[0][at] if cols else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for b in batches:
-            for _, _, h, h2, weight in _phrases(b, *_words(b), sizes, held.value, False):
+            for _, _, h, h2, weight in _phrases(b, sizes, held.value, False):
                 if sums.add(h, h2, weight):
                     yield rows()
         yield rows()
@@ -213,18 +226,20 @@ def phrase_counts(chunked: DataFrame, found: Filter, pairs: Filter, least: int =
             return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()), pa.array(size, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "words", "a"])
 
         for b in batches:
-            words, lens = _words(b)
-            of = np.repeat(np.arange(len(b)), lens)
+            whole, chunk_at = _bytes(b)
+            place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
+            whole = whole.tobytes()
             sums = _Sums()
-            for n, at, h, h2, weight in _phrases(b, words, lens, sizes, pairs, True):
+            for n, at, h, h2, weight in _phrases(b, sizes, pairs, True):
                 good = found.has(h)
                 if good.any():
                     sums.add(h[good], h2[good], at[good], np.full(int(good.sum()), n), weight[good])
             first, total, cols = sums.take()
             if len(first):
-                langs = b.column("lang").take(pa.array(of[cols[2][first]])).to_pylist()
-                for lang, i, n, a in zip(langs, cols[2][first].tolist(), cols[3][first].tolist(), total.tolist()):
-                    key = (lang, b" ".join(words[i : i + n]), n)
+                at, size = cols[2][first], cols[3][first]
+                langs = b.column("lang").take(pa.array(np.searchsorted(chunk_at, place[at], "right") - 1)).to_pylist()
+                for lang, i, j, n, a in zip(langs, place[at].tolist(), (place[at + size] - 1).tolist(), size.tolist(), total.tolist()):
+                    key = (lang, whole[i:j], n)
                     counts[key] = counts.get(key, 0) + a
                 if len(counts) >= SPELLED:
                     yield rows()
