@@ -8,10 +8,11 @@ chunks with the number of times each is parsed. A phrase of at most four words l
 in the chunk in whose body, all but the overlap, it begins: counting the phrases that
 begin in bodies, each weighted by its chunk's number, counts each occurrence once.
 
-The dictionary is counted in three passes. Hashes of words and pairs are summed first;
-those of longer phrases only where all their pairs may be frequent, which a Bloom filter
-of bounded size tells; and phrases are spelled out only where their hash is frequent. The
-filters leave out nothing that counts, and the last sums are by the phrases themselves.
+The dictionary is counted in three passes. Hashes of 128 bits of words and pairs are summed
+first; those of longer phrases only where all their pairs may be frequent, which a Bloom
+filter of bounded size tells and which leaves out nothing that counts. Each sum keeps one
+place of its phrase, the one of least hash, and the third pass spells out frequent phrases
+there and nowhere else, so what is handed on follows the number of phrases, not of tasks.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ PERIOD = 16
 HELD = 1 << 20
 #: Rows that one task ranks, about, besides the best of each part.
 RANKED = 200_000
-#: Bytes of texts that are parsed at once, phrases that a task spells out before it hands them on.
-SLICE, SPELLED = 4 << 20, 1 << 18
+#: Bytes of texts that are parsed at once.
+SLICE = 4 << 20
 #: Lower case for A-Z, a line end for each mark and line end, a space for a tab; other bytes of UTF-8 stay.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -128,27 +129,26 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period:
 
 
 class _Sums:
-    """Sums of weights by two hashes, in slices of HELD."""
+    """Sums of weights by two hashes, with the least place of each, in slices of HELD."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
     def add(self, *columns: np.ndarray) -> bool:
+        """Two hashes, place, weight. Whether there is enough to take."""
         self.parts.append(columns)
         self.n += len(columns[0])
         return self.n >= HELD
 
-    def take(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """One place of each different first and second column, sums of the last one, and all columns."""
-        cols = [np.concatenate(c) for c in zip(*self.parts)] if self.parts else []
+    def take(self) -> pa.RecordBatch:
+        h, h2, place, n = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64),) * 4
         self.parts, self.n = [], 0
-        if not cols or not len(cols[0]):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), cols
-        order = np.argsort(cols[0], kind="stable") if cols[1] is cols[0] else np.lexsort((cols[1], cols[0]))
-        a, b = cols[0][order], cols[1][order]
-        begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return order[begins], np.add.reduceat(cols[-1][order], begins), cols
+        order = np.argsort(h, kind="stable")
+        h, h2, place, n = h[order], h2[order], place[order], n[order]
+        begins = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])) if len(h) else np.zeros(0, np.int64)
+        least, total = (np.minimum.reduceat(place, begins), np.add.reduceat(n, begins)) if len(h) else (place, n)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[begins], h2[begins], least)] + [pa.array(total.astype(np.int64))], names=["h", "h2", "place", "n"])
 
 
 def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +160,8 @@ def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None, second: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, number of its first word, hash, second hash, weight) of the phrases that begin in bodies of a batch of the dictionary."""
+def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, number of its first word, hash, second hash, hash of its place, weight) of the phrases that begin in bodies of a batch of the dictionary."""
     whole, chunk_at = _bytes(batch)
     place, h = words_of(whole)
     lens = np.diff(np.searchsorted(place, chunk_at))
@@ -170,10 +170,17 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
     ends = np.cumsum(lens)
     of = np.repeat(np.arange(len(lens)), lens)
     number = np.arange(len(h)) - (ends - lens)[of]
-    begins, left = number < batch.column("body").to_numpy()[of], lens[of] - number
+    body = batch.column("body").to_numpy()
+    begins, left = number < body[of], lens[of] - number
     weight = batch.column("n").to_numpy()[of]
     with np.errstate(over="ignore"):
         salted = {n: salt[of] * np.uint64(2 * n + 1) for n in sizes + ((2,) if pairs else ())}
+        # a chunk is told by its language, words and body, a place by its chunk and number
+        mixed = np.cumsum(h * ((number.astype(np.uint64) + np.uint64(1)) * _MIX[0] | np.uint64(1)), dtype=np.uint64)
+        chunk = np.diff(np.concatenate([[np.uint64(0)], mixed])[np.concatenate([[0], ends])]) + salt * _MIX[1] + body.astype(np.uint64) * _MIX[2]
+        spot = ((chunk ^ (chunk >> np.uint64(29))) * _MIX[1])[of] + number.astype(np.uint64) * _MIX[0]
+        spot = (spot ^ (spot >> np.uint64(32))) * _MIX[2]
+        spot ^= spot >> np.uint64(31)
     ok = None
     if pairs is not None:
         pair = joined(h, 2) ^ salted[2][: max(0, len(h) - 1)]
@@ -187,76 +194,52 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
                 good[: len(good) - k] &= ok[k:]
         at = np.flatnonzero(good)
         if len(at):
-            first = joined(h, n)[at] ^ salted[n][at]
-            yield n, at, first, joined(h, n, 1)[at] ^ salted[n][at] if second else first, weight[at]
+            yield n, at, joined(h, n)[at] ^ salted[n][at], joined(h, n, 1)[at] ^ salted[n][at], spot[at], weight[at]
 
 
-def frequent_hashes(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT) -> DataFrame:
-    """(h): hashes of phrases of these numbers of words that occur at least so often, and a few that don't but share one."""
+def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT) -> DataFrame:
+    """(h, h2, place, n): hashes of phrases of these numbers of words that occur at least so often, one place of each, and how often."""
     held = chunked.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-
-        def rows() -> pa.RecordBatch:
-            at, n, cols = sums.take()
-            return pa.RecordBatch.from_arrays([pa.array((cols[0][at] if cols else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n)], names=["h", "n"])
-
         for b in batches:
-            for _, _, h, h2, weight in _phrases(b, sizes, held.value, False):
-                if sums.add(h, h2, weight):
-                    yield rows()
-        yield rows()
+            for _, _, *columns in _phrases(b, sizes, held.value):
+                if sums.add(*columns):
+                    yield sums.take()
+        yield sums.take()
 
-    counted = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, h2 long, place long, n long")
+    return parts.groupBy("h", "h2").agg(F.min("place").alias("place"), F.sum("n").alias("n")).where(F.col("n") >= least).select("h", "h2", "place", "n")
 
 
-def phrase_counts(chunked: DataFrame, found: Filter, pairs: Filter, least: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
-    """(lang, phrase, words, a): how often each phrase occurs, for those that occur at least so often."""
-    held = chunked.sparkSession.sparkContext.broadcast((found, pairs))
-    sizes = tuple(range(1, max_words + 1))
+def spelled(chunked: DataFrame, places: Filter, sizes: tuple[int, ...]) -> DataFrame:
+    """(h, h2, place, lang, phrase, words): the phrases at these places, and a few others."""
+    held = chunked.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, pairs = held.value
-        counts: dict[tuple[str, bytes, int], int] = {}
-
-        def rows() -> pa.RecordBatch:
-            lang, phrase, size = zip(*counts)
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()), pa.array(size, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "words", "a"])
-
         for b in batches:
             whole, chunk_at = _bytes(b)
             place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
             whole = whole.tobytes()
-            sums = _Sums()
-            for n, at, h, h2, weight in _phrases(b, sizes, pairs, True):
-                good = found.has(h)
-                if good.any():
-                    sums.add(h[good], h2[good], at[good], np.full(int(good.sum()), n), weight[good])
-            first, total, cols = sums.take()
-            if len(first):
-                at, size = cols[2][first], cols[3][first]
-                langs = b.column("lang").take(pa.array(np.searchsorted(chunk_at, place[at], "right") - 1)).to_pylist()
-                for lang, i, j, n, a in zip(langs, place[at].tolist(), (place[at + size] - 1).tolist(), size.tolist(), total.tolist()):
-                    key = (lang, whole[i:j], n)
-                    counts[key] = counts.get(key, 0) + a
-                if len(counts) >= SPELLED:
-                    yield rows()
-                    counts.clear()
-        if counts:
-            yield rows()
-
-    spelled = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "lang string, phrase binary, words int, a long")
-    return spelled.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
+            for n, at, h, h2, spot, _ in _phrases(b, sizes, None):
+                good = held.value.has(spot)
+                at = at[good]
+                if len(at):
+                    phrase = [whole[i:j] for i, j in zip(place[at].tolist(), (place[at + n] - 1).tolist())]
+                    lang = b.column("lang").take(pa.array(np.searchsorted(chunk_at, place[at], "right") - 1))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[good].view(np.int64)) for x in (h, h2, spot)), lang, pa.array(phrase, pa.binary()), pa.array(np.full(len(at), n, np.int32))], names=["h", "h2", "place", "lang", "phrase", "words"])
+
+    return chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, h2 long, place long, lang string, phrase binary, words int").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def count_phrases(chunked: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, phrase, words, a) of a written dictionary, written: phrases of 1 to max_words words that occur at least so often."""
-    short = materialise(frequent_hashes(chunked, (1, 2), None, least), "short")
-    pairs = bloom(short)
-    long = materialise(short.unionByName(frequent_hashes(chunked, tuple(range(3, max_words + 1)), pairs, least)), "frequent") if max_words > 2 else short
-    return materialise(phrase_counts(chunked, bloom(long), pairs, least, max_words), "phrases")
+    found = materialise(counted(chunked, (1, 2), None, least), "short")
+    if max_words > 2:
+        found = materialise(found.unionByName(counted(chunked, tuple(range(3, max_words + 1)), bloom(found.select("h")), least)), "frequent")
+    said = spelled(chunked, bloom(found.select(F.col("place").alias("h"))), tuple(range(1, max_words + 1)))
+    return materialise(found.join(said, ["h", "h2", "place"]).select("lang", "phrase", "words", F.col("n").alias("a")), "phrases")
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
