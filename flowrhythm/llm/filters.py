@@ -35,9 +35,9 @@ def bloom(table: DataFrame) -> Filter:
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, table.count() * BITS_EACH)))))
     low, high = F.col("h").bitwiseAND((1 << 31) - 1), F.shiftrightunsigned("h", 33)
     at = F.explode(F.array(*((low + high * i).bitwiseAND(bits - 1) for i in range(PROBES))))
-    words = table.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toPandas()  # MOST_BITS / 64 rows at most
+    words = table.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()  # MOST_BITS / 64 rows at most, 16 MB
     out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return Filter(out.view(np.uint64))
 
 

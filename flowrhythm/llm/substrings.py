@@ -19,58 +19,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowrhythm.llm.common import bounded, fresh, materialise
 from flowrhythm.llm.filters import may_have
+from flowrhythm.llm.words import MIX, scan, spans
 
 #: Words of a run at least, gaps of which one is a cut.
 MIN_WORDS, CUT_WORDS = 20, 10
-#: Characters of texts that are hashed at once, of a word whose hash is kept at most.
-SLICE, LONG = 1 << 20, 256
-_TOKEN = re.compile(r"\n|\S+")
+#: Characters of texts that are hashed at once.
+SLICE = 1 << 20
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"[.!?][.!?\"')\]]*\Z")
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: White space beyond spaces and line ends: of ASCII as spaces, other.
+_BLANK = bytes.maketrans(b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f", b" " * 8)
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Marks that end a sentence, and those that may follow them.
+_MARK, _AFTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b".!?\"')]"))
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """Hash of a word in lower case, odd if it ends a sentence; 0 for the end of a line. Starts anew when it gets large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word.lower().encode()) & ~1 | bool(_END.search(word)) if word != "\n" else 0
-        if len(word) <= LONG:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
+def _plain(text: str) -> bytes:
+    low = text.lower()
+    return (low if low.isascii() else _WIDE.sub(" ", low)).encode().translate(_BLANK)
 
 
 def cuts(texts: list[str], cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
     """Of the words of all texts, one after another: hash, whether one begins a line, whether there is a cut before it; where each text begins."""
-    each = [[0, *map(_WORDS.__getitem__, _TOKEN.findall(t))] for t in texts]
-    tokens = np.concatenate([np.array(x, np.uint64) for x in each]) if each else np.zeros(0, np.uint64)
-    word = tokens != 0
-    h = tokens[word]
-    lines = np.concatenate([[True], tokens[:-1] == 0])[word] if len(tokens) else word
+    whole, place, h, lines, starts = scan([_plain(t) for t in texts])
+    n = len(h)
+    # a word ends a sentence if a mark is among the marks at its end
+    at = np.arange(len(whole))
+    mark = np.maximum.accumulate(np.where(_MARK[whole], at, -1))
+    other = np.maximum.accumulate(np.where(_AFTER[whole] | (whole == 32), -1, at))
+    last = place[1:] - 2
+    h = h & ~np.uint64(1) | ((mark[last] >= place[:-1]) & (mark[last] > other[last])).astype(np.uint64) if n else h
     begins = lines.copy()
     begins[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
-    starts = np.concatenate([[0], np.cumsum(word)])[np.cumsum([0] + [len(x) for x in each])]
-    gap = np.zeros(len(h) + cut_words - 1, np.uint64)
+    gap = np.zeros(n + cut_words - 1, np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (h[:-1] * _MIX[0] ^ h[1:]) * _MIX[1]
-    gap[1 : len(h)] = mixed >> np.uint64(1) | np.uint64(1)
-    gap[: len(h)][begins] = 0
+        mixed = (h[:-1] * MIX[0] ^ h[1:]) * MIX[1]
+    gap[1:n] = mixed >> np.uint64(1) | np.uint64(1)
+    gap[:n][begins] = 0
     cut = np.zeros(len(gap), bool)
-    if len(h):
-        cut[np.arange(len(h)) + np.lib.stride_tricks.sliding_window_view(gap, cut_words).argmin(1)] = True
-    return h, lines, cut[: len(h)], starts
+    if n:
+        cut[_first_least(gap, cut_words)] = True
+    return h, lines, cut[:n], starts
+
+
+def _first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """For each window of so many values the place of the first of its least ones, from windows of half the width."""
+    least, at, w = x, np.arange(len(x)), 1
+    while w < width:
+        step = min(w, width - w)
+        right = least[step:] < least[:-step]
+        least, at, w = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step]), w + step
+    return at
 
 
 def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> tuple[np.ndarray, ...]:
@@ -92,15 +97,11 @@ def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORD
     fit = (k >= 0) & (s >= starts[of[e - 1]]) if len(e) else np.zeros(0, bool)
     both = np.unique(np.concatenate([a[good], s[fit]]) * (n + 1) + np.concatenate([b[good], e[fit]]))
     a, b = both // (n + 1), both % (n + 1)
-    out = np.zeros((len(a), 2), np.uint64)
-    with np.errstate(over="ignore"):
-        i = a.copy()
-        while (on := i < b).any():
-            out[on] = (out[on] ^ (out[on] >> np.uint64(29))) * _MIX + h[i[on], None]
-            i[on] += 1
-        out = (out ^ (out >> np.uint64(31))) * _MIX[::-1] ^ (b - a).astype(np.uint64)[:, None]
     first = starts[of[a]] if len(a) else a
-    return of[a] if len(a) else a, a - first, b - first, out[:, 0].copy(), out[:, 1].copy()
+    with np.errstate(over="ignore"):
+        own = [(x := spans(h, a, b, f)) ^ (x >> np.uint64(31)) for f in _FACTORS]
+        own = [x * MIX[2] ^ (b - a).astype(np.uint64) for x in own]
+    return of[a] if len(a) else a, a - first, b - first, own[0], own[1]
 
 
 def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:

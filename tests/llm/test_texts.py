@@ -17,6 +17,7 @@ import zstandard
 from made import prose
 
 from flowrhythm.llm import fingerprints, pii, quality, sharding, substrings, topk
+from flowrhythm.llm.words import BYTE, FACTOR
 
 
 def test_base_spans_are_those_of_the_patterns():
@@ -145,9 +146,15 @@ def test_quality_on_held_out_rows(make_docs, spark, odd_docs, no_docs):
     assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 0.95 * len(got)
 
 
+def word_hash(word: str) -> int:
+    """The sum of its bytes' values, with a space after them, by powers of a factor."""
+    h = sum(int(BYTE[b]) * pow(FACTOR, i, 1 << 64) for i, b in enumerate(f"{word} ".encode())) % (1 << 64)
+    return (h ^ (h >> 31)) * 0xC2B2AE3D27D4EB4F % (1 << 64)
+
+
 def cuts_by_definition(words: list[str], lines: set[int]) -> tuple[set[int], set[int]]:
     """Where sentences begin, and all cuts: of every ten gaps in a row that hold no such place, the one of the least hash."""
-    h = [xxhash.xxh3_64_intdigest(w.lower().encode()) & ~1 | bool(re.search(r"[.!?][.!?\"')\]]*$", w)) for w in words]
+    h = [word_hash(w.lower()) & ~1 | bool(re.search(r"[.!?][.!?\"')\]]*$", w)) for w in words]
     begins = {i for i in range(len(words)) if i in lines or not i or h[i - 1] & 1}
     low = 1 << 64
     gap = [0 if i in begins else ((h[i - 1] * 0x9E3779B97F4A7C15 % low ^ h[i]) * 0xC2B2AE3D27D4EB4F % low) >> 1 | 1 for i in range(len(words))]
@@ -199,6 +206,21 @@ def test_any_passage_of_more_than_50_words_is_found(make_docs, seed):
         assert own <= set(got[k]) and len(set(got[k]) & set(passage)) <= 2 * 10 + 10 - 1
 
 
+def test_words_and_sentence_ends_of_any_text():
+    texts = ["", " ", "One. two!?') three.\nfour\u2003five\u00a0six\x1cseven ...", "\n\n a.b c\") d. ", "é" * 100 + " ß.", "x" * 200 + "? y"]
+    h, lines, _, starts = substrings.cuts(texts)
+    words = [[w for line in t.split("\n") for w in line.split()] for t in texts]
+    assert np.diff(starts).tolist() == [len(w) for w in words]
+    flat = [w for t in words for w in t]
+    assert [bool(x & np.uint64(1)) for x in h] == [bool(re.search(r"[.!?][.!?\"')\]]*$", w)) for w in flat]
+    assert [x for x, w in zip((h & ~np.uint64(1)).tolist(), flat) if len(w.encode()) < 60] == [word_hash(w.lower()) & ~1 for w in flat if len(w.encode()) < 60]
+    firsts = {sum(len(x) for x in words[:k]) + sum(len(x.split()) for x in t.split("\n")[:j]) for k, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if x.split()}
+    assert set(np.flatnonzero(lines).tolist()) == firsts
+    x = np.random.default_rng(1).integers(0, 5, 300).astype(np.uint64)
+    for width in (1, 2, 3, 7, 10):
+        assert substrings._first_least(x, width).tolist() == [i + int(x[i : i + width].argmin()) for i in range(300 - width + 1)]
+
+
 def test_substring_odd_rows(odd_docs, no_docs):
     rows = substrings.remove_repeats(odd_docs, count="n_removed")
     assert rows.columns == [*odd_docs.columns, "n_removed"] and rows.count() == 12
