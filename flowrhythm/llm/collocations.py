@@ -8,11 +8,13 @@ chunks with the number of times each is parsed. A phrase of at most four words l
 in the chunk in whose body, all but the overlap, it begins: counting the phrases that
 begin in bodies, each weighted by its chunk's number, counts each occurrence once.
 
-The dictionary is counted in three passes. Hashes of 128 bits of words and pairs are summed
-first; those of longer phrases only where all their pairs may be frequent, which a Bloom
-filter of bounded size tells and which leaves out nothing that counts. Each sum keeps one
-place of its phrase, the one of least hash, and the third pass spells out frequent phrases
-there and nowhere else, so what is handed on follows the number of phrases, not of tasks.
+The dictionary is counted in three passes. Hashes of words and pairs are summed first;
+those of longer phrases only where all their pairs may be frequent, which a Bloom filter
+of bounded size tells and which leaves out nothing that counts. Each sum keeps a second
+hash and a place of its phrase, and the third pass spells out frequent phrases there and
+nowhere else, so what is handed on follows the number of phrases, not of tasks. Where the
+second hashes of a sum differ, different phrases share the first: these few are counted by
+their words.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from flowrhythm.llm.common import bounded, materialise
 from flowrhythm.llm.filters import Filter, bloom
+from flowrhythm.llm.words import MIX, hashed, scan
 
 MIN_COUNT, COVER, SCALE, TOP, MAX_WORDS = 30, 80, 2_000_000, 2000, 4
 #: Of so many windows one begins a chunk, on average.
@@ -36,69 +39,28 @@ PERIOD = 16
 HELD = 1 << 20
 #: Rows that one task ranks, about, besides the best of each part.
 RANKED = 200_000
+HALF, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 #: Bytes of texts that are parsed at once.
 SLICE = 4 << 20
 #: Lower case for A-Z, a line end for each mark and line end, a space for a tab; other bytes of UTF-8 stay.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-
-
-#: A value for each byte, and an odd factor with its inverse modulo 2^64.
-_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-_FACTOR = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(factor: int, n: int) -> np.ndarray:
-    """Powers of a factor from 0 to n, modulo 2^64."""
-    own = _powers.get(factor)
-    if own is None or len(own) <= n:
-        own = np.full(max(n + 1, SLICE + (1 << 16)), factor, np.uint64)
-        own[0] = 1
-        _powers[factor] = own = np.cumprod(own, dtype=np.uint64)
-    return own
-
-
-def words_of(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words begin in bytes that have one space after each word, with the end of all; a hash of each, from prefix sums of its bytes."""
-    place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
-    n = len(whole)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[whole] * _power(_FACTOR, n)[:n], out=sums[1:])
-        h = (sums[place[1:]] - sums[place[:-1]]) * _power(pow(_FACTOR, -1, 1 << 64), n)[place[:-1]]
-        h = (h ^ (h >> np.uint64(31))) * _MIX[1]
-    for i in np.flatnonzero(np.diff(place) > 64).tolist():  # sums of long words are no good hashes
-        h[i] = xxhash.xxh3_64_intdigest(whole[place[i] : place[i + 1]].tobytes())
-    return place, h
 
 
 def joined(h: np.ndarray, n: int, mix: int = 0) -> np.ndarray:
     """Hashes of the n words from each place on, for places that have as many after them."""
     with np.errstate(over="ignore"):
-        out = h[: max(0, len(h) - n + 1)] * _MIX[mix]
+        out = h[: max(0, len(h) - n + 1)] * MIX[mix]
         for k in range(1, n):
-            out = (out ^ (out >> np.uint64(29))) * _MIX[mix] + h[k : len(h) - n + 1 + k]
-        return (out ^ (out >> np.uint64(32))) * _MIX[2]
+            out = (out ^ (out >> np.uint64(29))) * MIX[mix] + h[k : len(h) - n + 1 + k]
+        return (out ^ (out >> np.uint64(32))) * MIX[2]
 
 
 def chunks(texts: list[bytes], period: int = PERIOD, overlap: int = MAX_WORDS - 1) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Of the chunks of all texts' pieces: its text's number, its words, each with a space after it, and how many are its body."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]).translate(_PLAIN), np.uint8)
-    gap = (raw == 32) | (raw == 10)
-    first = ~gap
-    first[1:] &= gap[:-1]  # of a word
-    keep = ~gap
-    keep[1:] |= ~gap[:-1]  # its bytes and one after it
-    whole = raw[keep]
-    whole[whole == 10] = 32
-    place, h = words_of(whole)
+    whole, place, h, begins, starts = scan([t.translate(_PLAIN) for t in texts])
     n = len(h)
-    line = np.cumsum(raw == 10)[first]
-    begins = np.ones(n, bool)
-    begins[1:] = line[1:] != line[:-1]
-    starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], n)  # of pieces
+    pieces = np.flatnonzero(begins)
+    ends = np.append(pieces[1:], n)
     piece = np.cumsum(begins) - 1
     window = joined(h, overlap) % np.uint64(period) == 0
     begins[: len(window)] |= window & (np.arange(len(window)) + overlap <= ends[piece[: len(window)]] if n else False)
@@ -106,7 +68,7 @@ def chunks(texts: list[bytes], period: int = PERIOD, overlap: int = MAX_WORDS -
     after = np.append(at[1:], n)[: len(at)]
     end = ends[piece[at]] if n else at
     stop = np.where(after >= end, end, after + overlap)
-    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), np.flatnonzero(first)[at], "right")
+    of = np.searchsorted(starts, at, "right") - 1
     whole = whole.tobytes()
     cut = [whole[i:j] for i, j in zip(place[at].tolist(), place[stop].tolist())]
     return of, cut, after - at
@@ -129,26 +91,26 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period:
 
 
 class _Sums:
-    """Sums of weights by two hashes, with the least place of each, in slices of HELD."""
+    """Sums of weights by hash and the upper half of a tag, with one tag of each, in slices of HELD."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
     def add(self, *columns: np.ndarray) -> bool:
-        """Two hashes, place, weight. Whether there is enough to take."""
+        """Hash, tag, weight. Whether there is enough to take."""
         self.parts.append(columns)
         self.n += len(columns[0])
         return self.n >= HELD
 
     def take(self) -> pa.RecordBatch:
-        h, h2, place, n = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64),) * 4
+        h, tag, n = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64),) * 3
         self.parts, self.n = [], 0
         order = np.argsort(h, kind="stable")
-        h, h2, place, n = h[order], h2[order], place[order], n[order]
-        begins = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])) if len(h) else np.zeros(0, np.int64)
-        least, total = (np.minimum.reduceat(place, begins), np.add.reduceat(n, begins)) if len(h) else (place, n)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[begins], h2[begins], least)] + [pa.array(total.astype(np.int64))], names=["h", "h2", "place", "n"])
+        h, tag, n = h[order], tag[order], n[order]
+        begins = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tag[1:] >> HALF != tag[:-1] >> HALF)])) if len(h) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, begins) if len(h) else n
+        return pa.RecordBatch.from_arrays([pa.array(h[begins].view(np.int64)), pa.array(tag[begins].view(np.int64)), pa.array(total.astype(np.int64))], names=["h", "tag", "n"])
 
 
 def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +122,10 @@ def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, number of its first word, hash, second hash, hash of its place, weight) of the phrases that begin in bodies of a batch of the dictionary."""
+def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, number of its first word, hash, tag: halves of a second hash and of its place's, weight) of the phrases that begin in bodies of a batch of the dictionary."""
     whole, chunk_at = _bytes(batch)
-    place, h = words_of(whole)
+    place, h = hashed(whole)
     lens = np.diff(np.searchsorted(place, chunk_at))
     codes = batch.column("lang").dictionary_encode()
     salt = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in codes.dictionary.to_pylist()], np.uint64)[codes.indices.to_numpy()]
@@ -176,14 +138,15 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
     with np.errstate(over="ignore"):
         salted = {n: salt[of] * np.uint64(2 * n + 1) for n in sizes + ((2,) if pairs else ())}
         # a chunk is told by its language, words and body, a place by its chunk and number
-        mixed = np.cumsum(h * ((number.astype(np.uint64) + np.uint64(1)) * _MIX[0] | np.uint64(1)), dtype=np.uint64)
-        chunk = np.diff(np.concatenate([[np.uint64(0)], mixed])[np.concatenate([[0], ends])]) + salt * _MIX[1] + body.astype(np.uint64) * _MIX[2]
-        spot = ((chunk ^ (chunk >> np.uint64(29))) * _MIX[1])[of] + number.astype(np.uint64) * _MIX[0]
-        spot = (spot ^ (spot >> np.uint64(32))) * _MIX[2]
-        spot ^= spot >> np.uint64(31)
+        mixed = np.cumsum(h * ((number.astype(np.uint64) + np.uint64(1)) * MIX[0] | np.uint64(1)), dtype=np.uint64)
+        chunk = np.diff(np.concatenate([[np.uint64(0)], mixed])[np.concatenate([[0], ends])]) + salt * MIX[1] + body.astype(np.uint64) * MIX[2]
+        spot = ((chunk ^ (chunk >> np.uint64(29))) * MIX[1])[of] + number.astype(np.uint64) * MIX[0]
+        spot = (spot ^ (spot >> np.uint64(32))) * MIX[2]
+        spot >>= HALF
+    kept = np.uint64((1 << bits) - 1)
     ok = None
     if pairs is not None:
-        pair = joined(h, 2) ^ salted[2][: max(0, len(h) - 1)]
+        pair = (joined(h, 2) ^ salted[2][: max(0, len(h) - 1)]) & kept
         ok = np.zeros(len(h), bool)
         inside = np.flatnonzero(left[: len(pair)] >= 2)
         ok[inside] = pairs.has(pair[inside])
@@ -194,52 +157,64 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
                 good[: len(good) - k] &= ok[k:]
         at = np.flatnonzero(good)
         if len(at):
-            yield n, at, joined(h, n)[at] ^ salted[n][at], joined(h, n, 1)[at] ^ salted[n][at], spot[at], weight[at]
+            second = (joined(h, n, 1)[at] ^ salted[n][at]) >> HALF << HALF
+            yield n, at, (joined(h, n)[at] ^ salted[n][at]) & kept, second | spot[at], weight[at]
 
 
-def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT) -> DataFrame:
-    """(h, h2, place, n): hashes of phrases of these numbers of words that occur at least so often, one place of each, and how often."""
+def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT, bits: int = 64) -> DataFrame:
+    """(h, tag, n, mixed): hashes of phrases of these numbers of words that occur at least so often, a tag and whether there are others, and how often."""
     held = chunked.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for b in batches:
-            for _, _, *columns in _phrases(b, sizes, held.value):
+            for _, _, *columns in _phrases(b, sizes, held.value, bits):
                 if sums.add(*columns):
                     yield sums.take()
         yield sums.take()
 
-    parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, h2 long, place long, n long")
-    return parts.groupBy("h", "h2").agg(F.min("place").alias("place"), F.sum("n").alias("n")).where(F.col("n") >= least).select("h", "h2", "place", "n")
+    parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, tag long, n long")
+    sums = parts.groupBy("h").agg(F.min("tag").alias("tag"), F.max("tag").alias("other"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    return sums.select("h", "tag", "n", (F.shiftright("tag", 32) != F.shiftright("other", 32)).alias("mixed"))
 
 
-def spelled(chunked: DataFrame, places: Filter, sizes: tuple[int, ...]) -> DataFrame:
-    """(h, h2, place, lang, phrase, words): the phrases at these places, and a few others."""
-    held = chunked.sparkSession.sparkContext.broadcast(places)
+def spelled(chunked: DataFrame, keys: Filter, sizes: tuple[int, ...], by_place: bool, bits: int = 64) -> DataFrame:
+    """(h, tag, lang, phrase, words, n): the phrases whose hash, or whose place, the filter has, a row for each time in the dictionary."""
+    held = chunked.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole, chunk_at = _bytes(b)
             place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
             whole = whole.tobytes()
-            for n, at, h, h2, spot, _ in _phrases(b, sizes, None):
-                good = held.value.has(spot)
+            for n, at, h, tag, weight in _phrases(b, sizes, None, bits):
+                good = held.value.has(h ^ (tag & LOW) if by_place else h)
                 at = at[good]
                 if len(at):
                     phrase = [whole[i:j] for i, j in zip(place[at].tolist(), (place[at + n] - 1).tolist())]
                     lang = b.column("lang").take(pa.array(np.searchsorted(chunk_at, place[at], "right") - 1))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[good].view(np.int64)) for x in (h, h2, spot)), lang, pa.array(phrase, pa.binary()), pa.array(np.full(len(at), n, np.int32))], names=["h", "h2", "place", "lang", "phrase", "words"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[good].view(np.int64)) for x in (h, tag)), lang, pa.array(phrase, pa.binary()), pa.array(np.full(len(at), n, np.int32)), pa.array(weight[good])], names=["h", "tag", "lang", "phrase", "words", "n"])
 
-    return chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, h2 long, place long, lang string, phrase binary, words int").withColumn("phrase", F.col("phrase").cast("string"))
+    return chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, tag long, lang string, phrase binary, words int, n long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
-def count_phrases(chunked: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
-    """(lang, phrase, words, a) of a written dictionary, written: phrases of 1 to max_words words that occur at least so often."""
-    found = materialise(counted(chunked, (1, 2), None, least), "short")
+def count_phrases(chunked: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int = 64) -> DataFrame:
+    """(lang, phrase, words, a) of a written dictionary, written: phrases of 1 to max_words words that occur at least so often.
+
+    bits of the first hash are taken; with few, phrases share it, which costs time and changes nothing.
+    """
+    sizes = tuple(range(1, max_words + 1))
+    found = materialise(counted(chunked, (1, 2), None, least, bits), "short")
     if max_words > 2:
-        found = materialise(found.unionByName(counted(chunked, tuple(range(3, max_words + 1)), bloom(found.select("h")), least)), "frequent")
-    said = spelled(chunked, bloom(found.select(F.col("place").alias("h"))), tuple(range(1, max_words + 1)))
-    return materialise(found.join(said, ["h", "h2", "place"]).select("lang", "phrase", "words", F.col("n").alias("a")), "phrases")
+        found = materialise(found.unionByName(counted(chunked, sizes[2:], bloom(found.select("h")), least, bits)), "frequent")
+    own, mixed = found.where("not mixed"), found.where("mixed").select("h")
+    place = F.col("h").bitwiseXOR(F.col("tag").bitwiseAND((1 << 32) - 1))
+    at = spelled(chunked, bloom(own.select(place.alias("h"))), sizes, True, bits).drop("n")
+    out = own.join(at, ["h", "tag"]).select("lang", "phrase", "words", F.col("n").alias("a")).distinct()
+    if not mixed.isEmpty():
+        every = spelled(chunked, bloom(mixed), sizes, False, bits).join(mixed.distinct(), "h", "left_semi")
+        out = out.unionByName(every.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    return materialise(out, "phrases")
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:

@@ -80,6 +80,14 @@ def test_counts_that_longs_times_a_factor_do_not_hold(spark):
     assert got == {"a b": 1 << 61, "a": (1 << 61) + (1 << 60), "b": 1 << 61}
 
 
+def test_phrases_that_share_a_hash_are_counted_apart(spark):
+    chunked = C.materialise(C.dictionary(docs_of(spark, made(6))))
+    want = sorted(map(tuple, C.count_phrases(chunked, 5).collect()))
+    assert len(want) > 100
+    for bits in (3, 9):
+        assert sorted(map(tuple, C.count_phrases(chunked, 5, bits=bits).collect())) == want
+
+
 def test_chunks_hold_each_phrase_once():
     words = [f"w{k % 37}".encode() for k in range(2000)]
     found = Counter()
