@@ -110,11 +110,21 @@ def matches(name: str, column: Column) -> Column:
     return F.coalesce(column.rlike(f"(?i){PATTERNS[name]}"), F.lit(False))
 
 
-def circular_sd(minutes: Column, least: int = 3) -> Column:
-    """Aggregate: the circular standard deviation, in minutes, of times of the day; null below `least` values or without any common direction."""
+def circular_parts(minutes: Column) -> tuple[Column, Column, Column]:
+    """Aggregates that add up: sums of cosines and sines of times of the day, and their number."""
     angle = minutes * (2 * math.pi / 1440)
-    r = F.sqrt(F.pow(F.sum(F.cos(angle)), 2) + F.pow(F.sum(F.sin(angle)), 2)) / F.count(minutes)
-    return F.when((F.count(minutes) >= least) & (r > 0), F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(F.least(r, F.lit(1.0))))) * (1440 / (2 * math.pi)))
+    return F.sum(F.cos(angle)), F.sum(F.sin(angle)), F.count(minutes)
+
+
+def circular_of(cos: Column, sin: Column, n: Column, least: int = 3) -> Column:
+    """The circular standard deviation, in minutes, from the parts; null below `least` values or without any common direction."""
+    r = F.sqrt(F.pow(cos, 2) + F.pow(sin, 2)) / n
+    return F.when((n >= least) & (r > 0), F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(F.least(r, F.lit(1.0))))) * (1440 / (2 * math.pi)))
+
+
+def circular_sd(minutes: Column, least: int = 3) -> Column:
+    """Aggregate: the circular standard deviation of times of the day."""
+    return circular_of(*circular_parts(minutes), least)
 
 
 def variation(x: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowrhythm.functions.network import MICROS, finite
+from flowrhythm.functions.network import MICROS
+from flowrhythm.operators.quantiles import quantiles
 from flowrhythm.operators.sessions import seconds, sessions
 
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -63,11 +64,9 @@ def week_by_weekday(daily: DataFrame, metric: str, day: str = "Date") -> DataFra
 
 
 def distribution(long: DataFrame, by: tuple[str, ...] = ("metric",), value: str = "value") -> DataFrame:
-    """Least, quartiles and greatest of the finite values."""
-    v = finite(F.col(value))
-    p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = long.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("least"), p.alias("p"), F.max(v).alias("greatest")).where("n > 0")
-    return agg.select(*by, "n", "least", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q2"), F.col("p")[2].alias("q3"), "greatest")
+    """Least, quartiles and greatest of the finite values; groups of any size, whose sizes are counted when it is called."""
+    found = quantiles(long, by, value, (0.25, 0.5, 0.75))
+    return found.select(*by, "n", "least", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q2"), F.col("p")[2].alias("q3"), "greatest")
 
 
 def domains(rows: DataFrame, category: str, n: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from flowrhythm.functions.lists import CATEGORIES, PATTERNS
 from flowrhythm.operators.status import CATALOG
+from flowrhythm.plans.metrics import UNDEFINED
 from flowrhythm.sources.views import DAILY_SQL, packet_sql
 
 DAY = 86400000000
@@ -102,8 +103,8 @@ SELECT "Date", {null_if_0("count(DISTINCT SLD) FILTER (WHERE chat)")} AS F1_Dist
 FROM r GROUP BY "Date" HAVING count(SLD) + count(qname) + count(ans_name) + count(url) + count(ResolvedHost) > 0"""
 
 
-def bursts() -> str:
-    return f"""{_rows(True)}, m AS (SELECT "Date", minute, count(DISTINCT SLD) AS n FROM r WHERE SLD IS NOT NULL GROUP BY ALL), d AS (
+def bursts(dense: bool = True) -> str:
+    return f"""{_rows(dense)}, m AS (SELECT "Date", minute, count(DISTINCT SLD) AS n FROM r WHERE SLD IS NOT NULL GROUP BY ALL), d AS (
   SELECT "Date", round(count(*) FILTER (WHERE n >= 3) / greatest(1.0, (max(minute) - min(minute)) / 60.0), 6) AS C8_F2_DNSBurstRatePerHour FROM m GROUP BY ALL
 ), t AS (SELECT "Date", CAST(count(*) FILTER (WHERE n >= 3) AS DOUBLE) AS C3_F5_TrackerBurstCount FROM (SELECT "Date", SLD, us // 600000000 AS b, count(*) AS n FROM r WHERE diet GROUP BY ALL) GROUP BY ALL
 ), q AS (SELECT "Date", minute, count(qname) AS n_q, count(ans_name) AS n_a, count(url) AS n_u, {", ".join(f"count(*) FILTER (WHERE hour <= 5 AND {_match('method', c)}) AS h_{k}" for k, c in (("q", "qname"), ("a", "ans_name"), ("u", "url")))} FROM r GROUP BY ALL
@@ -111,6 +112,15 @@ def bursts() -> str:
 SELECT n."Date", C9_F10_NightSuicideQueryBursts, C8_F2_DNSBurstRatePerHour, C3_F5_TrackerBurstCount FROM n LEFT JOIN d ON n."Date" = d."Date" LEFT JOIN t ON n."Date" = t."Date\""""
 
 
+def whole_day() -> str:
+    """Every metric of a day, without those that need earlier ones."""
+    distinct_ = f'SELECT * REPLACE (coalesce(F1_DistinctSocial, 0) AS F1_DistinctSocial, coalesce(C2_F1_UniqueSLD, 0) AS C2_F1_UniqueSLD) FROM ({distinct()})'
+    parts = {"s": session_metrics(), "g": gaps(False), "m": minute_series(), "d": distinct_, "b": bursts(False)}
+    joins = " ".join(f'LEFT JOIN ({sql}) {k} ON c."Date" = {k}."Date"' for k, sql in parts.items())
+    zero = {"b": "* EXCLUDE (\"Date\") REPLACE (coalesce(C3_F5_TrackerBurstCount, 0) AS C3_F5_TrackerBurstCount)"}
+    return f"""SELECT c.*, {", ".join(f'{k}.{zero.get(k, "* EXCLUDE (" + chr(34) + "Date" + chr(34) + ")")}' for k in parts)}, {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in UNDEFINED)} FROM ({counters()}) c {joins}"""
+
+
 def minute_series() -> str:
     """Over the dense series: every minute from the first to the last active one, zeros included."""
     return f"""{_rows()}, c AS (SELECT "Date", minute, count(*) AS n FROM r GROUP BY ALL), e AS (SELECT "Date", min(minute) AS lo, max(minute) AS hi FROM c GROUP BY ALL), f AS (
@@ -231,6 +241,7 @@ def all_oracles() -> dict[str, str]:
         "daily_sessions": session_metrics(),
         "daily_gaps": gaps(False),
         "daily_gaps_dense": gaps(True),
+        "daily_from_states": whole_day(),
         "dns_names": f'{_rows()} SELECT "Date", ip, host FROM dm',
         "enriched_domains": f'{_rows()} SELECT "Date", SLD, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {f}) AS n_{f}" for f in FLAGS)} FROM r GROUP BY ALL',
         "session_table": f"""{_rows()}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY "Dataset", "Date" ORDER BY us, tie) > 300000000 THEN 1 ELSE 0 END AS new FROM r), y AS (SELECT *, sum(new) OVER (PARTITION BY "Dataset", "Date" ORDER BY us, tie) AS sn FROM x)

@@ -94,6 +94,19 @@ def daily_gaps_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.gap_metrics(rows_of(spark, sf_dir, True), KEY))
 
 
+@query
+def daily_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of each day from slot states: most slots first, then the late ones, each of which is reduced once."""
+    from flowrhythm.plans.states import SlotStates, slot_number
+
+    p = packets(spark, sf_dir)
+    states = SlotStates(spark, shared_folder(spark, "states"))
+    late = F.pmod(slot_number(), F.lit(17)) == 3
+    for rows, which in ((p.where(~late | (F.col("tie") % 2 == 0)), ~late | (F.col("tie") % 2 == 0)), (p, late)):
+        states.update(rows.where(which).select("Date", slot_number().alias("slot")), lambda slots, rows=rows: rows)
+    return rounded(states.daily())
+
+
 @query
 def daily_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric of every dataset and day, in one frame with its history (the parts have the SQL)."""
