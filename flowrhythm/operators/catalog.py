@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrhythm.functions.network import MICROS
+from flowrhythm.operators.joins import frequent, look_up
 
 
 def dataset_type(name: Column) -> Column:
@@ -92,22 +93,31 @@ def packets_per_address(packets: DataFrame) -> DataFrame:
     return packets.select(F.explode(F.array("src", "dst")).alias("ip")).where("ip is not null").groupBy("ip").agg(F.count("*").alias("packets"))
 
 
-def touching(packets: DataFrame, chosen: DataFrame | list[str]) -> DataFrame:
-    """Rows whose source or destination is chosen; a table of addresses is joined, a list becomes literals."""
+def touching(packets: DataFrame, chosen: DataFrame | list[str], skewed: bool = False) -> DataFrame:
+    """Rows whose source or destination is chosen; a table of addresses is joined, a list becomes literals.
+
+    If skewed, addresses that many packets have are looked for first, in one more pass over each side.
+    """
     if isinstance(chosen, list):
         return packets.where(F.coalesce(F.col("src").isin(*chosen) | F.col("dst").isin(*chosen), F.lit(False))) if chosen else packets.limit(0)
     ips = chosen.select("ip").distinct()
-    s, d = ips.select(F.col("ip").alias("src"), F.lit(True).alias("__s")), ips.select(F.col("ip").alias("dst"), F.lit(True).alias("__d"))
-    return packets.join(s, "src", "left").join(d, "dst", "left").where("__s or __d").select(*packets.columns)
+    sides = {side: ips.select(F.col("ip").alias(side), F.lit(True).alias(f"__{side}")) for side in ("src", "dst")}
+    return _both_sides(packets, sides, skewed).where("__src or __dst").select(*packets.columns)
+
+
+def _both_sides(packets: DataFrame, sides: dict[str, DataFrame], skewed: bool) -> DataFrame:
+    out = packets
+    for side, table in sides.items():
+        out = look_up(out, table, (side,), frequent(packets, (side,)) if skewed else [], F.col("tie"))
+    return out
 
 
-def with_user(packets: DataFrame, users: DataFrame) -> DataFrame:
+def with_user(packets: DataFrame, users: DataFrame, skewed: bool = False) -> DataFrame:
     """User: both sides' names as "src/dst" where they differ, the one known, or nothing. Of profiles that share an address the last has it."""
     last = users.groupBy("ip").agg(F.max_by("username", "place").alias("user"))
-    a, b = last.select(F.col("ip").alias("src"), F.col("user").alias("__a")), last.select(F.col("ip").alias("dst"), F.col("user").alias("__b"))
-    rows = packets.join(a, "src", "left").join(b, "dst", "left")
+    sides = {side: last.select(F.col("ip").alias(side), F.col("user").alias(name)) for side, name in (("src", "__a"), ("dst", "__b"))}
     name = F.when((F.col("__a") != "") & (F.col("__b") != "") & (F.col("__a") != F.col("__b")), F.concat_ws("/", "__a", "__b")).otherwise(F.coalesce("__a", "__b", F.lit("")))
-    return rows.withColumn("User", name).drop("__a", "__b")
+    return _both_sides(packets, sides, skewed).withColumn("User", name).drop("__a", "__b")
 
 
 def preview(rows: DataFrame, columns: list[str], n: int = 100) -> DataFrame:

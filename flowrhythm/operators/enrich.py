@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrhythm.functions import network as N
+from flowrhythm.operators.joins import frequent, look_up
 
 
 def dns_map(packets: DataFrame, scope: tuple[str, ...] = ("Date",)) -> DataFrame:
@@ -24,10 +25,14 @@ def dns_map(packets: DataFrame, scope: tuple[str, ...] = ("Date",)) -> DataFrame
     return by_ip.join(answered, [*scope]).select(*scope, "ip", F.when(F.col("answered"), F.col("a")).otherwise(F.col("q")).alias("host")).where("host is not null")
 
 
-def with_host(packets: DataFrame, scope: tuple[str, ...] = ("Date",), mapping: DataFrame | None = None) -> DataFrame:
-    """ResolvedHost and SLD: the mapped destination, else the row's own answer or question."""
+def with_host(packets: DataFrame, scope: tuple[str, ...] = ("Date",), mapping: DataFrame | None = None, skewed: bool = False) -> DataFrame:
+    """ResolvedHost and SLD: the mapped destination, else the row's own answer or question.
+
+    If skewed, destinations that many packets have are looked for first, in one more pass over them.
+    """
     found = (dns_map(packets, scope) if mapping is None else mapping).withColumnsRenamed({"ip": "dst", "host": "__host"})
-    out = packets.join(found, [*scope, "dst"], "left")
+    on = (*scope, "dst")
+    out = look_up(packets, found, on, frequent(packets, on) if skewed else [], F.col("tie"))
     return out.withColumn("ResolvedHost", F.coalesce("__host", "ans_name", "qname")).drop("__host").withColumn("SLD", N.sld(F.col("ResolvedHost")))
 
 
@@ -42,6 +47,6 @@ def with_masks(rows: DataFrame, ipv6: bool = False) -> DataFrame:
     return rows.withColumns(masks)
 
 
-def enrich(packets: DataFrame, scope: tuple[str, ...] = ("Date",), ipv6: bool = False) -> DataFrame:
+def enrich(packets: DataFrame, scope: tuple[str, ...] = ("Date",), ipv6: bool = False, skewed: bool = False) -> DataFrame:
     """Standard packet rows with hosts, domains, directions and masks."""
-    return with_masks(with_host(packets, scope), ipv6)
+    return with_masks(with_host(packets, scope, skewed=skewed), ipv6)

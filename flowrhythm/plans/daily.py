@@ -18,9 +18,10 @@ METRICS = [m for ms in CATALOG.values() for m in ms]
 def daily_table(packets: DataFrame, keys: tuple[str, ...] = ("Date",), scope: tuple[str, ...] | None = None, night: str = "calendar") -> DataFrame:
     """All metrics by key, history included. packets have short names; scope is where a DNS answer holds.
 
-    The enriched rows are written once to the shared folder, since six branches read them.
+    The enriched rows are written to the shared folder when this is called, since six branches read them; destinations
+    that many packets have are looked for before.
     """
-    rows = written(enrich(packets, scope or keys).select(*dict.fromkeys(("Date", *keys, *M.COLUMNS))), "enriched")
+    rows = written(enrich(packets, scope or keys, skewed=True).select(*dict.fromkeys(("Date", *keys, *M.COLUMNS))), "enriched")
     return with_history(M.daily(rows, keys, night), tuple(k for k in keys if k != "Date"))
 
 

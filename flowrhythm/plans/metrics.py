@@ -54,19 +54,11 @@ def counter_sums(rows: DataFrame, keys: Keys, hours: Column) -> DataFrame:
     """The sums, counts, least and greatest values that the counters are made of, and active hours as the aggregate given."""
     hour, out, inn = F.col("hour"), F.col("outbound"), F.col("inbound")
     small = out & (F.col("bytes") <= 300)
-    queries = {"q": "qname", "a": "ans_name", "u": "url"}
-    per_query = []
-    for k, c in queries.items():
-        per_query += [
-            F.count(c).alias(f"__n_{k}"), F.count_if(N.matches("negative_self", F.col(c))).alias(f"__neg_{k}"), F.count_if(N.matches("method", F.col(c))).alias(f"__met_{k}"),
-            F.count_if(N.matches("method", F.col(c)) & hour.between(0, 5)).alias(f"__nmet_{k}"),
-        ]
-    account = [F.count_if(N.matches("account", F.col(c))).alias(f"__acc_{c}") for c in ("url", "http_path", "path")]
     clock = N.clock_minutes(F.col("us"))
     circular = []
     for name, on in (("out", F.col("scale") & (out | ~F.array_contains("present", "src"))), ("all", F.col("scale"))):
         circular += [x.alias(f"__{k}_{name}") for k, x in zip(("cos", "sin", "times"), N.circular_parts(_if(on, clock)))]
-    return rows.groupBy(*keys).agg(
+    sums = rows.groupBy(*keys).agg(
         F.count("*").alias("__n"), F.count_if(hour.between(0, 5)).alias("__night"), F.count_if((hour >= 22) | (hour <= 5)).alias("__night22"), F.count_if(hour.between(6, 21)).alias("__day"),
         _sum(inn, F.col("bytes")).alias("__down"), _sum(out, F.col("bytes")).alias("__up"), F.min("us").alias("__t0"), F.max("us").alias("__t1"), hours.alias("__hours"),
         F.count_if("productivity").alias("C2_F6_ProductivityHits"), _sum(F.col("streaming"), F.col("bytes")).alias("__stream"), _sum(F.col("chat") & out, F.col("bytes")).alias("__chat_up"), _sum(F.col("chat") & inn, F.col("bytes")).alias("__chat_down"),
@@ -75,11 +67,31 @@ def counter_sums(rows: DataFrame, keys: Keys, hours: Column) -> DataFrame:
         _sum(hour.between(0, 5), F.col("bytes")).alias("__bn"), _sum(hour.between(6, 21), F.col("bytes")).alias("__bd"),
         F.count_if("dhcp").alias("__dhcp"), F.min(_if(F.col("dhcp"), F.col("us"))).alias("__d0"), F.max(_if(F.col("dhcp"), F.col("us"))).alias("__d1"),
         F.count_if(small & (F.col("social") | F.coalesce(F.col("dport").isin(*CHAT_PORTS), F.lit(False)))).alias("__post"), F.min(_if(hour >= 4, F.col("us"))).alias("__first"),
-        F.count_if("mental_health").alias("C7_F1_MentalHealthSiteVisitsDay"), F.count_if("crisis").alias("C7_F4_HelpTherapyLookupHits"), *per_query, *account,
-        _sum(N.matches("settings", F.col("url")), F.col("flow_sec")).cast("double").alias("__settings"), F.count_if("cloud").alias("__cloud"), _sum(F.col("cloud") & out, F.col("bytes")).alias("__cloud_up"),
-        F.count_if("forum").alias("__forum"), F.count_if(F.col("SLD") == "reddit.com").alias("__reddit"), _sum(F.col("forum") & out, F.col("bytes")).alias("__forum_up"), F.count_if(N.matches("will", F.col("url"))).alias("__will"),
+        F.count_if("mental_health").alias("C7_F1_MentalHealthSiteVisitsDay"), F.count_if("crisis").alias("C7_F4_HelpTherapyLookupHits"), F.count_if("cloud").alias("__cloud"), _sum(F.col("cloud") & out, F.col("bytes")).alias("__cloud_up"),
+        F.count_if("forum").alias("__forum"), F.count_if(F.col("SLD") == "reddit.com").alias("__reddit"), _sum(F.col("forum") & out, F.col("bytes")).alias("__forum_up"),
         _has("src", "dst").alias("__addr"), _has("length").alias("__len"), _has("url").alias("__url"), _has("http_path").alias("__http"), _has("path").alias("__path"), _has("flow_sec").alias("__flow"),
     )
+    found = pattern_sums(rows, keys)
+    none = {c: F.coalesce(F.col(c), F.lit(0)) for c in found.columns if c not in keys}
+    return sums.join(found, [*keys], "left").withColumns(none)
+
+
+QUERY_COLUMNS = {"q": "qname", "a": "ans_name", "u": "url", "http_path": "http_path", "path": "path"}
+
+
+def pattern_sums(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Hits of the patterns in queries, addresses and paths: each different one of a key is matched once, however often it occurs."""
+    night = F.col("hour").between(0, 5)
+    each = F.array(*(F.struct(F.lit(k).alias("which"), F.col(c).alias("value")) for k, c in QUERY_COLUMNS.items()))
+    long = rows.select(*keys, night.alias("night"), "flow_sec", F.explode(F.filter(each, lambda x: x["value"].isNotNull())).alias("x"))
+    words = long.groupBy(*keys, "x.which", "x.value").agg(F.count("*").alias("n"), F.count_if("night").alias("at_night"), F.sum("flow_sec").alias("sec"))
+    hits = words.withColumns({m: N.matches(m, F.col("value")) for m in ("negative_self", "method", "account", "settings", "will")})
+    on = lambda k, x, *hit: _sum(reduce(lambda a, b: a & b, [F.col(h) for h in hit], F.col("which") == k), F.col(x))
+    out = []
+    for k in ("q", "a", "u"):
+        out += [on(k, "n").alias(f"__n_{k}"), on(k, "n", "negative_self").alias(f"__neg_{k}"), on(k, "n", "method").alias(f"__met_{k}"), on(k, "at_night", "method").alias(f"__nmet_{k}")]
+    out += [on(k, "n", "account").alias(f"__acc_{c}") for k, c in (("u", "url"), ("http_path", "http_path"), ("path", "path"))]
+    return hits.groupBy(*keys).agg(*out, on("u", "sec", "settings").cast("double").alias("__settings"), on("u", "n", "will").alias("__will"))
 
 
 def counter_metrics(agg: DataFrame, keys: Keys) -> DataFrame:

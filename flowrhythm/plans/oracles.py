@@ -18,12 +18,15 @@ def _match(name: str, column: str) -> str:
     return f"coalesce(regexp_matches({column}, '{PATTERNS[name]}', 'i'), false)"
 
 
-def _rows(dense: bool = False) -> str:
+HOT = "SELECT * REPLACE (CASE WHEN tie % 10 <> 0 THEN CASE WHEN tie % 2 = 0 THEN '93.184.216.3' ELSE '93.184.216.200' END ELSE dst END AS dst) FROM ({})"
+
+
+def _rows(dense: bool = False, view: str = "{}") -> str:
     """CTEs pk (packets), dm (DNS names) and r (enriched rows)."""
     private = "({0} LIKE '192.168.%' OR {0} = '255.255.255.255')"
     s, d = private.format("src"), private.format("dst")
     return f"""
-WITH pk AS ({packet_sql(dense, "ansi")}), dn AS (
+WITH pk AS ({view.format(packet_sql(dense, "ansi"))}), dn AS (
   SELECT "Date", us, tie, ans_name, trim(x) AS ip, pos FROM (
     SELECT "Date", us, tie, ans_name, unnest(string_split(ans_ips, ',')) AS x, generate_subscripts(string_split(ans_ips, ','), 1) AS pos FROM pk WHERE is_dns AND ans_ips IS NOT NULL
   )
@@ -246,6 +249,9 @@ def all_oracles() -> dict[str, str]:
         "enriched_domains": f'{_rows()} SELECT "Date", SLD, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {f}) AS n_{f}" for f in FLAGS)} FROM r GROUP BY ALL',
         "session_table": f"""{_rows()}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY "Dataset", "Date" ORDER BY us, tie) > 300000000 THEN 1 ELSE 0 END AS new FROM r), y AS (SELECT *, sum(new) OVER (PARTITION BY "Dataset", "Date" ORDER BY us, tie) AS sn FROM x)
 SELECT "Dataset", "Date", min(us) AS first_us, max(us) AS last_us, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, round((max(us) - min(us)) / 1000000.0, 6) AS seconds FROM y GROUP BY "Dataset", "Date", sn""",
+        "enriched_hot_addresses": f"""{_rows(view=HOT)}, us AS (SELECT src AS ip, arg_max('user_' || CAST(user_id % 20 AS VARCHAR), user_id) AS name FROM ({packet_sql(False, "ansi")}) WHERE src LIKE '192.168.%' GROUP BY src)
+SELECT "Date", SLD, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL AND a.name <> b.name THEN a.name || '/' || b.name ELSE coalesce(a.name, b.name, '') END AS "User", count(*) AS packets, count(*) FILTER (WHERE outbound) AS n_out
+FROM r LEFT JOIN us a ON r.src = a.ip LEFT JOIN us b ON r.dst = b.ip GROUP BY ALL""",
         "dataset_catalog": f'{PACKETS} SELECT DISTINCT "Dataset", {KIND} AS type, {PREFIX} AS prefix, {TOKEN} AS token FROM pk',
         "dataset_selection": f"{PACKETS}, c AS (SELECT DISTINCT \"Dataset\", {KIND} AS type, {PREFIX} AS prefix, {TOKEN} AS token FROM pk) SELECT * FROM c WHERE type = 'ONU' OR token = 'home' OR \"Dataset\" = 'lab_03'",
         "slots_per_day": f"{PACKETS}, {SLOTS} SELECT * FROM sp",
@@ -304,5 +310,12 @@ SELECT entity, day, spread AS C4_F3_OnsetVar14dMin, z AS C4_F4_SleepDurationZAbs
         "cached_or_computed": f"{DAILY} SELECT entity, day, round(coalesce(CASE WHEN day(day) > 10 THEN m3 END, m4 / m1), 6) AS m3 FROM d",
         "membership_distribution": f"{DAILY}, mu AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({mu} AS DOUBLE) AS value FROM d" for m, (_, _, mu) in MU.items()) + ") SELECT metric, count(value) AS n, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS greatest FROM mu GROUP BY metric",
         "streamed_slot_counts": f'{PACKETS}, s AS (SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL) SELECT * FROM s WHERE slot_us + 300000000 <= (SELECT max(slot_us) FROM s) - 600000000',
+        "corrected_slot_counts": f'{PACKETS} SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL',
+        "streamed_addresses": f"{PACKETS}, b AS ({BOTH}) SELECT DISTINCT ip FROM b",
+        "streamed_sessions": f"""{PACKETS}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY "Dataset" ORDER BY us, tie) > 300000000 THEN 1 ELSE 0 END AS new FROM pk), y AS (SELECT *, sum(new) OVER (PARTITION BY "Dataset" ORDER BY us, tie) AS sn FROM x)
+SELECT "Dataset", min(us) AS first_us, max(us) AS last_us, count(*) AS packets FROM y GROUP BY "Dataset", sn HAVING max(us) + 300000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM pk)""",
+        "streamed_minutes": f"""{PACKETS}, s AS (SELECT "Dataset", min(us // 60000000) AS lo FROM pk GROUP BY ALL), m AS (SELECT "Dataset", unnest(range(lo, (SELECT (max(us) // 1000 - 600000) // 60000 FROM pk))) AS minute FROM s),
+c AS (SELECT "Dataset", us // 60000000 AS minute, count(*) AS n, sum(length) AS b FROM pk GROUP BY ALL)
+SELECT m."Dataset", m.minute, coalesce(n, 0) AS packets, CAST(coalesce(b, 0) AS BIGINT) AS bytes FROM m LEFT JOIN c ON m."Dataset" = c."Dataset" AND m.minute = c.minute""",
         "ingested_slot_counts": f'{PACKETS} SELECT "Dataset", us // 300000000 * 300000000 AS slot_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL',
     }

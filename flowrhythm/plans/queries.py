@@ -208,6 +208,15 @@ def touching_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.touching(p, busy).groupBy("Date").agg(F.count("*").alias("packets"))
 
 
+@query
+def enriched_hot_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched rows, nine of ten packets having one of two destinations, with the user of their source."""
+    p = packets(spark, sf_dir)
+    p = p.withColumn("dst", F.when(F.col("tie") % 10 != 0, F.when(F.col("tie") % 2 == 0, "93.184.216.3").otherwise("93.184.216.200")).otherwise(F.col("dst")))
+    found = catalog.with_user(enrich(p, KEY, skewed=True), _users(packets(spark, sf_dir)), skewed=True)
+    return found.groupBy("Date", "SLD", "User").agg(F.count("*").alias("packets"), F.count_if("outbound").alias("n_out"))
+
+
 @query
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.preview(packets(spark, sf_dir), ["tie", "Date", "src", "dst", "protocol", "length"], 100)
@@ -403,6 +412,60 @@ def ingested_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(with_open_slots(counts, packets_in))
 
 
+def _stream_of(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], parts: list[str]) -> tuple[DataFrame, str]:
+    """A stream of the packet view, a batch for each of these conditions in their order, and a folder for what it writes."""
+    folder = shared_folder(spark, "stream")
+    p = packets(spark, sf_dir).select(*columns)
+    for k, part in enumerate(parts):
+        p.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in/{k:03d}")
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    return stream, folder
+
+
+@query
+def corrected_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all slots by a stream in which every fiftieth packet comes days late."""
+    from flowrhythm.streaming.slots import corrected_counts, write_corrected
+
+    stream, folder = _stream_of(spark, sf_dir, ("Timestamp", "Dataset", "length", "tie"), ["tie % 50 <> 0", "tie % 50 = 0"])
+    write_corrected(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _slots(corrected_counts(spark, f"{folder}/out"))
+
+
+@query
+def streamed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as a stream sees them first."""
+    from flowrhythm.streaming.slots import watch_addresses
+
+    stream, folder = _stream_of(spark, sf_dir, ("src", "dst", "Dataset"), ["Dataset = 'lab_03'", "Dataset <> 'lab_03'"])
+    watch_addresses(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("ip string").parquet(f"{folder}/out")
+
+
+#: Ten days at a time, and rows in any order within them.
+TEN_DAYS = [f"Timestamp >= TIMESTAMP_NTZ'2024-01-{a:02d} 00:00:00' AND Timestamp < TIMESTAMP_NTZ'{b} 00:00:00'" for a, b in ((1, "2024-01-11"), (11, "2024-01-21"), (21, "2024-03-01"))]
+
+
+@query
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each dataset that a stream has closed."""
+    from flowrhythm.streaming.activity import closed_sessions, write_stream
+
+    stream, folder = _stream_of(spark, sf_dir, ("Timestamp", "Dataset"), TEN_DAYS)
+    write_stream(closed_sessions(stream), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("Dataset", N.micros("first").alias("first_us"), N.micros("last").alias("last_us"), F.col("rows").alias("packets"))
+
+
+@query
+def streamed_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and bytes of every minute that a stream has closed, empty ones too."""
+    from flowrhythm.streaming.activity import closed_minutes, write_stream
+
+    stream, folder = _stream_of(spark, sf_dir, ("Timestamp", "Dataset", "length"), TEN_DAYS)
+    write_stream(closed_minutes(stream), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query
 def normalised_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded records, made of the packet view, as packet rows; counted by what normalisation gives."""

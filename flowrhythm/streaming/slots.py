@@ -1,13 +1,14 @@
 """Ingestion as a stream: packets to Parquet, counts per five-minute slot, seen addresses.
 
 A slot is counted once the watermark, ten minutes behind the newest slot, has passed
-its end. Rows that come later are left out of the counts; the packet sink keeps them.
-Slots that are still open when a run ends are counted from the packet sink.
+its end. Rows that come later are left out of these counts; the packet sink keeps them.
+Slots that are still open when a run ends are counted from the packet sink. Corrected
+counts take late rows in: every batch adds its part to the slots that it has rows of.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,21 +48,33 @@ def with_open_slots(counts: DataFrame, packets: DataFrame) -> DataFrame:
     return counts.unionByName(slot_counts(packets))
 
 
-def watch_addresses(packets: DataFrame, catalog: str, checkpoint: str) -> StreamingQuery:
-    """Addresses that the catalog (a Parquet folder of ip) lacks are added to it, batch by batch; a repeated batch adds nothing."""
+def write_corrected(packets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts that late rows correct, however late: each batch writes its part of every slot that it touches.
+
+    A batch that is repeated replaces what it wrote, so nothing counts twice. `corrected_counts` adds the parts up.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        slot_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return packets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def corrected_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(Dataset, slot_start, packets, bytes, first, last, batches) of all slots that any batch had rows of."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("Dataset", "slot_start").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("batches"))
 
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.select(F.explode(F.array("src", "dst")).alias("ip")).where("ip is not null").distinct()
-        known = spark.read.schema("ip string").parquet(catalog) if _exists(spark, catalog) else spark.createDataFrame([], "ip string")
-        seen.join(known, "ip", "left_anti").write.mode("append").parquet(catalog)
 
-    return packets.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge_corrected(spark: SparkSession, path: str, into: str) -> None:
+    """The parts of a stream that has ended, added up in one table in the place of one file or more for each batch."""
+    corrected_counts(spark, path).drop("batches").write.mode("overwrite").parquet(into)
 
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def watch_addresses(packets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """(ip): each address once, when it is first seen. The stream's own state knows the seen ones: nothing that was written is read again."""
+    seen = packets.select(F.explode(F.array("src", "dst")).alias("ip")).where("ip is not null").dropDuplicates(["ip"])
+    return seen.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def ingest_report(counts: DataFrame) -> DataFrame:
