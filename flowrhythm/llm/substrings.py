@@ -30,7 +30,7 @@ from flowrhythm.llm.words import MIX, scan, spans
 #: Words of a run at least, gaps of which one is a cut.
 MIN_WORDS, CUT_WORDS = 20, 10
 #: Characters of texts that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _WORD = re.compile(r"\S+")
 #: White space beyond spaces and line ends: of ASCII as spaces, other.
 _BLANK = bytes.maketrans(b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f", b" " * 8)

@@ -6,11 +6,11 @@ import numpy as np
 import xxhash
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-#: A value for each byte, and an odd factor, whose powers modulo 2^64 and those of its inverse are kept for so many bytes at least.
+#: A value for each byte, and an odd factor, of whose powers modulo 2^64, and of those of its inverse, so many are kept.
 BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-FACTOR, KEPT = 0x9E3779B97F4A7C15, (4 << 20) + (1 << 16)
-#: Bytes of a word whose sum is its hash; sums of longer ones are no good hashes.
-LONG = 64
+FACTOR, KEPT = 0x9E3779B97F4A7C15, 1 << 18
+#: Bytes of a word whose sum is its hash, sums of longer ones being no good hashes; bytes that are hashed at once, about.
+LONG, BLOCK = 64, 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,9 +38,15 @@ def spans(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, factor: int
 def hashed(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words begin in bytes that have one space after each word, with the end of all; a hash of each."""
     place = np.concatenate([[0], np.flatnonzero(whole == 32) + 1])
-    h = spans(BYTE[whole], place[:-1], place[1:])
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    h = np.zeros(len(place) - 1, np.uint64)
+    i = 0
+    while i < len(h):
+        j = min(max(int(np.searchsorted(place, place[i] + BLOCK, "right")) - 1, i + 1), len(h))
+        own, begins = whole[place[i] : place[j]], place[i:j] - place[i]
+        offset = np.minimum(np.arange(len(own)) - np.repeat(begins, np.diff(place[i : j + 1])), LONG)
+        h[i:j] = np.add.reduceat(BYTE[own] * powers(FACTOR, LONG)[offset], begins)
+        i = j
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
     for i in np.flatnonzero(np.diff(place) > LONG).tolist():
         h[i] = xxhash.xxh3_64_intdigest(whole[place[i] : place[i + 1]].tobytes())
     return place, h
