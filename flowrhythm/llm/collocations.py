@@ -8,10 +8,10 @@ chunks with the number of times each is parsed. A phrase of at most four words l
 in the chunk in whose body, all but the overlap, it begins: counting the phrases that
 begin in bodies, each weighted by its chunk's number, counts each occurrence once.
 
-The dictionary is counted in three passes. Hashes of words and pairs are summed first;
-those of longer phrases only where all their pairs may be frequent, which a Bloom filter
-of bounded size tells and which leaves out nothing that counts. Each sum keeps a second
-hash and a place of its phrase, and the third pass spells out frequent phrases there and
+The dictionary is counted in three passes. Hashes of words and pairs are summed first. Then
+those that may be frequent are again, and those of longer phrases all whose pairs may be,
+which a Bloom filter of bounded size tells and which leaves out nothing that counts. These
+sums keep a second hash and a place of their phrase, and the third pass spells out frequent phrases there and
 nowhere else, so what is handed on follows the number of phrases, not of tasks. Where the
 second hashes of a sum differ, different phrases share the first: these few are counted by
 their words.
@@ -146,13 +146,16 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
     kept = np.uint64((1 << bits) - 1)
     ok = None
     if pairs is not None:
+        word = joined(h, 1) ^ salted[1] if 1 in sizes else h
         pair = (joined(h, 2) ^ salted[2][: max(0, len(h) - 1)]) & kept
         ok = np.zeros(len(h), bool)
         inside = np.flatnonzero(left[: len(pair)] >= 2)
         ok[inside] = pairs.has(pair[inside])
     for n in sizes:
         good = begins & (left >= n)
-        if ok is not None and n > 2:
+        if ok is not None and n == 1:
+            good &= pairs.has(word & kept)
+        if ok is not None:
             for k in range(n - 1):
                 good[: len(good) - k] &= ok[k:]
         at = np.flatnonzero(good)
@@ -161,7 +164,22 @@ def _phrases(batch: pa.RecordBatch, sizes: tuple[int, ...], pairs: Filter | None
             yield n, at, (joined(h, n)[at] ^ salted[n][at]) & kept, second | spot[at], weight[at]
 
 
-def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter | None = None, least: int = MIN_COUNT, bits: int = 64) -> DataFrame:
+def frequent(chunked: DataFrame, sizes: tuple[int, ...], least: int = MIN_COUNT, bits: int = 64) -> DataFrame:
+    """(h): hashes of phrases of these numbers of words that occur at least so often, and a few that don't but share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for b in batches:
+            for _, _, h, _, weight in _phrases(b, sizes, None, bits):
+                if sums.add(h, np.zeros_like(h), weight):
+                    yield sums.take().select(["h", "n"])
+        yield sums.take().select(["h", "n"])
+
+    parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, n long")
+    return parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+
+
+def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter, least: int = MIN_COUNT, bits: int = 64) -> DataFrame:
     """(h, tag, n, mixed): hashes of phrases of these numbers of words that occur at least so often, a tag and whether there are others, and how often."""
     held = chunked.sparkSession.sparkContext.broadcast(pairs)
 
@@ -204,9 +222,8 @@ def count_phrases(chunked: DataFrame, least: int = MIN_COUNT, max_words: int = M
     bits of the first hash are taken; with few, phrases share it, which costs time and changes nothing.
     """
     sizes = tuple(range(1, max_words + 1))
-    found = materialise(counted(chunked, (1, 2), None, least, bits), "short")
-    if max_words > 2:
-        found = materialise(found.unionByName(counted(chunked, sizes[2:], bloom(found.select("h")), least, bits)), "frequent")
+    short = materialise(frequent(chunked, (1, 2), least, bits), "short")
+    found = materialise(counted(chunked, sizes, bloom(short), least, bits), "frequent")
     own, mixed = found.where("not mixed"), found.where("mixed").select("h")
     place = F.col("h").bitwiseXOR(F.col("tag").bitwiseAND((1 << 32) - 1))
     at = spelled(chunked, bloom(own.select(place.alias("h"))), sizes, True, bits).drop("n")
