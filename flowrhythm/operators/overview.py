@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrhythm.functions.network import MICROS
+from flowrhythm.operators.gaps import busiest_slot, with_previous
 from flowrhythm.operators.quantiles import quantiles
 from flowrhythm.operators.sessions import seconds, sessions
 
@@ -88,3 +89,29 @@ def diet_bursts(rows: DataFrame, keys: tuple[str, ...], least: int = 3) -> DataF
 def cloud_providers(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Outbound bytes to each cloud domain."""
     return rows.where(F.col("cloud") & F.col("outbound")).groupBy(*keys, "SLD").agg(F.sum("bytes").alias("up_bytes"))
+
+
+def reply_gaps(rows: DataFrame, keys: tuple[str, ...], n: int | None = None, most: int = 120) -> DataFrame:
+    """(keys, us, seconds): chat packets sent right after one received, within `most` whole seconds, the first n by time or all."""
+    return _gaps(rows, keys, F.col("chat") & F.col("src").isNotNull() & F.col("dst").isNotNull(), lambda whole, d: F.col("prev_inbound") & F.col("outbound") & (whole > 0) & (whole <= most), n)
+
+
+def typing_gaps(rows: DataFrame, keys: tuple[str, ...], n: int | None = None, most: float = 3.0) -> DataFrame:
+    """(keys, us, seconds): gaps of up to `most` seconds between chat packets sent."""
+    return _gaps(rows, keys, F.col("chat") & F.col("outbound"), lambda whole, d: (d > 0) & (d <= int(most * MICROS)), n)
+
+
+def _gaps(rows: DataFrame, keys: tuple[str, ...], which: Column, good, n: int | None) -> DataFrame:
+    chosen = rows.where(which).select(*keys, "us", "tie", "inbound", "outbound")
+    d = F.col("us") - F.col("prev_us")
+    found = with_previous(chosen, keys, ("us", "inbound"), busiest=busiest_slot(chosen, keys)).where(good(F.floor(d / F.lit(MICROS)), d))
+    return _first(found.select(*keys, "us", "tie", (d / F.lit(float(MICROS))).alias("seconds")), keys, n)
+
+
+def scale_events(rows: DataFrame, keys: tuple[str, ...], n: int | None = None) -> DataFrame:
+    """(keys, us, SLD, bytes): packets sent to a scale's service, the first n by time or all."""
+    return _first(rows.where(F.col("scale") & F.col("outbound")).select(*keys, "us", "tie", "SLD", "bytes"), keys, n)
+
+
+def _first(found: DataFrame, keys: tuple[str, ...], n: int | None) -> DataFrame:
+    return (found if n is None else found.orderBy("us", "tie", *keys).limit(n)).drop("tie")

@@ -74,6 +74,9 @@ def rounds(values: DataFrame, one: tuple[str, ...], strategy: str = "spread") ->
         state = written(state.where("done").unionByName(moved), "state")
         if state.where("not done").isEmpty():
             break
+    # centers that start alike may change places
+    state = state.withColumn("__o", F.array_sort(F.array(*(F.struct(F.col(f"c{i}").alias("c"), F.lit(i).alias("i"), F.col(f"n{i}").alias("n")) for i in (1, 2, 3)))))
+    state = state.withColumns({f"{c}{i}": F.col("__o")[i - 1][c] for c in "cn" for i in (1, 2, 3)}).drop("__o")
     lo, mid = _bounds(F.col("c1"), F.col("c2"), F.col("c3"))
     if strategy == "variance":
         mean = counts.groupBy(*key).agg((F.sum(F.col("n") * v) / F.sum("n")).alias("mean"), F.sum("n").alias("all"))

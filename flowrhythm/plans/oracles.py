@@ -178,6 +178,37 @@ SELECT a1."Date", LongestInactivityHours, round((n1.p % {DAY} / 60000000.0 - 132
 FROM a1 LEFT JOIN n1 ON a1."Date" = n1."Date" LEFT JOIN m1 ON a1."Date" = m1."Date" LEFT JOIN c1 ON a1."Date" = c1."Date" LEFT JOIN t1 ON a1."Date" = t1."Date" LEFT JOIN r1 ON a1."Date" = r1."Date\""""
 
 
+def tuned() -> str:
+    """One-dimensional k-means by recursion: each round takes the means of what is nearest, until they stay."""
+    from flowrhythm.operators.tune import LEAST, ROUNDS
+
+    d = [f"power(value - c{i}, 2)" for i in (1, 2, 3)]
+    own = f"CASE WHEN {d[0]} <= {d[1]} AND {d[0]} <= {d[2]} THEN 1 WHEN {d[1]} <= {d[2]} THEN 2 ELSE 3 END"
+    far = [f"abs(value - q{i})" for i in (1, 2, 3)]
+    near = f"CASE WHEN {far[0]} <= {far[1]} AND {far[0]} <= {far[2]} THEN 1 WHEN {far[1]} <= {far[2]} THEN 2 ELSE 3 END"
+    mean = lambda i: f"coalesce(avg(value) FILTER (WHERE o = {i}), max(c{i}))"
+    close = " AND ".join(f"abs({mean(i)} - max(c{i})) <= 1e-8 + 1e-5 * abs(max(c{i}))" for i in (1, 2, 3))
+    q = lambda p: f"coalesce(quantile_cont(value, {p}), 0)"
+    return f"""WITH RECURSIVE d AS ({DAILY_SQL}), {LONG}, v AS MATERIALIZED (SELECT entity, metric, value FROM lg WHERE value IS NOT NULL), z AS MATERIALIZED (
+  SELECT entity, metric, count(value) AS n, {q(0.15)} AS s1, {q(0.5)} AS s2, {q(0.85)} AS s3, {q(0.2)} AS q1, {q(0.5)} AS q2, {q(0.8)} AS q3, {q(0.1)} AS p10, {q(0.5)} AS p50, {q(0.9)} AS p90 FROM lg GROUP BY ALL
+), k AS (
+  SELECT entity, metric, 0 AS r, CAST(s1 AS DOUBLE) AS c1, CAST(s2 AS DOUBLE) AS c2, CAST(s3 AS DOUBLE) AS c3, CAST(0 AS BIGINT) AS n1, CAST(0 AS BIGINT) AS n2, CAST(0 AS BIGINT) AS n3, false AS done FROM z WHERE n >= {LEAST}
+  UNION ALL
+  SELECT entity, metric, max(r) + 1, {mean(1)}, {mean(2)}, {mean(3)}, count(*) FILTER (WHERE o = 1), count(*) FILTER (WHERE o = 2), count(*) FILTER (WHERE o = 3), {close}
+  FROM (SELECT k.*, value, {own} AS o FROM k JOIN v USING (entity, metric) WHERE NOT done AND r < {ROUNDS}) GROUP BY entity, metric
+), f(entity, metric, c1, c2, c3, n1, n2, n3) AS (
+  SELECT entity, metric, l[1].c, l[2].c, l[3].c, l[1].n, l[2].n, l[3].n FROM (
+    SELECT entity, metric, list_sort([{{'c': c1, 'i': 1, 'n': n1}}, {{'c': c2, 'i': 2, 'n': n2}}, {{'c': c3, 'i': 3, 'n': n3}}]) AS l FROM (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY r DESC) AS last FROM k) WHERE last = 1)
+  UNION ALL
+  SELECT z.entity, z.metric, max(q1), max(q2), max(q3), count(*) FILTER (WHERE {near} = 1 AND value IS NOT NULL), count(*) FILTER (WHERE {near} = 2 AND value IS NOT NULL), count(*) FILTER (WHERE {near} = 3 AND value IS NOT NULL)
+  FROM z LEFT JOIN v ON z.entity = v.entity AND z.metric = v.metric WHERE n < {LEAST} GROUP BY z.entity, z.metric
+), o AS (
+  SELECT f.*, p10, p50, p90, (c1 + c2) / 2 AS a, (c2 + c3) / 2 AS b, greatest(1e-9, 0.05 * (c3 - c1 + 1e-9)) AS eps, greatest(0, p90 - p10) AS measure FROM f JOIN z ON f.entity = z.entity AND f.metric = z.metric
+)
+SELECT entity, metric, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3, n1, n2, n3, round(CASE WHEN a < b THEN a ELSE c2 - eps END, 6) AS lo, round(CASE WHEN a < b THEN b ELSE c2 + eps END, 6) AS mid, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90,
+  round(CASE WHEN sum(measure) OVER (PARTITION BY entity) > 0 THEN measure / sum(measure) OVER (PARTITION BY entity) ELSE 1.0 / count(*) OVER (PARTITION BY entity) END, 6) AS w, 'tri' AS type, CAST('inf' AS DOUBLE) AS hi, metric = 'm2' AS invert FROM o"""
+
+
 def headline() -> str:
     ok = {m: v for ms in CATALOG.values() for m, v in ms.items()}
     one = lambda m: f"""SELECT "Date", '{m}' AS metric, CAST({m} AS DOUBLE) AS value, CASE WHEN {m} IS NULL OR NOT isfinite({m}) THEN 'N/A' WHEN {m} {'<=' if ok[m][1] else '>='} {ok[m][0]} THEN 'OK' ELSE 'Caution' END AS status FROM """
@@ -299,6 +330,13 @@ SELECT z."Dataset", z.WeekStart, CAST(i AS INTEGER) AS minute_of_week, coalesce(
   ans_name AS "DNS_ANS_NAME", replace(ans_ips, ', ', ',') AS "DNS_ANS_IPS", count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL""",
         "packets_in_range": f"""{PACKETS}, t AS (SELECT *, CASE WHEN tie % 3 <> 0 THEN us ELSE us // 3600000000 * 3600000000 END AS own FROM pk WHERE us >= epoch_us(TIMESTAMP '2024-01-05 06:00:00') AND us < epoch_us(TIMESTAMP '2024-01-16 00:00:00') AND "Dataset" IN ('lab_03', 'onu_capture_home_1'))
 SELECT "Dataset", "Date", CAST(own // 3600000000 % 24 AS INTEGER) AS "Hour", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM t GROUP BY ALL""",
+        "auto_tuned": tuned(),
+        "reply_gaps": f"""{_rows(True)}, x AS (SELECT "Date", us, outbound, us - lag(us) OVER w AS d, lag(inbound) OVER w AS pi FROM r WHERE chat AND src IS NOT NULL AND dst IS NOT NULL WINDOW w AS (PARTITION BY "Date" ORDER BY us, tie))
+SELECT "Date", us, round(d / 1000000.0, 6) AS seconds FROM x WHERE pi AND outbound AND d // 1000000 > 0 AND d // 1000000 <= 120""",
+        "typing_gaps": f"""{_rows(True)}, x AS (SELECT "Date", us, us - lag(us) OVER (PARTITION BY "Date" ORDER BY us, tie) AS d FROM r WHERE chat AND outbound) SELECT "Date", us, round(d / 1000000.0, 6) AS seconds FROM x WHERE d > 0 AND d <= 3000000""",
+        "scale_events": f'{_rows()} SELECT "Date", us, SLD, bytes FROM r WHERE scale AND outbound',
+        "compacted_packets": f"""{PACKETS} SELECT "Dataset", "Date", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, count(DISTINCT us // 300000000) AS slots, "Date" < DATE '2024-01-15' AS few_files FROM pk
+WHERE "Date" BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' GROUP BY ALL""",
         "slots_from_names": f"{PACKETS} SELECT CASE WHEN tie % 10 <> 0 THEN us // 60000000 * 60000000 END AS slot_us, count(*) AS files FROM pk GROUP BY ALL",
         "day_fingerprints": f"{PACKETS}, {FILES} SELECT * FROM fp",
         "days_to_rebuild": f"{PACKETS}, {FILES} SELECT \"Date\" FROM fp WHERE \"Date\" < DATE '2024-01-04' OR day(\"Date\") % 7 = 0",

@@ -381,6 +381,21 @@ def cloud_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.cloud_providers(rows_of(spark, sf_dir), KEY)
 
 
+@query
+def reply_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(overview.reply_gaps(rows_of(spark, sf_dir, True), KEY))
+
+
+@query
+def typing_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(overview.typing_gaps(rows_of(spark, sf_dir, True), KEY))
+
+
+@query
+def scale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.scale_events(rows_of(spark, sf_dir), KEY)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The packet view written out, and the counts of a stream that reads it."""
     from flowrhythm.streaming.slots import write_counts
@@ -489,6 +504,19 @@ def packets_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_time(spark_rows).groupBy("Dataset", "Date", "Hour").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
+@query
+def compacted_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets that came in six portions, the closed days compacted, read back for ten days; and the files of each of these days."""
+    path = shared_folder(spark, "slots")
+    p = packets(spark, sf_dir).select("Timestamp", "Dataset", "Date", "tie", "length")
+    for k in range(6):
+        S.write_slots(p.where(F.pmod(F.floor(F.hour("Timestamp") / 4), F.lit(6)) == k), path)
+    S.compact(spark, path, S.scattered_days(spark, path, "2024-01-15"))
+    rows = S.read_range(spark, path, "2024-01-10", "2024-01-20").groupBy("Dataset", "Date").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.countDistinct("slot_start").alias("slots"))
+    files = S.list_files(spark, path).groupBy("Dataset", "Date").agg(F.count("*").alias("files"))
+    return rows.join(files, ["Dataset", "Date"]).withColumn("few_files", F.col("files") <= 2).drop("files")
+
+
 @query
 def slots_from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("Dataset", F.lit("__"), F.date_format("Timestamp", "yyyyMMdd_HHmm"), F.when(F.col("tie") % 10 == 0, F.lit(".tmp")).otherwise(F.lit(".parquet")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrhythm.functions.network import micros
+from flowrhythm.sources.scratch import written
 
 #: The packet schema. The columns after DNS_ANS_IPS are optional.
 SCHEMA = """Timestamp timestamp_ntz, Date date, Hour int, Protocol string, `Source IP` string, `Destination IP` string, `Source Port` int, `Destination Port` int,
@@ -69,10 +71,43 @@ def slot(ts: str = "Timestamp", minutes: int = SLOT_MINUTES) -> Column:
     return F.window(ts, f"{minutes} minutes")["start"]
 
 
-def write_slots(packets: DataFrame, path: str, mode: str = "append") -> None:
-    """Packets by dataset and day, a slot being a column; files are written per task, not per slot."""
+#: Rows of a packet file, on average; files of a day below which it is left as it is.
+FILE_ROWS, FEW_FILES = 2_000_000, 2
+
+
+def _in_files(rows: DataFrame, n: int, file_rows: int) -> DataFrame:
+    """rows in ranges of even size by dataset and time, each in order: a file of one dataset holds a stretch of time of its own."""
+    order = ["Dataset", "Date", "Timestamp"]
+    return rows.repartitionByRange(max(1, math.ceil(n / file_rows)), *order).sortWithinPartitions(*order)
+
+
+def write_slots(packets: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    """Packets by dataset and day, a slot being a column. Files hold even stretches of time, however many rows an hour has; rows are counted first."""
     rows = packets.withColumn("slot_start", slot())
-    rows.repartition("Dataset", "Date", F.hour("slot_start")).sortWithinPartitions("Dataset", "Date", "Timestamp").write.mode(mode).partitionBy("Dataset", "Date").parquet(path)
+    _in_files(rows, packets.count(), file_rows).write.mode(mode).partitionBy("Dataset", "Date").parquet(path)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(Dataset, Date, name, size, mtime) of the files below a packet folder; no data is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col("Dataset").cast("string").alias("Dataset"), F.col("Date").cast("date").alias("Date"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+
+
+def scattered_days(spark: SparkSession, path: str, before: str, few: int = FEW_FILES, file_bytes: int = 64 << 20) -> DataFrame:
+    """(Dataset, Date) of closed days, those before a date, in more files than their bytes need."""
+    by_day = list_files(spark, path).where(F.col("Date") < F.to_date(F.lit(before))).groupBy("Dataset", "Date").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return by_day.where((F.col("files") > few) & (F.col("files") > 2 * F.ceil(F.col("bytes") / file_bytes))).select("Dataset", "Date")
+
+
+def compact(spark: SparkSession, path: str, days: DataFrame, file_rows: int = FILE_ROWS) -> None:
+    """Rewrite these (Dataset, Date) in even, ordered files; the folders of other days are not touched.
+
+    The rows are written to the shared folder first, and take the place of the old files once all are there.
+    Days must be closed: rows that are added meanwhile are lost.
+    """
+    rows = spark.read.schema(spark.read.option("mergeSchema", "true").parquet(path).schema).parquet(path)
+    aside = written(rows.join(days.select("Dataset", "Date").distinct(), ["Dataset", "Date"], "left_semi"), "compacted")
+    _in_files(aside, aside.count(), file_rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Dataset", "Date").parquet(path)
 
 
 def slot_of_file(name: Column) -> Column:
@@ -133,7 +168,7 @@ def fingerprints(files: DataFrame, day: str = "Date") -> DataFrame:
 
 
 def file_table(packets: DataFrame) -> DataFrame:
-    """Date, name, size and mtime of the files that a parquet read of packets consists of."""
+    """Date, name, size and mtime of the files that a parquet read of packets consists of; `list_files` lists a folder without reading it."""
     m = F.col("_metadata")
     return packets.select("Date", m["file_name"].alias("name"), m["file_size"].alias("size"), m["file_modification_time"].cast("long").alias("mtime")).distinct()
 
