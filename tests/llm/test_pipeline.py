@@ -32,3 +32,22 @@ def test_stages(spark, make_docs):
     assert all("@mail" not in r.text for r in masked.collect())
     assert packed.select("doc_id").distinct().count() == near.count()
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
+
+
+def test_odd_rows_go_through(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated rows and ids, no labels, an empty table, columns of names that stages use."""
+    for docs in (odd_docs, no_docs):
+        folder = tempfile.mkdtemp(prefix="spark-")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        packed = corpus_pipeline.run(spark, folder)
+        rows = packed.collect()
+        if docs is no_docs:
+            assert rows == []
+        else:
+            assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 5, 6, 7, 8, None} and {5, 6, 7} <= {r.doc_id for r in rows}
+            assert all(r.length >= 1 for r in rows)
+    quality = corpus_pipeline.keep_quality(spark, odd_docs, folder)
+    assert quality.columns == odd_docs.columns and quality.count() == odd_docs.count()
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_spans, corpus_pipeline.mask_personal_data):
+        assert stage(spark, odd_docs, folder).columns == odd_docs.columns and stage(spark, no_docs, folder).count() == 0
