@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrhythm.functions import network as N
@@ -18,11 +18,12 @@ def dns_map(packets: DataFrame, scope: tuple[str, ...] = ("Date",)) -> DataFrame
     rows = packets.where(F.coalesce("is_dns", F.lit(False)))
     kind = dict(packets.dtypes)["ans_ips"]
     ips = F.col("ans_ips") if kind.startswith("array") else F.split("ans_ips", ",")
-    each = rows.select(*scope, "us", "tie", "ans_name", "qname", F.posexplode(ips).alias("pos", "ip")).withColumn("ip", F.trim("ip")).where("ip <> ''")
+    each = rows.select(*scope, "us", "tie", "ans_name", "qname", F.posexplode_outer(ips).alias("pos", "ip")).withColumn("ip", F.nullif(F.trim("ip"), F.lit("")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("us", "tie", "pos")))
-    by_ip = each.groupBy(*scope, "ip").agg(first("ans_name").alias("a"), first("qname").alias("q"))
-    answered = rows.groupBy(*scope).agg(F.max(F.col("ans_name").isNotNull()).alias("answered"))  # a row for each scope
-    return by_ip.join(answered, [*scope]).select(*scope, "ip", F.when(F.col("answered"), F.col("a")).otherwise(F.col("q")).alias("host")).where("host is not null")
+    # one pass: a row without addresses tells only whether its scope has an answer's name, under no address
+    by_ip = each.groupBy(*scope, "ip").agg(first("ans_name").alias("a"), first("qname").alias("q"), F.max(F.col("ans_name").isNotNull()).alias("answered"))
+    answered = F.max("answered").over(Window.partitionBy(*scope))
+    return by_ip.withColumn("answered", answered).where("ip is not null").select(*scope, "ip", F.when(F.col("answered"), F.col("a")).otherwise(F.col("q")).alias("host")).where("host is not null")
 
 
 def with_host(packets: DataFrame, scope: tuple[str, ...] = ("Date",), mapping: DataFrame | None = None, skewed: bool = False) -> DataFrame:

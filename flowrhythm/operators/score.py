@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,14 +106,21 @@ def write_spec(gate: dict, rows: list[tuple]) -> str:
     return json.dumps(out, indent=2)
 
 
+#: Metrics that a specification names at most: each is a column of the daily table.
+MOST_METRICS = 2000
+
+
 def contributions(daily: DataFrame, spec: DataFrame, keys: Keys) -> DataFrame:
     """(keys, criterion, metric, value, mu, contribution): weight times membership, unclipped, for each metric of the spec."""
-    metrics = [m for m in dict.fromkeys(r[0] for r in spec.select("metric").distinct().orderBy("metric").collect()) if m in daily.columns]  # of the spec, a few dozen
+    names = [r[0] for r in spec.select("metric").distinct().orderBy("metric").limit(MOST_METRICS + 1).collect()]
+    if len(names) > MOST_METRICS:
+        raise ValueError(f"a specification has at most {MOST_METRICS} metrics")
+    metrics = [m for m in names if m in daily.columns]
     if not metrics:
         long = daily.select(*keys, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
     else:
         long = melt(daily, keys, metrics)
-    rows = long.join(F.broadcast(spec), "metric")  # a row for each metric
+    rows = long.join(F.broadcast(spec), "metric")  # a row for each metric and group
     mu = F.when(F.col("type") == "tri", triangle(F.col("value"), *(F.col(c) for c in ("lo", "mid", "hi", "invert")))).otherwise(clipped(F.col("value")))
     rows = rows.withColumn("mu", mu)
     return rows.select(*keys, "criterion", "metric", "value", "mu", (F.col("w") * F.col("mu")).alias("contribution"))
@@ -159,7 +165,3 @@ def latest(rows: DataFrame, entity: Keys, day: str = "Date") -> DataFrame:
 def top_groups(scores: DataFrame, keys: Keys, n: int = 6, groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """The n groups of the highest mean score, ties in the order of the groups."""
     return long_scores(scores, keys, groups).groupBy("Code").agg(F.avg("Likelihood").alias("mean_score")).orderBy(F.desc("mean_score"), "Code").limit(n)
-
-
-def is_shoulder(lo: float, hi: float) -> bool:
-    return math.isinf(lo) or math.isinf(hi)

@@ -96,12 +96,17 @@ def with_value(daily: DataFrame, reference: str, output: str, entity: tuple[str,
     return daily.withColumn(output, value)
 
 
-def with_precedence(computed: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("Date",), columns: tuple[str, ...] | None = None) -> DataFrame:
+def with_precedence(computed: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("Date",), columns: tuple[str, ...] | None = None, latest: str | None = None) -> DataFrame:
     """computed, where the cached table's value of the same keys goes before the computed one, if it has any.
 
-    columns: those to look up, by default all that both have. Keys that only the cached table has are left out.
+    columns: those to look up, by default all that both have. Keys that only the cached table has are left out. Of
+    several cached rows of the same keys the one with the greatest `latest`, a column of the cached table, holds, else
+    the one whose values are the greatest, in their order.
     """
     shared = [c for c in (columns or computed.columns) if c in cached.columns and c in computed.columns and c not in keys]
-    before = cached.select(*keys, *(F.col(c).alias(f"__cached_{c}") for c in shared)).dropDuplicates([*keys])
+    if not shared:
+        return computed
+    own = F.struct(*([F.col(latest).alias("__latest")] if latest else []), *(F.col(c).alias(f"__cached_{c}") for c in shared))
+    before = cached.groupBy(*keys).agg(F.max(own).alias("__own")).select(*keys, *(f"__own.__cached_{c}" for c in shared))
     out = computed.join(before, [*keys], "left")
     return out.withColumns({c: F.coalesce(f"__cached_{c}", c) for c in shared}).drop(*(f"__cached_{c}" for c in shared))
