@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Ports of messengers.
-CHAT_PORTS = (443, 5222, 5223)
+CHAT_PORTS = (5222, 5223, 443)
 DHCP_PORTS = (67, 68, 546, 547)
 
 #: Curated second-level domains by category. Entries of three labels match nothing, as two labels are compared.

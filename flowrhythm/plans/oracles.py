@@ -331,6 +331,11 @@ SELECT z."Dataset", z.WeekStart, CAST(i AS INTEGER) AS minute_of_week, coalesce(
         "packets_in_range": f"""{PACKETS}, t AS (SELECT *, CASE WHEN tie % 3 <> 0 THEN us ELSE us // 3600000000 * 3600000000 END AS own FROM pk WHERE us >= epoch_us(TIMESTAMP '2024-01-05 06:00:00') AND us < epoch_us(TIMESTAMP '2024-01-16 00:00:00') AND "Dataset" IN ('lab_03', 'onu_capture_home_1'))
 SELECT "Dataset", "Date", CAST(own // 3600000000 % 24 AS INTEGER) AS "Hour", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM t GROUP BY ALL""",
         "auto_tuned": tuned(),
+        "tolerated_files": f'{PACKETS} SELECT "Dataset", "Date", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk GROUP BY ALL',
+        "rebuilt_days": f"""{PACKETS} SELECT "Date", count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, CASE WHEN "Date" >= DATE '2024-01-25' OR day("Date") % 7 = 0 THEN 2 ELSE 1 END AS built FROM pk GROUP BY "Date\"""",
+        "daily_round_trip": f"{DAILY} SELECT entity, day, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m3, 6) AS m3, round(m4, 6) AS m4 FROM d",
+        "exported_addresses": f"""{PACKETS}, b AS ({BOTH}) SELECT ip, count(*) AS packets, coalesce(bool_or("Dataset" = 'lab_03'), false) AS known FROM b GROUP BY ip""",
+        "metric_variation": f"{DAILY}, {LONG} SELECT entity, metric, CASE WHEN count(value) >= 2 AND avg(value) > 0 THEN round(stddev_samp(value) / avg(value), 6) END AS variation FROM lg GROUP BY ALL",
         "reply_gaps": f"""{_rows(True)}, x AS (SELECT "Date", us, outbound, us - lag(us) OVER w AS d, lag(inbound) OVER w AS pi FROM r WHERE chat AND src IS NOT NULL AND dst IS NOT NULL WINDOW w AS (PARTITION BY "Date" ORDER BY us, tie))
 SELECT "Date", us, round(d / 1000000.0, 6) AS seconds FROM x WHERE pi AND outbound AND d // 1000000 > 0 AND d // 1000000 <= 120""",
         "typing_gaps": f"""{_rows(True)}, x AS (SELECT "Date", us, us - lag(us) OVER (PARTITION BY "Date" ORDER BY us, tie) AS d FROM r WHERE chat AND outbound) SELECT "Date", us, round(d / 1000000.0, 6) AS seconds FROM x WHERE d > 0 AND d <= 3000000""",

@@ -21,7 +21,7 @@ from flowrhythm.plans import daily as D
 from flowrhythm.plans import metrics as M
 from flowrhythm.plans.registry import with_precedence, with_value
 from flowrhythm.sources import packets as S
-from flowrhythm.sources.scratch import shared_folder
+from flowrhythm.sources.scratch import shared_folder, written
 from flowrhythm.sources.views import daily_view, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,6 +517,56 @@ def compacted_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(files, ["Dataset", "Date"]).withColumn("few_files", F.col("files") <= 2).drop("files")
 
 
+@query
+def tolerated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets read back from folders in which some files are no Parquet."""
+    path = shared_folder(spark, "slots")
+    S.write_slots(packets(spark, sf_dir).select("Timestamp", "Dataset", "Date", "tie", "length"), path)
+    for day in ("2024-01-03", "2024-01-09"):
+        packets(spark, sf_dir).select("src").limit(5).write.mode("append").text(f"{path}/Dataset=lab_03/Date={day}")
+    return S.read_range(spark, path, "2024-01-01", "2024-03-01").groupBy("Dataset", "Date").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
+@query
+def rebuilt_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily table built twice: the second time only days whose fingerprint changed, every seventh, and the last ones, which are new."""
+    p, path = packets(spark, sf_dir), shared_folder(spark, "daily")
+    current = S.fingerprints(_files(spark, sf_dir))
+    first = current.where("Date < DATE'2024-01-25'").withColumn("Fingerprint", F.when(F.dayofmonth("Date") % 7 == 0, F.lit("old")).otherwise(F.col("Fingerprint")))
+
+    def build(number: int) -> Callable[[DataFrame], DataFrame]:
+        return lambda days: p.join(days, "Date", "left_semi").groupBy("Date").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes")).withColumn("built", F.lit(number))
+
+    S.rebuild_daily(path, first, None, build(1))
+    S.rebuild_daily(path, current, written(spark.read.parquet(path), "cached"), build(2))
+    return spark.read.parquet(path).drop("Fingerprint")
+
+
+@query
+def daily_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily table written under the name of a selection of datasets, as CSV, and read back."""
+    d, folder, names = daily_view(spark, sf_dir), shared_folder(spark, "daily"), ["lab_03", "onu_capture_home_1"]
+    S.write_daily(d, folder, names, "csv")
+    return rounded(S.read_daily(spark, folder, names[::-1], "csv", "entity long, day date, m1 double, m2 double, m3 double, m4 double"))
+
+
+@query
+def exported_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of each address, exported as CSV and read back, with whether a list of known addresses, kept as text, has it."""
+    p, folder = packets(spark, sf_dir), shared_folder(spark, "export")
+    S.export_csv(catalog.packets_per_address(p), f"{folder}/csv")
+    catalog.addresses(p.where("Dataset = 'lab_03'")).select(F.concat(F.lit(" "), "ip").alias("value")).write.text(f"{folder}/known")
+    known = S.read_known_ips(spark, f"{folder}/known").withColumn("known", F.lit(True))
+    rows = spark.read.option("header", "true").schema("ip string, packets long").csv(f"{folder}/csv")
+    return rows.join(known, "ip", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+@query
+def metric_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficient of variation of each metric of each entity."""
+    return rounded(_long(spark, sf_dir).groupBy("entity", "metric").agg(N.variation(F.col("value")).alias("variation")))
+
+
 @query
 def slots_from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("Dataset", F.lit("__"), F.date_format("Timestamp", "yyyyMMdd_HHmm"), F.when(F.col("tie") % 10 == 0, F.lit(".tmp")).otherwise(F.lit(".parquet")))

@@ -122,9 +122,13 @@ def list_slots(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("slot_start", slot_of_file(F.col("file"))).where("slot_start is not null")
 
 
-def read_range(spark: SparkSession, path: str, start: str, stop: str, datasets: list[str] | None = None, tolerant: bool = True) -> DataFrame:
-    """Packets of [start, stop): partitions by date first, then rows. Unreadable and missing files are passed over if tolerant."""
-    reader = spark.read.option("mergeSchema", "true")
+def read_range(spark: SparkSession, path: str, start: str, stop: str, datasets: list[str] | None = None, tolerant: bool = True, schema: str | None = None) -> DataFrame:
+    """Packets of [start, stop): partitions by date first, then rows. Unreadable and missing files are passed over if tolerant.
+
+    With a schema, such as SCHEMA with Dataset, columns that a file lacks are null; without one the schemas of all files are
+    merged, for which each is opened before the read.
+    """
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     rows = reader.parquet(path)

@@ -37,6 +37,8 @@ def test_files_hold_even_stretches_of_time(spark):
     met = [x for x in spans if str(x[1]) >= start and str(x[0]) < stop]
     found = S.read_range(spark, path, start, stop, ["a"])
     assert 0 < len(met) <= 3 and found.count() == rows.where(f"Dataset = 'a' and Timestamp >= timestamp_ntz'{start}' and Timestamp < timestamp_ntz'{stop}'").count()
+    said = S.read_range(spark, path, start, stop, ["a"], schema="Timestamp timestamp_ntz, length long, URL string, Dataset string, Date date")
+    assert said.count() == found.count() and said.where("URL is not null").isEmpty()
     plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(Timestamp" in plan and "PartitionFilters" in plan
 
