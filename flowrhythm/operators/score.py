@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowrhythm.functions.network import finite
-from flowrhythm.operators.status import CATALOG, melt
+from flowrhythm.operators.status import CATALOG
 
 Keys = tuple[str, ...]
 GROUPS = tuple(CATALOG)
@@ -110,27 +110,34 @@ def write_spec(gate: dict, rows: list[tuple]) -> str:
 MOST_METRICS = 2000
 
 
+def _named(spec: DataFrame) -> list[Row]:
+    """The rows of a specification that name a metric, in its order."""
+    rows = spec.where("metric is not null").limit(MOST_METRICS * len(GROUPS) + 1).collect()
+    if len(rows) > MOST_METRICS * len(GROUPS) or len({r.metric for r in rows}) > MOST_METRICS:
+        raise ValueError(f"a specification has at most {MOST_METRICS} metrics")
+    return rows
+
+
+def _membership(r: Row) -> Column:
+    """The membership of the metric that a row of a specification names. Its points are constants of the plan, which leaves short code."""
+    return triangle(F.col(r.metric).cast("double"), *(F.lit(x).cast("double") for x in (r.lo, r.mid, r.hi)), F.lit(r.invert).cast("boolean")) if r.type == "tri" else clipped(F.col(r.metric))
+
+
 def contributions(daily: DataFrame, spec: DataFrame, keys: Keys) -> DataFrame:
     """(keys, criterion, metric, value, mu, contribution): weight times membership, unclipped, for each metric of the spec."""
-    names = [r[0] for r in spec.select("metric").distinct().orderBy("metric").limit(MOST_METRICS + 1).collect()]
-    if len(names) > MOST_METRICS:
-        raise ValueError(f"a specification has at most {MOST_METRICS} metrics")
-    metrics = [m for m in names if m in daily.columns]
-    if not metrics:
-        long = daily.select(*keys, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
-    else:
-        long = melt(daily, keys, metrics)
-    rows = long.join(F.broadcast(spec), "metric")  # a row for each metric and group
-    mu = F.when(F.col("type") == "tri", triangle(F.col("value"), *(F.col(c) for c in ("lo", "mid", "hi", "invert")))).otherwise(clipped(F.col("value")))
-    rows = rows.withColumn("mu", mu)
-    return rows.select(*keys, "criterion", "metric", "value", "mu", (F.col("w") * F.col("mu")).alias("contribution"))
+    rows = [r for r in _named(spec) if r.metric in daily.columns]
+    if not rows:
+        return daily.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in (("criterion", "string"), ("metric", "string"), ("value", "double"), ("mu", "double"), ("contribution", "double")))).limit(0)
+    each = [F.struct(F.lit(r.criterion).cast("string").alias("criterion"), F.lit(r.metric).alias("metric"), F.col(r.metric).cast("double").alias("value"), (mu := _membership(r)).alias("mu"), (F.lit(r.w).cast("double") * mu).alias("contribution")) for r in rows]
+    return daily.select(*keys, F.inline(F.array(*each)))
 
 
 def group_scores(daily: DataFrame, spec: DataFrame, keys: Keys, groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """L_<group> for each row: the contributions' sum within [0, 1], not divided by the weights; 0 without a spec."""
-    each = contributions(daily, spec, keys)
-    wide = each.groupBy(*keys).agg(*(F.least(F.greatest(F.coalesce(F.sum(F.when(F.col("criterion") == g, F.col("contribution"))), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias(f"L_{g}") for g in groups))
-    return daily.select(*keys).join(wide, [*keys], "left").fillna(0.0, [f"L_{g}" for g in groups])
+    rows = _named(spec)
+    own = lambda g: [r for r in rows if r.criterion == g and r.metric in daily.columns]
+    total = lambda g: sum((F.coalesce(F.lit(r.w).cast("double") * _membership(r), F.lit(0.0)) for r in own(g)), F.lit(0.0))
+    return daily.select(*keys, *(F.least(F.greatest(total(g), F.lit(0.0)), F.lit(1.0)).alias(f"L_{g}") for g in groups))
 
 
 def long_scores(scores: DataFrame, keys: Keys, groups: tuple[str, ...] = GROUPS) -> DataFrame:
