@@ -278,7 +278,7 @@ def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def presence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = score.group_scores(daily_view(spark, sf_dir), _spec(spark), ("entity", "day"), GROUPS)
+    scores = score.group_scores(daily_view(spark, sf_dir, by_entity=True), _spec(spark), ("entity", "day"), GROUPS)
     gated = score.presence(scores, ("entity",), "day", {"M": 5, "N": 2, "theta": 0.4}, GROUPS)
     return score.overall(gated, ["C2"], 1, GROUPS).select("entity", "day", "present_C1", "present_C2", "n_present", "flag")
 
