@@ -601,7 +601,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three measures that look at earlier days, as columns of one frame."""
-    d = daily_view(spark, sf_dir).withColumns({"C4_F1_OnsetLocalMin": F.when(F.col("m3").isNotNull(), F.pmod(F.col("m2") * 37, F.lit(1440.0))), "LongestInactivityHours": F.col("m3"), "C6_F8_FirstActivityMin": F.col("m2")})
+    d = daily_view(spark, sf_dir, by_entity=True).withColumns({"C4_F1_OnsetLocalMin": F.when(F.col("m3").isNotNull(), F.pmod(F.col("m2") * 37, F.lit(1440.0))), "LongestInactivityHours": F.col("m3"), "C6_F8_FirstActivityMin": F.col("m2")})
     return rounded(baseline.with_history(d, ("entity",), "day").select("entity", "day", "C4_F3_OnsetVar14dMin", "C4_F4_SleepDurationZAbs30d", "C6_F9_ActivationDelayVsBase28d"))
 
 
