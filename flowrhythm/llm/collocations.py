@@ -35,13 +35,13 @@ from flowrhythm.llm.words import MIX, hashed, scan
 MIN_COUNT, COVER, SCALE, TOP, MAX_WORDS = 30, 80, 2_000_000, 2000, 4
 #: Of so many windows one begins a chunk, on average.
 PERIOD = 16
-#: Phrases that a task gathers before it adds up equal ones.
-HELD = 1 << 20
+#: Phrases that a task gathers before it adds up equal ones; sums that it hands on at once.
+HELD, HANDED = 1 << 19, 1 << 16
 #: Rows that one task ranks, about, besides the best of each part.
 RANKED = 200_000
 HALF, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 #: Bytes of texts that are parsed at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Lower case for A-Z, a line end for each mark and line end, a space for a tab; other bytes of UTF-8 stay.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
@@ -74,43 +74,61 @@ def chunks(texts: list[bytes], period: int = PERIOD, overlap: int = MAX_WORDS -
     return of, cut, after - at
 
 
+def _parsed(batch: pa.RecordBatch, period: int) -> Iterator[pa.RecordBatch]:
+    """(lang, chunk, body) of a batch of languages and texts, which are parsed in slices of SLICE bytes, about."""
+    size = np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column(1)], np.int64)
+    part = np.cumsum(size) // SLICE
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for i, j in zip([0, *ends], ends):
+        of, chunk, body = chunks([x or b"" for x in batch.column(1).slice(i, j - i).to_pylist()], period)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + i)), pa.array(chunk, pa.binary()), pa.array(body.astype(np.int32))], names=["lang", "chunk", "body"])
+
+
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period: int = PERIOD) -> DataFrame:
     """(lang, chunk, body, n): the different chunks of each language and how often each is parsed; chunks are UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or b"" for x in b.column(1).to_pylist()]
-            part = np.cumsum([len(x) for x in texts]) // SLICE
-            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-            for i, j in zip([0, *ends], ends):
-                of, chunk, body = chunks(texts[i:j], period)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + i)), pa.array(chunk, pa.binary()), pa.array(body.astype(np.int32))], names=["lang", "chunk", "body"])
+            yield from _parsed(b, period)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
     return bounded(rows).mapInArrow(run, "lang string, chunk binary, body int").groupBy("lang", "chunk", "body").agg(F.count("*").alias("n"))
 
 
 class _Sums:
-    """Sums of weights by hash and the upper half of a tag, with one tag of each, in slices of HELD."""
+    """Sums of weights by hash, and by the upper half of a tag if there are tags, with one tag of each, in slices of HELD."""
 
-    def __init__(self) -> None:
+    def __init__(self, *names: str) -> None:
+        self.names = names
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
     def add(self, *columns: np.ndarray) -> bool:
-        """Hash, tag, weight. Whether there is enough to take."""
+        """Hash, tag if there are any, weight. Whether there is enough to take."""
         self.parts.append(columns)
         self.n += len(columns[0])
         return self.n >= HELD
 
-    def take(self) -> pa.RecordBatch:
-        h, tag, n = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64),) * 3
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """The sums so far, HANDED at once."""
+        if not self.n:
+            return
+        columns = [[*c] for c in zip(*self.parts)]
         self.parts, self.n = [], 0
+        h = np.concatenate(columns.pop(0))
         order = np.argsort(h, kind="stable")
-        h, tag, n = h[order], tag[order], n[order]
-        begins = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tag[1:] >> HALF != tag[:-1] >> HALF)])) if len(h) else np.zeros(0, np.int64)
-        total = np.add.reduceat(n, begins) if len(h) else n
-        return pa.RecordBatch.from_arrays([pa.array(h[begins].view(np.int64)), pa.array(tag[begins].view(np.int64)), pa.array(total.astype(np.int64))], names=["h", "tag", "n"])
+        h = h[order]
+        tag = np.concatenate(columns.pop(0))[order] if len(columns) > 1 else None
+        new = h[1:] != h[:-1]
+        if tag is not None:
+            new |= tag[1:] >> HALF != tag[:-1] >> HALF
+        begins = np.flatnonzero(np.concatenate([[True], new]))
+        out = [x[begins].view(np.int64) for x in (h, tag) if x is not None]
+        del h, tag, new
+        out.append(np.add.reduceat(np.concatenate(columns.pop())[order], begins).astype(np.int64, copy=False))
+        del order
+        for i in range(0, len(begins), HANDED):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HANDED]) for x in out], names=list(self.names))
 
 
 def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -168,12 +186,12 @@ def frequent(chunked: DataFrame, sizes: tuple[int, ...], least: int = MIN_COUNT,
     """(h): hashes of phrases of these numbers of words that occur at least so often, and a few that don't but share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums("h", "n")
         for b in batches:
             for _, _, h, _, weight in _phrases(b, sizes, None, bits):
-                if sums.add(h, np.zeros_like(h), weight):
-                    yield sums.take().select(["h", "n"])
-        yield sums.take().select(["h", "n"])
+                if sums.add(h, weight):
+                    yield from sums.take()
+        yield from sums.take()
 
     parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, n long")
     return parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
@@ -184,12 +202,12 @@ def counted(chunked: DataFrame, sizes: tuple[int, ...], pairs: Filter, least: in
     held = chunked.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums("h", "tag", "n")
         for b in batches:
             for _, _, *columns in _phrases(b, sizes, held.value, bits):
                 if sums.add(*columns):
-                    yield sums.take()
-        yield sums.take()
+                    yield from sums.take()
+        yield from sums.take()
 
     parts = chunked.select("lang", "chunk", "body", "n").mapInArrow(run, "h long, tag long, n long")
     sums = parts.groupBy("h").agg(F.min("tag").alias("tag"), F.max("tag").alias("other"), F.sum("n").alias("n")).where(F.col("n") >= least)
