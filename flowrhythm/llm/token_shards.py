@@ -11,7 +11,6 @@ so a reader that stopped at a slot goes on at slot * stride.
 
 from __future__ import annotations
 
-import array
 import hashlib
 import json
 import math
@@ -87,7 +86,7 @@ def sequences(docs: DataFrame, source: str, length: int = LENGTH, end: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, pack, task = encoder(held.value), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
-        step, rest, place, kind = length * WIDTH, bytearray(), 0, None
+        step, rest, place, kind, close = length * WIDTH, bytearray(), 0, None, np.uint16(end).tobytes()
         starts: list[int] = []  # where in rest a document begins
         ids: list = []  # and its id; the first may have begun before
 
@@ -110,7 +109,7 @@ def sequences(docs: DataFrame, source: str, length: int = LENGTH, end: int | Non
             for i, x in zip(b.column(0).to_pylist(), b.column(1)):
                 starts.append(len(rest))
                 ids.append(i)
-                rest += array.array("H", [*array.array("I", t.encode(x.as_py())), end]).tobytes()
+                rest += np.frombuffer(t.encode(x.as_py()), np.uint32).astype(np.uint16).tobytes() + close
                 if len(rest) >= 64 * step:
                     yield from rows()
         if kind is not None:

@@ -10,16 +10,19 @@ from __future__ import annotations
 import array
 import json
 import re
+import string
 import unicodedata
 from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
 
-#: Entries that the caches of words and of chunks hold before they start anew, some 65 MB in all.
-WORD_CACHE, CACHE = 1 << 16, 1 << 18
+#: Entries that the caches of words and of chunks hold before they start anew, some 105 MB in all.
+WORD_CACHE, CACHE = 1 << 18, 1 << 18
 #: Characters of a chunk that is kept at most.
 LONG = 256
+#: Marks that make words of their own beside ASCII letters.
+_MARKS = frozenset(string.punctuation)
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -92,6 +95,11 @@ class Encoder:
         return array.array("I", [t.id for t in self._library.model.tokenize(byte_level(word))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # most are letters, with a mark after them or without, and need no pattern
+            if chunk.isalpha():
+                return self._words[chunk]
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self._words[chunk[:-1]] + self._words[chunk[-1]]
         return b"".join(map(self._words.__getitem__, self.spec.pattern.findall(chunk)))
 
     def plain(self, text: str) -> bytes:

@@ -161,3 +161,28 @@ def test_shards_hold_every_token(odd_docs, no_docs, source, coders):
     assert want == have and sum(r.n_docs for r in rows) == 12
     assert [x.tolist() for x in token_shards.read_order(folder, 5, 9)] == [x.tolist() for x in got[5:9]]
     assert token_shards.materialise_order(no_docs, source, tempfile.mkdtemp(prefix="spark-")).count() == 0
+
+
+def test_plain_words_need_no_pattern():
+    """Letters, and letters before a mark, are most of what a cache meets first; all others still go by the pattern."""
+    from itertools import product
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from flowrhythm.llm import tokens
+
+    source = tokens.read_source(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_str(source)
+    ids = lambda e, x: list(memoryview(e.encode(x)).cast("I"))
+    e = tokens.Encoder(source)
+    odd = ["".join(x) for n in (1, 2, 3) for x in product("as1'.<_ \x1c\té", repeat=n)] + ["it's", "word'll", "A.B", "end!!", "$", "x²", "'s", "naïve,", "a\x7f", "ẖ,"]
+    assert all(ids(e, x) == library.encode(x, add_special_tokens=False).ids for x in odd)
+
+    class Unused:
+        def findall(self, chunk):
+            raise AssertionError(chunk)
+
+    e = tokens.Encoder(source)
+    e.spec.pattern = Unused()
+    assert ids(e, "Plain words, and a mark.") == library.encode("Plain words, and a mark.", add_special_tokens=False).ids
