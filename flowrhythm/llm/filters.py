@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +37,3 @@ def bloom(table: DataFrame) -> Filter:
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return Filter(out.view(np.uint64))
-
-
-def may_have(rows: DataFrame, h: str, table: DataFrame) -> DataFrame:
-    """The rows whose hash the table has, and a few others."""
-    held = rows.sparkSession.sparkContext.broadcast(bloom(table))  # MOST_BITS at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(held.value.has(b.column(h).to_numpy().view(np.uint64)))) if len(b) else b
-
-    return rows.mapInArrow(run, rows.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowrhythm.llm.common import bounded, fresh, materialise
-from flowrhythm.llm.filters import may_have
+from flowrhythm.llm.filters import bloom
 from flowrhythm.llm.words import MIX, scan, spans
 
 #: Words of a run at least, gaps of which one is a cut.
@@ -104,17 +104,41 @@ def runs(texts: list[str], min_words: int = MIN_WORDS, cut_words: int = CUT_WORD
     return of[a] if len(a) else a, a - first, b - first, own[0], own[1]
 
 
-def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
-    """(h1, h2, id, of, first, last): every run of every text; `of` is a hash of the text, last is exclusive; both count words."""
+def _sliced(texts: list[str], min_words: int, cut_words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """`runs` of slices of the texts; they number texts among all."""
+    part = np.cumsum([len(x) for x in texts]) // SLICE
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for i, j in zip([0, *ends], ends):
+        k, *rest = runs(texts[i:j], min_words, cut_words)
+        yield k + i, *rest
+
+
+def run_hashes(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:
+    """(h): half a hash of every run of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *_, h1, _ in _sliced([x or "" for x in b.column(0).to_pylist()], min_words, cut_words):
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64))], names=["h"])
+
+    return bounded(docs.select(F.col(text).alias("text"))).mapInArrow(run, "h long")
+
+
+def sentence_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_words: int = CUT_WORDS, among: DataFrame | None = None) -> DataFrame:
+    """(h1, h2, id, of, first, last): every run of every text; `of` is a hash of the text, last is exclusive; both count words.
+
+    With `among`, a written table of halves of hashes h, only runs that have one of them, and a few others.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bloom(among)) if among is not None else None  # MOST_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or "" for x in b.column(2).to_pylist()]
-            part = np.cumsum([len(x) for x in texts]) // SLICE
-            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-            for i, j in zip([0, *ends], ends):
-                k, first, last, h1, h2 = runs(texts[i:j], min_words, cut_words)
-                k = pa.array(k + i)
+            for found in _sliced([x or "" for x in b.column(2).to_pylist()], min_words, cut_words):
+                if held is not None:
+                    good = held.value.has(found[3])
+                    found = tuple(x[good] for x in found)
+                k, first, last, h1, h2 = found
+                k = pa.array(k)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(0).take(k), b.column(1).take(k), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h1", "h2", "id", "of", "first", "last"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -128,10 +152,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     First is the occurrence with the least id (a null one is the least), then hash of text, then place.
     Rows that agree in id and text are one document.
     """
-    found = materialise(sentence_runs(docs, doc_id, text, min_words, cut_words), "runs")  # texts are hashed once
-    # few runs repeat: half a hash counts them, and only what may repeat is shuffled and ordered
-    repeated = materialise(found.groupBy(F.col("h1").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    found = materialise(may_have(found, "h1", repeated), "found")
+    # few runs repeat: half a hash counts them, and only what may repeat is written, shuffled and ordered; texts are hashed twice for that
+    counted = run_hashes(docs, text, min_words, cut_words).groupBy("h").agg(F.count("*").alias("n"))
+    repeated = materialise(counted.where("n > 1").select("h"), "repeated")
+    found = materialise(sentence_runs(docs, doc_id, text, min_words, cut_words, repeated), "found")
     place = F.struct("id", "of", "first")
     heads = found.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "head")
     heads = materialise(heads, "heads")  # joined by exchanges of their own, so that a hot run can be split

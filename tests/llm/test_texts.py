@@ -206,6 +206,24 @@ def test_any_passage_of_more_than_50_words_is_found(make_docs, seed):
         assert own <= set(got[k]) and len(set(got[k]) & set(passage)) <= 2 * 10 + 10 - 1
 
 
+def test_only_runs_that_may_repeat_are_written(make_docs, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    same = " ".join(word() for _ in range(60))
+    texts = [(k, " ".join(word() for _ in range(500)) + (" " + same) * (k < 2)) for k in range(20)]
+    docs, written = make_docs(texts), {}
+
+    def counting(df, name="table", real=substrings.materialise):
+        out = real(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "materialise", counting)
+    removed = [x.n for x in substrings.remove_repeats(docs, count="n").orderBy("doc_id").collect()]
+    assert removed[1] >= 40 and sum(removed) == removed[1]
+    assert sum(written.values()) < substrings.sentence_runs(docs).count() / 10, written
+
+
 def test_words_and_sentence_ends_of_any_text():
     texts = ["", " ", "One. two!?') three.\nfour\u2003five\u00a0six\x1cseven ...", "\n\n a.b c\") d. ", "é" * 100 + " ß.", "x" * 200 + "? y"]
     h, lines, _, starts = substrings.cuts(texts)
