@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from flowrhythm.llm.common import bounded
-from flowrhythm.llm.tokens import WORD_CACHE, Encoder, Spec, _Chunks, byte_chars, encoder, read_source
+from flowrhythm.llm.tokens import CACHE, WORD_CACHE, Encoder, Spec, _Chunks, byte_chars, encoder, read_source
 
 _NEVER = 1 << 30
 #: Characters of a text taken up at once; a cut is made at white space.
@@ -50,7 +50,7 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], lengths: dict[int,
 class Transducer(Encoder):
     """Texts to ids by the merge list alone."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, most: int = CACHE) -> None:
         self.spec = s = Spec(source)
         rows = [(s.vocab[a], s.vocab[b], s.vocab[a + b]) for a, b in s.merges]
         self._rank = {a << 20 | b: r for r, (a, b, _) in reversed([*enumerate(rows)])}
@@ -61,7 +61,7 @@ class Transducer(Encoder):
         self.lookahead = sufficient_lookahead(rows, self.length)
         self.window = 2 * (self.lookahead + max(self.length.values()))
         self._words = _Chunks(self.word, WORD_CACHE)
-        self._chunks = _Chunks(self._chunk)
+        self._chunks = _Chunks(self._chunk, most)
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges: always the lowest rank, of equal ones the leftmost."""

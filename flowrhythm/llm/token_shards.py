@@ -32,6 +32,8 @@ from flowrhythm.llm.tokens import Spec, encoder, read_source
 
 #: Ids of a sequence, bytes of an id, bytes of a shard at most, rounds of the network.
 LENGTH, WIDTH, SHARD_BYTES, ROUNDS = 2048, 2, 64 << 20, 4
+#: Chunks that a worker's encoder keeps.
+CHUNKS = 1 << 19
 
 
 class Feistel:
@@ -85,7 +87,7 @@ def sequences(docs: DataFrame, source: str, length: int = LENGTH, end: int | Non
     held = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, pack, task = encoder(held.value), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        t, pack, task = encoder(held.value, most=CHUNKS), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         step, rest, place, kind, close = length * WIDTH, bytearray(), 0, None, np.uint16(end).tobytes()
         starts: list[int] = []  # where in rest a document begins
         ids: list = []  # and its id; the first may have begun before

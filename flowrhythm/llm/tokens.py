@@ -17,8 +17,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Entries that the caches of words and of chunks hold before they start anew, some 105 MB in all.
-WORD_CACHE, CACHE = 1 << 18, 1 << 18
+#: Entries of the caches of other words and of chunks: fewer than before words of letters were kept once.
+WORD_CACHE, CACHE = 1 << 16, 1 << 18
 #: Characters of a chunk that is kept at most.
 LONG = 256
 #: Marks that make words of their own beside ASCII letters.
@@ -68,16 +68,27 @@ def normal(text: str) -> str:
     return lower(text if text.isascii() else unicodedata.normalize("NFC", text))
 
 
+def letters(word: str) -> bool:
+    """Whether there are only letters, all below U+0250, where every version of Unicode has the same ones."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class _Chunks(dict):
+    """What `make` gives, kept in two halves: when the newer one is full it becomes the older, and what isn't met again until the next time goes."""
+
     def __init__(self, make, most: int = CACHE) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self.make(chunk)
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.make(chunk)
         if len(chunk) <= LONG:
+            if len(self) >= self.half:
+                self.older.clear()
+                self.older.update(self)
+                self.clear()
             self[chunk] = out
         return out
 
@@ -85,22 +96,27 @@ class _Chunks(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids; words by the library's model."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, most: int = CACHE) -> None:
         self.spec = Spec(source)
-        self._library = Tokenizer.from_str(source)
+        self._model = Tokenizer.from_str(source).model
         self._words = _Chunks(self.word, WORD_CACHE)
-        self._chunks = _Chunks(self._chunk)
+        self._chunks = _Chunks(self._chunk, most)
 
     def word(self, word: str) -> bytes:
-        return array.array("I", [t.id for t in self._library.model.tokenize(byte_level(word))]).tobytes()
+        return array.array("I", [t.id for t in self._model.tokenize(word if word.isascii() and word.isalpha() else byte_level(word))]).tobytes()
+
+    def _part(self, word: str) -> bytes:
+        """Ids of a word of the pattern; one of letters is a chunk as well, and is kept once."""
+        return self._chunks[word] if letters(word) else self._words[word]
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():  # most are letters, with a mark after them or without, and need no pattern
-            if chunk.isalpha():
-                return self._words[chunk]
-            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
-                return self._words[chunk[:-1]] + self._words[chunk[-1]]
-        return b"".join(map(self._words.__getitem__, self.spec.pattern.findall(chunk)))
+        # most are letters, with a mark after them or without, and need no pattern
+        if chunk[-1] in _MARKS:
+            if letters(chunk[:-1]):
+                return self._chunks[chunk[:-1]] + self._words[chunk[-1]]
+        elif letters(chunk):
+            return self.word(chunk)
+        return b"".join(map(self._part, self.spec.pattern.findall(chunk)))
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
@@ -119,15 +135,15 @@ class Encoder:
         return self.plain(text)
 
 
-_made: dict[tuple[type, int], Encoder] = {}
+_made: dict[tuple[type, int, int], Encoder] = {}
 
 
-def encoder(source: str, kind: type = Encoder) -> Encoder:
+def encoder(source: str, kind: type = Encoder, most: int = CACHE) -> Encoder:
     """One encoder a worker, kept between tasks with what it has cached."""
-    key = (kind, hash(source))
+    key = (kind, hash(source), most)
     if key not in _made:
         _made.clear()
-        _made[key] = kind(source)
+        _made[key] = kind(source, most)
     return _made[key]
 
 

@@ -186,3 +186,27 @@ def test_plain_words_need_no_pattern():
     e = tokens.Encoder(source)
     e.spec.pattern = Unused()
     assert ids(e, "Plain words, and a mark.") == library.encode("Plain words, and a mark.", add_special_tokens=False).ids
+
+
+def test_frequent_words_stay_and_words_of_letters_are_kept_once(source, library):
+    """A full cache lets go of what wasn't met lately; letters below U+0250 need no pattern."""
+    import regex
+
+    from flowrhythm.llm import tokens
+
+    made = []
+    held = tokens._Chunks(lambda x: made.append(x) or x.encode(), 8)
+    for i in range(100):
+        assert held["often"] == b"often" and held[f"new{i}"] == f"new{i}".encode()
+    assert made.count("often") == 1 and len(made) == 101 and len(held) + len(held.older) <= 8
+    assert all(chr(c).isalpha() == bool(regex.match(r"\p{L}", chr(c))) for c in range(0x250))
+
+    class Unused:
+        def findall(self, chunk):
+            raise AssertionError(chunk)
+
+    e = tokens.Encoder(source)
+    text = "Élan vital, naïve ſtraße. élan"
+    want = library.encode(text, add_special_tokens=False).ids
+    e.spec.pattern = Unused()
+    assert ids(e.encode(text)) == want and len(e._words) == 2
