@@ -9,6 +9,18 @@ from flowrhythm.functions import network as N
 from flowrhythm.operators.joins import frequent, look_up
 
 
+#: Bytecode of a method above which the JVM interprets it for good.
+METHOD_BYTES = 8000
+
+
+def compiled(df: DataFrame) -> DataFrame:
+    """df, whose session from now on runs a stage whose generated method would pass METHOD_BYTES operator by operator."""
+    conf, key = df.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    if int(conf.get(key)) > METHOD_BYTES:
+        conf.set(key, str(METHOD_BYTES))
+    return df
+
+
 def dns_map(packets: DataFrame, scope: tuple[str, ...] = ("Date",)) -> DataFrame:
     """(scope, ip, host): the first host that DNS rows give for an address, by time, tie and place in the answer.
 
@@ -50,4 +62,4 @@ def with_masks(rows: DataFrame, ipv6: bool = False) -> DataFrame:
 
 def enrich(packets: DataFrame, scope: tuple[str, ...] = ("Date",), ipv6: bool = False, skewed: bool = False) -> DataFrame:
     """Standard packet rows with hosts, domains, directions and masks."""
-    return with_masks(with_host(packets, scope, skewed=skewed), ipv6)
+    return with_masks(with_host(compiled(packets), scope, skewed=skewed), ipv6)

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowrhythm.sources.scratch import written
+
 #: A key is frequent if it has one in SHARE of all rows; counters that a task keeps.
 SHARE, COUNTERS = 500, 4000
 
 
 def frequent(rows: DataFrame, on: tuple[str, ...], share: int = SHARE) -> list[int]:
-    """Hashes of the keys that one in `share` rows has, and perhaps a few others, 2 * share at most.
+    """Hashes of the keys that one in `share` rows has, and perhaps a few others, 2 * share at most, in one pass over rows.
 
     Each task keeps COUNTERS counters: with more keys all counters go down by what the least of those that stay has, so
     one falls short of its count by at most one in COUNTERS of the task's rows. Rows with a null in their key don't count.
@@ -37,7 +39,7 @@ def frequent(rows: DataFrame, on: tuple[str, ...], share: int = SHARE) -> list[i
         yield pa.RecordBatch.from_arrays([pa.array(np.append(h, 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(h), np.int64), total))], names=["h", "n", "total"])
 
     known = rows.where(" and ".join(f"`{c}` is not null" for c in on)).select(F.xxhash64(*on).alias("h"))
-    counts = known.mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counts = written(known.mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "counts")
     top = counts.orderBy(F.desc("total")).limit(1).collect()
     total = top[0].total if top else 0
     least = total / share - total / COUNTERS

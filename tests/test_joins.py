@@ -59,3 +59,25 @@ def test_touching_and_users_with_a_hot_address(spark):
     users = spark.createDataFrame([("x", "hot", 1), ("y", "hot", 2), ("z", "10.0.0.1", 3)], "username string, ip string, place long")
     key = lambda df: {r.User: r["count"] for r in df.groupBy("User").count().collect()}
     assert key(catalog.with_user(rows, users, True)) == key(catalog.with_user(rows, users)) and "z/y" in key(catalog.with_user(rows, users, True))
+
+
+def test_frequent_keys_take_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = made(spark)
+    found = joins.frequent(rows.mapInArrow(through, rows.schema), ("dst",), 20)
+    assert sorted(found) == sorted(joins.frequent(rows, ("dst",), 20)) and seen.value == 40_000
+
+
+def test_enriched_rows_are_compiled(spark):
+    """Packets of the view and their masks make one method that the JVM would never compile: it runs by operators instead."""
+    from flowrhythm.operators.enrich import METHOD_BYTES, enrich
+    from flowrhythm.sources.views import packets
+
+    enrich(packets(spark, "/root/testdata/sf0.001"))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= METHOD_BYTES
