@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowrhythm.llm.common import bounded, materialise
-from flowrhythm.llm.tokens import encoder, read_source
+from flowrhythm.llm.tokens import CACHE, encoder, read_source
 
 CAPACITY, END = 4096, 1
 #: Nodes of the search, and good fillings that a node tries before all others.
 NODES, WIDTH = 12_000, 4
+#: Chunks that a worker's encoder keeps in the query, whose workers do nothing else.
+CHUNKS = 1 << 19
 
 
 @dataclass
@@ -304,17 +306,17 @@ def places(fills: list[Fill]) -> dict[int, tuple[np.ndarray, ...]]:
     return {x: tuple(np.array(c, np.int64) for c in zip(*r)) for x, r in rows.items()}
 
 
-def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", most: int = CACHE) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, task, rank): rank counts the pieces of a length in its task."""
     held = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, task, seen = encoder(held.value), TaskContext.get().partitionId(), {}
+        t, task, seen = encoder(held.value, most=most), TaskContext.get().partitionId(), {}
         stop = array.array("I", [end]).tobytes()
         for b in batches:
             rows, of = [], []
-            for k, x in enumerate(b.column(1)):
-                ids = t.encode(x.as_py()) + stop
+            for k, ids in enumerate(t.encode_all(b.column(1).to_pylist())):
+                ids += stop
                 for p, i in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[i : i + 4 * capacity]
                     n = len(own) // 4
@@ -329,14 +331,15 @@ def pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = EN
     return bounded(docs.select(doc_id, text)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def pack_documents(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, source: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", most: int = CACHE) -> DataFrame:
     """A place for every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then the end id; only those longer than the capacity are cut. A null text
-    counts as empty and is the end id alone. Rows that repeat are packed as often as they occur.
+    counts as empty and is the end id alone. Rows that repeat are packed as often as they occur. A worker's encoder
+    keeps at most `most` chunks.
     """
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, source, capacity, end, doc_id, text), "pieces")
+    cut = materialise(pieces(docs, source, capacity, end, doc_id, text, most), "pieces")
     each = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length up to the capacity
     fills, _ = pack(histogram, capacity)
@@ -364,4 +367,4 @@ def pack_documents(docs: DataFrame, source: str, capacity: int = CAPACITY, end:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_source(public_tokenizers.path("word_bpe_49k.json")))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_source(public_tokenizers.path("word_bpe_49k.json")), most=CHUNKS)

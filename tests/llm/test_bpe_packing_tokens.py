@@ -210,3 +210,25 @@ def test_frequent_words_stay_and_words_of_letters_are_kept_once(source, library)
     want = library.encode(text, add_special_tokens=False).ids
     e.spec.pattern = Unused()
     assert ids(e.encode(text)) == want and len(e._words) == 2
+
+
+def test_texts_encoded_together_meet_a_chunk_once(source, library, monkeypatch):
+    """Texts of a batch give the library's ids, whatever stands in them; words are kept without the marks after them."""
+    import sys
+
+    from flowrhythm.llm import tokens
+
+    spaces = [f"a{c}b,{c}" for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or c in "\u200b\x1c\x1f"]
+    marks = ["end.", "end.'", "end.'s", "end's.", "end'", "x²!", "naïve,.", "ж.", "жa.", "a….", "…a.", "...", "a.b.", "a<|b|>.", "a<|endoftext|>.", "a<|ENDOFTEXT|>!", "the<|", "|end|"]
+    texts = [*ODD, None, *spaces, *marks, " ".join(marks), "\n\n", " lead and trail \t"]
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        got = [ids(x) for x in tokens.Encoder(source).encode_all(texts)]
+        assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [*tokens.Encoder(source).encode_all([])] == []
+
+    e, met = tokens.Encoder(source), []
+    joined = e._joined
+    e._joined = lambda chunk: met.append(chunk) or joined(chunk)
+    assert len({*e.encode_all(["word, word. word### word"] * 100)}) == 1
+    assert sorted(met) == ["word", "word###", "word,", "word."] and [*e._chunks] == ["word"]
